@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash
-from .common import documents
+from . import ann, bpe, decontaminate, simhash, tokenfiles, urls
+from .common import documents, new_folder
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,9 +22,32 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_idfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = new_folder(spark, "idfiles")
+    tokenfiles.write(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), folder, end_id=2)
+    return tokenfiles.read(spark, folder)
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(documents(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(documents(spark, sf_dir, "pages"), urls.RULES)
+
+
+_QUERIES = [op1_bpe, op2_simhash, op3_idfiles, op5_decontaminate, op8_ann, op9_urls]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash}
+    return {q.__name__: q for q in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_decontaminate": decontaminate.SQL, "op9_urls": urls.SQL}
