@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 
 from . import common
 
-#: Words kept with their ids inside a task; beyond it the table starts anew.
-CACHE_WORDS = 500_000
+#: Pieces kept with their ids in a worker; beyond it those met only once go.
+CACHE_WORDS = 600_000
 #: Characters of a block of documents that are encoded together.
 BLOCK_CHARS = 8_000_000
 
@@ -193,9 +193,20 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known = Known()
+        self.known, self.uses = Known(), np.zeros(0, np.int64)
         self.pool, self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def trim(self) -> None:
+        """Keep the pieces that were met more than once, at most half of the table."""
+        kept = np.flatnonzero(self.uses > 1)
+        if len(kept) > CACHE_WORDS // 2:
+            kept = np.sort(kept[np.argsort(-self.uses[kept], kind="stable")[: CACHE_WORDS // 2]])
+        names = list(self.known)
+        self.known = Known(zip(map(names.__getitem__, kept.tolist()), range(len(kept)), strict=True))
+        self.lengths, old = self.lengths[kept], self.starts[kept]
+        self.pool, ends = gathered(self.pool, old, self.lengths)
+        self.starts, self.uses = ends - self.lengths, np.zeros(len(kept), np.int64)
+
     def pieces(self, text: str) -> list[str]:
         """Cut before single spaces; only a text with other white space needs the pattern for it."""
         if not text:
@@ -229,12 +240,15 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > CACHE_WORDS:
-            self.forget()
+            self.trim()
         per_text = [self.pieces(t) for t in texts]
         old, total = len(self.known), sum(map(len, per_text))
         at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(per_text)), np.int64, total)
         if len(self.known) > old:
             self.learn(list(islice(self.known, old, None)))
+        uses = np.bincount(at, minlength=len(self.known))
+        uses[: len(self.uses)] += self.uses
+        self.uses = uses
         ids, ends = gathered(self.pool, self.starts[at], self.lengths[at])
         cuts = np.concatenate(([0], ends))[np.cumsum([0, *map(len, per_text)])].tolist()
         return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]

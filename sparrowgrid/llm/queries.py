@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, simhash, tokenfiles, urls
+from . import ann, bpe, decontaminate, pii, secrets, simhash, tokenfiles, toxicity, urls
 from .common import documents, new_folder
 
 
@@ -30,10 +30,22 @@ def op3_idfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read(spark, folder)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(documents(spark, sf_dir))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(documents(spark, sf_dir))
+
+
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(documents(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -42,7 +54,7 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(documents(spark, sf_dir, "pages"), urls.RULES)
 
 
-_QUERIES = [op1_bpe, op2_simhash, op3_idfiles, op5_decontaminate, op8_ann, op9_urls]
+_QUERIES = [op1_bpe, op2_simhash, op3_idfiles, op4_toxicity, op5_decontaminate, op6_secrets, op7_pii, op8_ann, op9_urls]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
