@@ -1,0 +1 @@
+"""Type-checking and lowering."""
