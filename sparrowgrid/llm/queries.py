@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, pii, secrets, simhash, tokenfiles, toxicity, urls
+from . import ann, bpe, decontaminate, lm, pii, secrets, simhash, tokenfiles, toxicity, urls
 from .common import documents, new_folder
 
 
@@ -54,7 +54,11 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(documents(spark, sf_dir, "pages"), urls.RULES)
 
 
-_QUERIES = [op1_bpe, op2_simhash, op3_idfiles, op4_toxicity, op5_decontaminate, op6_secrets, op7_pii, op8_ann, op9_urls]
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.report(documents(spark, sf_dir))
+
+
+_QUERIES = [op1_bpe, op2_simhash, op3_idfiles, op4_toxicity, op5_decontaminate, op6_secrets, op7_pii, op8_ann, op9_urls, op10_lm]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

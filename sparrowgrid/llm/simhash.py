@@ -202,10 +202,3 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     named = vertices.join(labels, vertices["rep"] == labels["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     named = common.stored(named, "simhash-named")
     return prints.join(named, "fp").select(key, "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 3, most: int = 2) -> DataFrame:
-    """The rows of `docs`, all columns kept, but for near copies of a document with a smaller key."""
-    groups = near_duplicates(docs, key=key, text=text, shingle=shingle, most=most)
-    lost = common.stored(groups.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("lost")).distinct(), "simhash-lost")
-    return docs.join(lost, docs[key] == lost["lost"], "left_anti")
