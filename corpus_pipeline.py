@@ -7,12 +7,8 @@ folder and reads it again. All but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from sparrowgrid.llm import bpe, common, decontaminate, pii, simhash, toxicity
-
-#: As for shingles in general: five words, and fingerprints as near as texts with a similarity of 0.8.
-SHINGLE, BITS = 5, 3
+from sparrowgrid.llm import bpe, common, decontaminate, neardup, pii, toxicity
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +18,7 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that of the smallest doc_id."""
-    return simhash.keep_one(docs)
+    return neardup.keep_one(docs)
 
 
 def leaks_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
