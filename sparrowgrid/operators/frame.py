@@ -81,6 +81,10 @@ class Frame:
 
     # --- metadata ---
 
+    @property
+    def spark(self) -> SparkSession:
+        return self._df.sparkSession
+
     @property
     def columns(self) -> list[str]:
         return list(self._schema)
@@ -187,6 +191,14 @@ class Frame:
 
     assign = with_column
 
+    def with_zone(self, name: str, tz: str | None) -> Frame:
+        """The same instants of a timestamp column, whose calendar fields are those of zone `tz`."""
+        if self.dtype_of(name) != "timestamp":
+            raise FrameError(f"a time zone needs a timestamp column, got {name!r}")
+        if tz:
+            _zone(tz)
+        return self._with(self._df, self._schema | {name: Field("timestamp", tz)})
+
     # --- rows ---
 
     def filter(self, predicate: Expr) -> Frame:

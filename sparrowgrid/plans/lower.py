@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime as dt
 import math
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -259,8 +260,9 @@ def wrap32(x: Column) -> Column:
 
 def wrap64(x: Column) -> Column:
     """A whole decimal modulo 2**64, signed."""
-    m = F.pmod(x, spark_lit(2**64).cast("decimal(38,0)"))
-    return F.when(m > spark_lit(2**63 - 1), m - spark_lit(2**64).cast("decimal(38,0)")).otherwise(m).cast("long")
+    whole = spark_lit(Decimal(2**64)).cast("decimal(38,0)")
+    m = F.pmod(x, whole)
+    return F.when(m > spark_lit(2**63 - 1), m - whole).otherwise(m).cast("long")
 
 
 def arithmetic(op: str, a: Typed, b: Typed) -> Column:

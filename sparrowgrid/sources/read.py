@@ -147,14 +147,14 @@ def parse_csv(text: str, delimiter: str = ",") -> list[list[str]]:
     return rows
 
 
-def read_json(source: str, *, text: bool = False, dtypes: dict[str, str] | None = None, schema: T.StructType | None = None, spark: SparkSession | None = None) -> Frame:
-    """A JSON array of objects: a text, or files by path (with a schema if given)."""
+def read_json(source: str, *, text: bool = False, lines: bool = False, dtypes: dict[str, str] | None = None, schema: T.StructType | None = None, spark: SparkSession | None = None) -> Frame:
+    """A JSON array of objects: a text, or files by path (with a schema if given); lines=True: files of an object a line."""
     if text:
         data = json.loads(source)
         if not isinstance(data, list):
             raise TypeError("the JSON text is no array")
         return Frame.from_records(data, dtypes=dtypes, spark=spark)
-    reader = session(spark).read.option("multiLine", True)
+    reader = session(spark).read.option("multiLine", not lines)
     return Frame.from_spark((reader.schema(schema) if schema else reader).json(source), dtypes=dtypes)
 
 
