@@ -45,15 +45,16 @@ class Frame:
 
     @classmethod
     def from_spark(cls, df: DataFrame, *, dtypes: dict[str, str] | None = None, order_by: str | Sequence[str] | None = None) -> Frame:
-        """Any Spark DataFrame; `order_by` names columns that give its rows their order (best a unique key)."""
+        """Any Spark DataFrame; `order_by` names a key, unique and without nulls, that gives its rows their order."""
         names = [n.lower() for n in df.columns]
         if len(set(names)) < len(names) or any(n.startswith(HIDDEN) for n in names):
             raise FrameError("column names must be unique and not start with " + HIDDEN)
         session(df.sparkSession)
         df, schema = normalised(df, dtypes)
         keys = [order_by] if isinstance(order_by, str) else list(order_by or [])
-        frame = cls(df, schema)
-        return frame.sort_values(keys) if keys else frame
+        cls(df, schema)._check(keys)
+        hidden = {f"__sg_o{i}": q(k) for i, k in enumerate(keys)}
+        return cls(df.withColumns(hidden), schema, [(c, False) for c in hidden]) if keys else cls(df, schema)
 
     @classmethod
     def from_columns(cls, columns: dict[str, Iterable], *, dtypes: dict[str, str] | None = None, tzs: dict[str, str] | None = None, spark: SparkSession | None = None) -> Frame:
@@ -107,6 +108,10 @@ class Frame:
     def shape(self) -> tuple[int, int]:
         return self.length, len(self._schema)
 
+    def type_of(self, e: Expr) -> str:
+        """The type of an expression over this frame; an ExprError tells why it has none."""
+        return Lowering(self._schema, F.lit(0)).lower(e).dtype
+
     def _check(self, names: Iterable[str]) -> None:
         for n in names:
             if n not in self._schema:
@@ -126,6 +131,15 @@ class Frame:
             return [q(c).desc_nulls_last() if d else q(c).asc_nulls_last() for c, d in self._order]
         return [q(c).asc_nulls_first() if d else q(c).desc_nulls_first() for c, d in self._order]
 
+    def _placed(self) -> tuple[Frame, Column]:
+        """A column that grows with the rows' order. Only a descending order needs a range sort for it."""
+        f = self._ordered()
+        if any(down for _, down in f._order):
+            f = f._numbered()
+        if len(f._order) == 1:
+            return f, q(f._order[0][0])
+        return f, F.struct(*[x for i, (c, _) in enumerate(f._order) for x in (q(c).isNull().alias(f"n{i}"), q(c).alias(f"v{i}"))])
+
     def _numbered(self) -> Frame:
         """With one ascending column that orders the rows; a range sort where the order is a composed one."""
         f = self._ordered()
@@ -159,8 +173,8 @@ class Frame:
     def _lowered(self, e: Expr, use: Callable[[Lowering], Column | tuple]) -> tuple[Frame, object]:
         """Lower with aggregates over this frame put in as scalar subqueries."""
         needs = _orders(e)
-        frame = self._numbered() if needs else self
-        low = Lowering(frame._schema, q(frame._order[0][0]) if needs else None)
+        frame, place = self._placed() if needs else (self, None)
+        low = Lowering(frame._schema, place)
         out = use(low)
         if low.aggregates:
             one = frame._df.agg(*[c.alias(k) for k, c in low.aggregates.items()])
@@ -256,6 +270,14 @@ class Frame:
         df = base._df.withColumns({f"__sg_o{n + i}": q(k) for i, k in enumerate(keys)})
         return Frame(df, self._schema, [(f"__sg_o{n + i}", d) for i, d in enumerate(down)] + (old or base._order))
 
+    def argsort(self, by, descending=False) -> Frame:
+        """One column `position`: where the rows of the sorted frame stand in this one."""
+        if "position" in self._schema:
+            raise FrameError("the frame has a column 'position' already")
+        f = self._numbered()
+        placed = f._positions().withColumnRenamed("__sg_pos", "position")
+        return Frame(placed, f._schema | {"position": Field("i64")}, f._order).sort_values(by, descending).select("position")
+
     def head(self, n: int = 5) -> Frame:
         return self.slice(0, max(0, n))
 
@@ -446,8 +468,7 @@ class GroupBy:
         if len(set(names)) < len(names):
             raise FrameError("two results have the same name")
         needs = any(e is not None and _orders(e) for _, e in plans)
-        frame = frame._numbered() if needs or keys else frame
-        rid = q(frame._order[0][0]) if frame._order else None
+        frame, rid = frame._placed() if needs or keys else (frame, None)
         low = Lowering(frame._schema, rid)
         columns, schema = [], {k: frame._schema[k] for k in keys}
         for name, e in plans:

@@ -420,6 +420,11 @@ def o_top_k_smallest(read):
     return read("supplier").select("s_suppkey", "s_acctbal").top_k("s_acctbal", 5, largest=False)
 
 
+@query("SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS position FROM supplier QUALIFY row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) <= 15")
+def o_argsort(read):
+    return read("supplier").argsort("s_acctbal", descending=True).head(15)
+
+
 # --- aggregation ---
 
 _HOW = {"sum": "sum({0})", "mean": "avg({0})", "min": "min({0})", "max": "max({0})", "std": "stddev_samp({0})", "var": "var_samp({0})"}

@@ -82,13 +82,16 @@ def read_csv(source: str, *, text: bool = False, delimiter: str = ",", header: b
         df = spark.createDataFrame([(*r, i) for i, r in enumerate(cells)], T.StructType([*kind.fields, T.StructField("__sg_rid", T.LongType())]))
         sample, order = cells[:SAMPLE], [("__sg_rid", False)]
     else:
-        reader = spark.read.options(sep=delimiter, quote='"', escape='"', multiLine=True, mode="FAILFAST", enforceSchema=False, emptyValue="", nullValue="\x00", lineSep="\n", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+        reader = spark.read.options(sep=delimiter, quote='"', escape='"', multiLine=True, mode="FAILFAST", enforceSchema=False, emptyValue="", nullValue="\x00", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+        line = spark.read.text(source, lineSep="\n").first()
+        if line and not line[0].endswith("\r"):  # else the reader takes CRLF as the end of rows
+            reader = reader.option("lineSep", "\n")
         head = reader.option("header", header).csv(source)
         names = list(columns or (head.columns if header else [f"column_{i}" for i in range(len(head.columns))]))
         if len(names) != len(head.columns):
             raise FrameError(f"{len(names)} names, but {len(head.columns)} columns")
         df = head.toDF(*names)
-        df = df.select(*[F.when(~F.regexp_replace(f"`{n}`", "\r$", "").isin(*null_values), F.regexp_replace(f"`{n}`", "\r$", "")).alias(n) for n in names])
+        df = df.select(*[F.when(~F.col(f"`{n}`").isin(*null_values), F.col(f"`{n}`")).alias(n) for n in names])
         order = None
         if skip_rows or max_rows is not None:
             df = df.offset(skip_rows) if max_rows is None else df.limit(skip_rows + max_rows).offset(skip_rows)

@@ -1,0 +1 @@
+"""Nothing here: no operator of the engine works on streams."""
