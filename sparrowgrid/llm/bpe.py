@@ -208,10 +208,10 @@ class Encoder:
         self.starts, self.uses = ends - self.lengths, np.zeros(len(kept), np.int64)
 
     def pieces(self, text: str) -> list[str]:
-        """Cut before single spaces; only a text with other white space needs the pattern for it."""
+        """Cut before single spaces; only a text with other white space, or runs of it, needs the pattern for that."""
         if not text:
             return []
-        if len(text.split()) == text.count(" ") + text.count("\n") + 1:
+        if len(text.split()) == text.count(" ") + text.count("\n") + 1 and text.replace("\n", "").isprintable():
             out = text.split(" ")
             out[0] = self.RAW + out[0]
             return out
@@ -257,17 +257,6 @@ class Encoder:
         return b"".join(map(self.replay.tokens.__getitem__, ids.tolist()))
 
 
-_ENCODERS: dict = {}
-
-
-def encoder_of(tag: str, shared, pattern: str) -> Encoder:
-    """The Encoder of this worker process, kept from task to task."""
-    if (tag, pattern) not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[tag, pattern] = Encoder(shared.value, pattern)
-    return _ENCODERS[tag, pattern]
-
-
 def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, *, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """Per row: the key, n_tokens, ids_sha256, decoded_sha256, and the ids themselves if asked for.
 
@@ -281,7 +270,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, *, key: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            encoder = encoder_of(tag, shared, pattern)
+            encoder = common.held((tag, pattern), lambda: Encoder(shared.value, pattern))
             texts = batch.column(1).to_pylist()
             for a, b in common.chunks(texts, len, BLOCK_CHARS):
                 found = encoder.encode(texts[a:b])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +52,25 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+_HELD: dict = {}
+
+
+def held(tag, make: Callable):
+    """What this worker process keeps from task to task: one object, that of the last tag."""
+    if tag not in _HELD:
+        _HELD.clear()
+        _HELD[tag] = make()
+    return _HELD[tag]
+
+
 def chunks(values: list, size_of, most: int) -> Iterator[tuple[int, int]]:
     """Cut a list into runs of at most `most` in total size, one element at least."""
     at = total = 0

@@ -223,14 +223,8 @@ def histories(ids: np.ndarray, ends: np.ndarray, start: int, none: int) -> tuple
     return before, two
 
 
-_OPEN: dict = {}
-
-
 def opened(model: Model) -> tuple[Reader, dict]:
-    if model.folder not in _OPEN:
-        _OPEN.clear()
-        _OPEN[model.folder] = Reader(Vocabulary(model.folder, model.shards, model.sizes)), {}
-    return _OPEN[model.folder]
+    return common.held(model.folder, lambda: (Reader(Vocabulary(model.folder, model.shards, model.sizes)), {}))
 
 
 def count_ngrams(docs: DataFrame, model: Model, *, text: str) -> None:

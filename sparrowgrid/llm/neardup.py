@@ -7,7 +7,8 @@ the shingles' hashes propose pairs, a member of a band with the band's smallest
 similarity of the shingle sets decides. Both kinds of links make the groups.
 
 Defined results: null and empty texts have fingerprint zero, and one of them is kept; of a group the row with
-the smallest key stays; rows that repeat that key stay too; rows with a null key stay; further columns are kept.
+the smallest key stays, as often as it stands there; of rows that share a key each is judged by its own text; rows
+with a null key stay; further columns are kept.
 """
 
 from __future__ import annotations
@@ -56,18 +57,20 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def similar(docs: DataFrame, pairs: DataFrame, *, key: str, text: str, shingle: int, share: float) -> DataFrame:
-    """The pairs (a, b) of keys whose texts' shingle sets have a Jaccard similarity of at least `share`."""
-    kind = dict(docs.dtypes)[key]
-    wanted = common.stored(pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct(), "neardup-keys")
+def similar(docs: DataFrame, pairs: DataFrame, rows: DataFrame, *, key: str, text: str, shingle: int, share: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts' shingle sets have a Jaccard similarity of at least `share`.
+
+    `rows` (node, k, h) tells the key and the text's hash of each node.
+    """
+    wanted = common.stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(rows, "node"), "neardup-nodes")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.unique(hashes(w, shingle)).tobytes() if (w := words_of(t)) else b"" for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["k", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "s"])
 
-    texts = docs.select(F.col(key).alias("k"), common.text_bytes(text).alias("t")).join(few(wanted), "k")
-    found = common.stored(texts.mapInArrow(sets, f"k {kind}, s binary").dropDuplicates(["k"]), "neardup-sets")
+    texts = texts_of(docs, key, text).join(few(wanted), ["k", "h"]).select("node", "t")
+    found = common.stored(texts.mapInArrow(sets, "node long, s binary").dropDuplicates(["node"]), "neardup-sets")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,12 +81,18 @@ def similar(docs: DataFrame, pairs: DataFrame, *, key: str, text: str, shingle:
                 keep.append(both >= share * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    one, two = found.select(F.col("k").alias("a"), F.col("s").alias("x")), found.select(F.col("k").alias("b"), F.col("s").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(judge, f"a {kind}, b {kind}")
+    one, two = found.select(F.col("node").alias("a"), F.col("s").alias("x")), found.select(F.col("node").alias("b"), F.col("s").alias("y"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(judge, "a long, b long")
+
+
+def texts_of(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(k, t, h): key, text and the text's hash of the rows that have a key."""
+    t = common.text_bytes(text)
+    return docs.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), t.alias("t"), F.xxhash64(t).alias("h"))
 
 
 def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 3, most: int = 2, shingle: int = 5, share: float = 0.8) -> DataFrame:
-    """(key, component_id) of all rows: component_id is the smallest key reachable by either kind of link."""
+    """(key, h, component_id) of the rows that have a key: h is the text's hash, component_id the smallest key reachable by either kind of link."""
     spark = docs.sparkSession
     common.bound_batches(spark)
     kind = dict(docs.dtypes)[key]
@@ -92,21 +101,24 @@ def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: i
         for batch in batches:
             texts = [words_of(t) for t in batch.column(1).to_pylist()]
             prints = np.array([fingerprint(w, words) for w in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints), pa.array([bands(w, shingle) for w in texts], pa.list_(pa.int64()))], ["k", "fp", "bands"])
-
-    prints = common.stored(docs.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), common.text_bytes(text).alias("t")).mapInArrow(read, f"k {kind}, fp long, bands array<long>"), "neardup-prints")
-    vertices = common.stored(prints.groupBy("fp").agg(F.min("k").alias("rep"), F.min_by("bands", "k").alias("bands")), "neardup-vertices")
-    each = vertices.select("rep", F.explode("bands").alias("band"))
-    ends = common.stored(each.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "low", "high"), "neardup-bands")
-    met = each.join(ends, "band").select("rep", F.explode(F.array("low", "high")).alias("b"))
-    pairs = common.stored(met.where("rep <> b").select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct(), "neardup-pairs")
-    close = similar(docs, pairs, key=key, text=text, shingle=shingle, share=share)
-    labels = connected(links(vertices.select("fp", "rep"), most).union(close))
-    named = common.stored(vertices.join(labels, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "neardup-named")
-    return prints.select("k", "fp").join(named, "fp").select(F.col("k").alias(key), "component_id")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(prints), pa.array([bands(w, shingle) for w in texts], pa.list_(pa.int64()))], ["k", "h", "fp", "bands"])
+
+    prints = common.stored(texts_of(docs, key, text).mapInArrow(read, f"k {kind}, h long, fp long, bands array<long>"), "neardup-prints")
+    # One node for each fingerprint, with the text of its smallest key.
+    nodes = common.stored(prints.groupBy("fp").agg(F.min(F.struct("k", "h", "bands")).alias("x")).select(F.col("fp").alias("node"), "x.k", "x.h", "x.bands"), "neardup-nodes")
+    each = nodes.select("node", F.explode("bands").alias("band"))
+    ends = common.stored(each.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "low", "high"), "neardup-bands")
+    met = each.join(ends, "band").select("node", F.explode(F.array("low", "high")).alias("b"))
+    pairs = common.stored(met.where("node <> b").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct(), "neardup-pairs")
+    close = similar(docs, pairs, nodes.select("node", "k", "h"), key=key, text=text, shingle=shingle, share=share)
+    labels = connected(links(nodes.select(F.col("node").alias("fp"), F.col("node").alias("rep")), most).union(close))
+    placed = common.stored(nodes.select("node", "k").join(labels, "node", "left").select("node", "k", F.coalesce("component", "node").alias("c")), "neardup-placed")
+    named = common.stored(placed.join(placed.groupBy("c").agg(F.min("k").alias("component_id")), "c").select(F.col("node").alias("fp"), "component_id"), "neardup-named")
+    return prints.select("k", "h", "fp").join(named, "fp").select(F.col("k").alias(key), "h", "component_id")
 
 
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs`, all columns kept, but for near copies of a row with a smaller key."""
-    lost = groups(docs, key=key, text=text).where(F.col(key) != F.col("component_id")).select(F.col(key).alias("__lost")).distinct()
-    return docs.join(few(common.stored(lost, "neardup-lost")), docs[key] == F.col("__lost"), "left_anti")
+    k, h = common.fresh(docs, "lost_key"), common.fresh(docs, "lost_text")
+    lost = groups(docs, key=key, text=text).where(F.col(key) != F.col("component_id")).select(F.col(key).alias(k), F.col("h").alias(h)).distinct()
+    return docs.join(few(common.stored(lost, "neardup-lost")), (F.col(key) == F.col(k)) & (F.xxhash64(common.text_bytes(text)) == F.col(h)), "left_anti")

@@ -96,9 +96,9 @@ def _card() -> str:
     )
 
 
-def candidates(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """`docs` with the array `spans` of all candidates, base kinds first."""
-    t = "_pii_text"
+def candidates(docs: DataFrame, *, text: str = "text", into: str = "spans") -> DataFrame:
+    """`docs` with the array `into` of all candidates, base kinds first."""
+    t = common.fresh(docs, "_pii_text")
     docs = docs.withColumn(t, common.text_or_empty(text))
     parts = []
     for k, (pattern, keep, _) in enumerate(KINDS.values()):
@@ -107,7 +107,7 @@ def candidates(docs: DataFrame, *, text: str = "text") -> DataFrame:
         kept = f"filter({found(t, k, pattern, CONTEXT)}, s -> transform(array(s.match), m -> {keep})[0])"
         parts.append(f"case when {gate} then {kept} else {EMPTY} end")
     spans = f"case when {t} rlike {quoted(GATE)} then concat({', '.join(parts)}) else {EMPTY} end"
-    return docs.withColumn("_pii_spans", F.expr(spans)).drop(t)
+    return docs.withColumn(into, F.expr(spans)).drop(t)
 
 
 def em(patterns: dict[tuple[int, ...], float], prior: float = 0.7, rounds: int = 60) -> dict[tuple[int, ...], float]:
@@ -160,34 +160,35 @@ def train(rows: list[tuple[int, tuple[int, ...], int, float]], rounds: int = 300
     return weights
 
 
-def fit(spans: DataFrame) -> list[float] | None:
-    """The classifier of all candidates in column `_pii_spans`."""
+def fit(found: DataFrame, column: str) -> list[float] | None:
+    """The classifier of all candidates in `column`."""
     votes = [F.expr(v).alias(f"v{i}") for i, v in enumerate(LABELERS.values())]
     names = [f"v{i}" for i in range(len(LABELERS))]
-    each = spans.select(F.explode("_pii_spans").alias("s")).select(F.col("s.kind").alias("kind"), *votes, F.expr(_LENGTH).alias("length"))
+    each = found.select(F.explode(column).alias("s")).select(F.col("s.kind").alias("kind"), *votes, F.expr(_LENGTH).alias("length"))
     rows = each.groupBy("kind", *names, "length").count().collect()
     found = sorted((r["kind"], tuple(r[n] for n in names), r["length"], float(r["count"])) for r in rows)
     return train(found) if found else None
 
 
-def chosen(weights: list[float] | None) -> str:
-    """SQL for the spans that stay: base ones, and others that the classifier finds likely."""
+def chosen(weights: list[float] | None, column: str) -> str:
+    """SQL for the spans of `column` that stay: base ones, and others that the classifier finds likely."""
     base = ", ".join(str(i) for i, (_, _, own) in enumerate(KINDS.values()) if own)
     if weights is None:
-        return f"filter(_pii_spans, s -> s.kind in ({base}))"
+        return f"filter({column}, s -> s.kind in ({base}))"
     w = lambda values: "array(" + ", ".join(f"{x!r}D" for x in values) + ")"
     n = len(NAMES)
     terms = [f"{w(weights[:n])}[s.kind]", *(f"{w(weights[n + 3 * i : n + 3 * i + 3])}[({v}) + 1]" for i, v in enumerate(LABELERS.values())), f"{w(weights[n + 3 * len(LABELERS) :])}[{_LENGTH}]"]
     # A candidate of another kind inside a base span would say the same twice.
-    free = f"not exists(filter(_pii_spans, b -> b.kind in ({base})), b -> b.start < s.end and s.start < b.end)"
-    return f"filter(_pii_spans, s -> s.kind in ({base}) or ({' + '.join(terms)} >= 0 and {free}))"
+    free = f"not exists(filter({column}, b -> b.kind in ({base})), b -> b.start < s.end and s.start < b.end)"
+    return f"filter({column}, s -> s.kind in ({base}) or ({' + '.join(terms)} >= 0 and {free}))"
 
 
 def report(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, n_email, n_ip, n_card, n_phone, base_sha256 and all spans as text, by start."""
-    all_ = common.stored(candidates(docs.select(key, text), text=text).select(key, "_pii_spans"), "pii-candidates")
+    column = common.fresh(docs, "found")
+    all_ = common.stored(candidates(docs.select(key, text), text=text, into=column).select(key, column), "pii-candidates")
     base = [i for i, (_, _, own) in enumerate(KINDS.values()) if own]
-    out = all_.withColumn("spans", F.expr(chosen(fit(all_))))
+    out = all_.withColumn("spans", F.expr(chosen(fit(all_, column), column)))
     counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = {i})) as bigint)").alias(f"n_{NAMES[i]}") for i in base]
     own = f"array_sort(filter(spans, s -> s.kind in ({', '.join(map(str, base))})), (a, b) -> case when a.kind <> b.kind then a.kind - b.kind else a.start - b.start end)"
     ordered = "array_sort(spans, (a, b) -> case when a.kind <> b.kind then a.kind - b.kind else a.start - b.start end)"
@@ -196,19 +197,19 @@ def report(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataF
 
 def redact(docs: DataFrame, *, text: str = "text", length: str | None = "n_chars") -> DataFrame:
     """`docs` with each span that stays replaced by its kind, as in [EMAIL]; `length` is set anew. Overlapping spans become one."""
-    columns = docs.columns
-    all_ = common.stored(candidates(docs, text=text), "pii-candidates")
-    spans = f"array_sort({chosen(fit(all_))})"
+    columns, column = docs.columns, common.fresh(docs, "found")
+    all_ = common.stored(candidates(docs, text=text, into=column), "pii-candidates")
+    spans = f"array_sort({chosen(fit(all_, column), column)})"
     names = "array(" + ", ".join(f"'[{k.upper()}]'" for k in NAMES) + ")"
     step = (
         f"case when s.start < a.at then named_struct('at', greatest(a.at, s.end), 'out', a.out) else "
         f"named_struct('at', s.end, 'out', concat(a.out, array(substring(t, a.at + 1, s.start - a.at), {names}[s.kind]))) end"
     )
     joined_ = f"aggregate({spans}, named_struct('at', 0, 'out', cast(array() as array<string>)), (a, s) -> {step}, a -> array_join(concat(a.out, array(substring(t, a.at + 1, length(t)))), ''))".replace("substring(t,", f"substring(`{text}`,").replace("length(t)", f"length(`{text}`)")
-    clean = F.when(F.size("_pii_spans") > 0, F.expr(joined_)).otherwise(F.col(text))
+    clean = F.when(F.size(column) > 0, F.expr(joined_)).otherwise(F.col(text))
     out = all_.withColumn(text, clean)
     if length in columns:
-        out = out.withColumn(length, F.when(F.size("_pii_spans") > 0, F.length(text).cast(dict(docs.dtypes)[length])).otherwise(F.col(length)))
+        out = out.withColumn(length, F.when(F.size(column) > 0, F.length(text).cast(dict(docs.dtypes)[length])).otherwise(F.col(length)))
     return out.select(*columns)
 
 

@@ -29,7 +29,6 @@ from .bpe import Encoder
 
 #: Characters of text that make up a row of a file, and of those that are tokenised together.
 ROW_CHARS, BATCH_CHARS = 2_400_000, 2_400_000
-_ENCODERS: dict = {}
 
 
 class LibraryEncoder(Encoder):
@@ -69,14 +68,6 @@ class LibraryEncoder(Encoder):
         self.pool = np.concatenate((self.pool, np.fromiter(chain.from_iterable(e.ids for e in found), np.int32, int(lengths.sum()))))
 
 
-def encoder(tag: int, definition: str) -> LibraryEncoder:
-    """The encoder of this worker process, kept from task to task."""
-    if tag not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[tag] = LibraryEncoder(definition)
-    return _ENCODERS[tag]
-
-
 def write(docs: DataFrame, vocabulary: str, folder: str, *, end_id: int, key: str = "doc_id", text: str = "text") -> None:
     """Write the ids of all documents, each followed by `end_id`. The tokenizer's file (a few MB) is broadcast."""
     spark = docs.sparkSession
@@ -87,7 +78,7 @@ def write(docs: DataFrame, vocabulary: str, folder: str, *, end_id: int, key: st
     kind = dict(docs.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = encoder(tag, shared.value)
+        tok = common.held(("idfiles", tag), lambda: LibraryEncoder(shared.value))
         size = max(tok.library.get_vocab_size(), end_id + 1)
         shard, sequence, before = TaskContext.get().partitionId(), 0, 0
         keys: list = []

@@ -265,14 +265,8 @@ def trained(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: st
     return context.broadcast((model, f, share))
 
 
-_SCORERS: dict = {}
-
-
 def scorer(shared, tag: str) -> Scorer:
-    if tag not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[tag] = Scorer(*shared.value)
-    return _SCORERS[tag]
+    return common.held(tag, lambda: Scorer(*shared.value))
 
 
 def _tag() -> str:

@@ -104,9 +104,6 @@ def publish(spark: SparkSession, entries: Iterable[tuple[str, str]]) -> str:
     return path
 
 
-_MAPPED: dict[str, DigestArray] = {}
-
-
 def filter_urls(pages: DataFrame, entries: Iterable[tuple[str, str]], *, key: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
     """(key, host, path, rule, verdict) of each row."""
     spark = pages.sparkSession
@@ -121,10 +118,7 @@ def filter_urls(pages: DataFrame, entries: Iterable[tuple[str, str]], *, key: st
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _MAPPED:
-            _MAPPED.clear()
-            _MAPPED[path] = DigestArray(path)
-        array = _MAPPED[path]
+        array = common.held(path, lambda: DigestArray(path))
         for batch in batches:
             found = array.judge([x.encode() for x in batch.column(1).to_pylist()], [x.encode() for x in batch.column(2).to_pylist()])
             yield pa.RecordBatch.from_arrays([
