@@ -9,7 +9,7 @@ of the whole sequence finds a successor of one context). Probabilities are Diric
     P(w3 | w2) = (c(w2 w3) + M2 P(w3)) / (c(w2) + M2),  P(w3 | w1 w2) = b(w1 w2) (c(w1 w2 w3) / M3 + P(w3 | w2)),
     b(w1 w2) = M3 / (c(w1 w2) + M3),  P(w) = (c(w) + 1) / (N + V + 1),
 
-and stored in one byte each: P(w3 | w2) by 256 bins of equal size, b and c(w1 w2 w3) / M3 by a fixed code of counts.
+and stored in one byte each: P(w3 | w2) by 256 bins of equal width, b and c(w1 w2 w3) / M3 by a fixed code of counts.
 All counts are over all training texts, none is pruned.
 
 Defined results: null and empty texts are one end token; a null key counts as the text "" in the fold; repeated
@@ -309,8 +309,8 @@ def write_cell(model: Model, vocabulary: Vocabulary, cell: int, w1: np.ndarray,
     word_counts = np.empty(len(c3), np.int64)
     word_counts[by_word] = vocabulary.counts(c3[by_word])
     p = np.log10((pairs + M2 * (word_counts + 1) / model.floor) / (context_counts + M2))
-    # 256 bins of equal numbers of values, each with its mean.
-    edges = np.unique(np.quantile(p, np.arange(1, 256) / 256))
+    # 256 bins of equal width, each with the mean of its values: no value is off by more than that width.
+    edges = np.linspace(p.min(), p.max(), 257)[1:-1]
     code = np.searchsorted(edges, p, side="right")
     book = np.bincount(code, p, 256) / np.maximum(np.bincount(code, minlength=256), 1)
     arrays: dict[str, np.ndarray] = {"book": book, "p2": code.astype(np.uint8), "b2": count_code(pairs), "q3": count_code(n[kept])}
