@@ -145,6 +145,20 @@ def test_one_large_group_of_near_copies(spark):
     assert [r["doc_id"] for r in neardup.keep_one(spark.createDataFrame(texts, SCHEMA)).collect()] == [0]
 
 
+def test_copies_that_are_close_to_the_original_only(spark):
+    rng = random.Random(14)
+    base = prose(rng, 200).split()
+    texts = {7: " ".join(base)}
+    for i in range(40):
+        copy = list(base)
+        for at in rng.sample(range(0, 200, 6), 3):
+            copy[at] = f"edit{i}"
+        texts[100 + i if i % 2 else -100 - i] = " ".join(copy)
+    assert sum(jaccard(texts[101], t) >= 0.8 for t in texts.values()) < 20 and all(jaccard(texts[7], t) >= 0.8 for t in texts.values())
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in texts.items()], SCHEMA)
+    assert [r["doc_id"] for r in neardup.keep_one(docs).collect()] == [min(texts)]
+
+
 def test_keep_one_of_odd_documents(odd_docs, odd_texts):
     kept = neardup.keep_one(odd_docs)
     assert kept.columns == odd_docs.columns
