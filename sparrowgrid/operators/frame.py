@@ -24,6 +24,8 @@ from ..types import NUMERIC, RANGES, SPARK, Field, normalised
 
 HIDDEN = "__sg_"
 RID = "__sg_rid"
+#: Rows that a top-k plan takes through one task at most; beyond it rows get positions first.
+MOST_TAKEN = 1_000_000
 
 
 def session(spark: SparkSession | None = None) -> SparkSession:
@@ -149,9 +151,19 @@ class Frame:
         return Frame(df, f._schema, [(RID, False)])
 
     def _positions(self) -> DataFrame:
-        """With the row's position, counted partition by partition after a range sort."""
-        kind = T.StructType([*self._df.schema.fields, T.StructField("__sg_pos", T.LongType())])
-        return self._df.sparkSession.createDataFrame(self._df.orderBy(*self._keys()).rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), kind)
+        """With the row's position: rows are range-sorted and stored once, and only partition sizes reach the driver."""
+        spark = self.spark
+        if not spark.conf.get("spark.checkpoint.dir", None):
+            spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
+        part = F.shiftright("__sg_at", 33)
+        df = self._df.orderBy(*self._keys()).withColumn("__sg_at", F.monotonically_increasing_id()).checkpoint()
+        first, at = [], 0
+        for p, n in sorted(df.groupBy(part.alias("p")).count().collect()):
+            first.append((p, at))
+            at += n
+        starts = F.broadcast(spark.createDataFrame(first, "__sg_part long, __sg_first long"))
+        inside = F.col("__sg_at").bitwiseAND(F.lit((1 << 33) - 1))
+        return df.join(starts, part == F.col("__sg_part")).withColumn("__sg_pos", F.col("__sg_first") + inside).drop("__sg_at", "__sg_part", "__sg_first")
 
     # --- projection ---
 
@@ -197,7 +209,6 @@ class Frame:
             raise FrameError(f"a list of {len(cells)} cells does not fit the frame")
         field = Field(dtype or inferred([_plain(v) for v in cells]))
         spark = self._df.sparkSession
-        # The order column need not be contiguous: positions are counted once, partition by partition.
         placed = frame._positions()
         extra = spark.createDataFrame([(i, _cell(_plain(v), field)) for i, v in enumerate(cells)], T.StructType([T.StructField("__sg_pos", T.LongType()), T.StructField("__sg_new", SPARK[field.dtype])]))
         df = placed.join(extra, "__sg_pos").withColumn(name, F.col("__sg_new")).drop("__sg_new", "__sg_pos")
@@ -282,17 +293,20 @@ class Frame:
         return self.slice(0, max(0, n))
 
     def tail(self, n: int = 5) -> Frame:
-        f = self._ordered()
-        return Frame(f._df.orderBy(*f._keys(reverse=True)).limit(max(0, n)), f._schema, f._order)
+        f, n = self._ordered(), max(0, n)
+        if n <= MOST_TAKEN:
+            return Frame(f._df.orderBy(*f._keys(reverse=True)).limit(n), f._schema, f._order)
+        return self.slice(max(0, self.length - n))
 
     def slice(self, start: int, end: int | None = None) -> Frame:
         """Rows start to end by position, clamped; a negative start counts as 0."""
-        f = self._ordered()
-        start = max(0, start)
-        df = f._df.orderBy(*f._keys())
-        if end is not None:
-            df = df.limit(max(0, end))
-        return Frame(df.offset(start) if start else df, f._schema, f._order)
+        f, start = self._ordered(), max(0, start)
+        if end is not None and end <= MOST_TAKEN:
+            df = f._df.orderBy(*f._keys()).limit(max(0, end))
+            return Frame(df.offset(start) if start else df, f._schema, f._order)
+        place = F.col("__sg_pos")
+        kept = f._positions().where(place >= start if end is None else (place >= start) & (place < end))
+        return Frame(kept.drop("__sg_pos"), f._schema, f._order)
 
     def top_k(self, by: str, k: int, largest: bool = True) -> Frame:
         """The k rows of largest (or smallest) values; nulls take no part, NaN is the largest, ties by position."""

@@ -83,6 +83,14 @@ def test_positions(make):
     assert order(f.filter(col("i").mod(2).eq(1)).slice(1, 3)) == [3, 5]
 
 
+def test_positions_beyond_a_top_k_plan(spark, make, monkeypatch):
+    monkeypatch.setattr("sparrowgrid.operators.frame.MOST_TAKEN", 3)
+    f = Frame.from_spark(spark.range(0, 100, 1, 7).withColumnRenamed("id", "i")).sort_values("i", descending=True)
+    assert order(f.slice(10, 15)) == [89, 88, 87, 86, 85]
+    assert order(f.slice(95)) == [4, 3, 2, 1, 0] and order(f.tail(4)) == [3, 2, 1, 0] and order(f.head(5)) == [99, 98, 97, 96, 95]
+    assert order(f.slice(200)) == [] and order(f.tail(200))[0] == 99
+
+
 def test_projection(make):
     f = make(a=[1.0], b=["x"], c=[True])
     assert f.select("c", "a").columns == ["c", "a"]
