@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame
 from . import common
 
 #: Pieces kept with their ids in a worker; beyond it those met only once go.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 #: Characters of a block of documents that are encoded together.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 3_000_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -263,7 +263,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, *, key: str
     `vocabulary` is read on the driver and broadcast: its size is bounded by the file (under 2 MB).
     """
     spark = docs.sparkSession
-    common.bound_batches(spark, 8)
+    common.bound_batches(spark)
     tokens = read_ranks(vocabulary)
     tag, shared = hashlib.sha256(repr(tokens).encode()).hexdigest(), spark.sparkContext.broadcast(tokens)
     kind = dict(docs.dtypes)[key]
