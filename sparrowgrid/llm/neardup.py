@@ -3,8 +3,8 @@
 Texts whose sets of five-word shingles have a Jaccard similarity of 0.8 lie some five to fourteen of 64
 fingerprint bits apart, which no search by shared bits can cover at scale. SimHash links (three words, two bits)
 therefore find exact copies and the closest ones, and a second route finds the rest: bands of minima of
-the shingles' hashes propose pairs, a member of a band with two nodes of it only: the smallest, and the hub that shares
-most bands with others. The exact similarity of the shingle sets decides. Both kinds of links make the groups.
+the shingles' hashes propose pairs, a member of a band with three nodes of it only: those of the smallest and the
+largest key, and the hub that shares most bands with others. The exact similarity of the shingle sets decides. Both kinds of links make the groups.
 
 Defined results: null and empty texts have fingerprint zero, and one of them is kept; of a group the row with
 the smallest key stays, as often as it stands there; of rows that share a key each is judged by its own text; rows
@@ -106,12 +106,16 @@ def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: i
     prints = common.stored(texts_of(docs, key, text).mapInArrow(read, f"k {kind}, h long, fp long, bands array<long>"), "neardup-prints")
     # One node for each fingerprint, with the text of its smallest key.
     nodes = common.stored(prints.groupBy("fp").agg(F.min(F.struct("k", "h", "bands")).alias("x")).select(F.col("fp").alias("node"), "x.k", "x.h", "x.bands"), "neardup-nodes")
-    each = nodes.select("node", F.explode("bands").alias("band"))
-    shared = common.stored(each.join(each.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "band"), "neardup-bands")
+    each = nodes.select("node", "k", F.explode("bands").alias("band"))
+    # Counts and ends are stored before they are joined: both sides of a join are then plain, and its hot bands can be split.
+    counts = common.stored(each.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "neardup-bands")
+    shared = common.stored(each.join(few(counts), "band"), "neardup-shared")
     # The node of a band that meets others most often is its hub: of an original and its edited copies, the original.
-    weighed = common.stored(shared.join(shared.groupBy("node").agg(F.sum("n").alias("weight")), "node").select("band", "node", "weight"), "neardup-weights")
-    ends = weighed.groupBy("band").agg(F.min("node").alias("low"), F.max(F.struct("weight", "node"))["node"].alias("hub"))
-    met = weighed.join(ends, "band").select("node", F.explode(F.array("low", "hub")).alias("b"))
+    weights = common.stored(shared.groupBy("node").agg(F.sum("n").alias("weight")), "neardup-weights")
+    weighed = common.stored(shared.join(few(weights), "node").select("band", "node", "k", "weight"), "neardup-weighed")
+    first, last, hub = F.min(F.struct("k", "node")), F.max(F.struct("k", "node")), F.max(F.struct("weight", "node"))
+    ends = common.stored(weighed.groupBy("band").agg(F.array(first["node"], last["node"], hub["node"]).alias("ends")), "neardup-ends")
+    met = weighed.join(few(ends), "band").select("node", F.explode("ends").alias("b"))
     pairs = common.stored(met.where("node <> b").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct(), "neardup-pairs")
     close = similar(docs, pairs, nodes.select("node", "k", "h"), key=key, text=text, shingle=shingle, share=share)
     labels = connected(links(nodes.select(F.col("node").alias("fp"), F.col("node").alias("rep")), most).union(close))
