@@ -3,13 +3,15 @@
 Centroids come from a bounded sample, by k-means whose overfull clusters are halved. A vector goes to its
 nearest list and, where it lies near a boundary, to further ones (distance ratio at most 1 + COPY, and no
 chosen centroid nearer to the new centroid than the vector is). Centroids are searched by an in-memory
-neighbour graph; a query reads the lists whose centroids are at most 1 + PROBE times as far as the nearest.
+neighbour graph, or compared outright where they are few; a query reads the lists whose centroids are at most
+a certain ratio as far as the nearest. That ratio is measured: for TRIALS queries the exact neighbours are found by
+brute force over all rows, and the ratio is the smallest that reaches the share `recall` of them.
 Largest inner product is nearest distance once each vector gets one more component that lifts all to the
 same norm, so lists are built in that space; scores are inner products of the original vectors.
 
-Bounds: SAMPLE_BYTES of sample and MOST_LISTS centroids are held on the driver and broadcast; every row is
-indexed. A long list is dealt out by vec_id, a much asked list by query, so that no task holds more than
-PART of either; all parts are searched.
+Bounds: SAMPLE_BYTES of sample, MOST_LISTS centroids and TRIALS * k neighbours are held on the driver; every row is
+indexed. Lists are put together to shards of about PART rows, longer ones are dealt over several by vec_id, and a
+shard that more than PART queries ask is dealt out by query; all of it is searched.
 
 Defined results: vectors that are null, zero, of another length than the first, or have null or non-finite
 components take no part, nor do null ids; of rows with one id the best score counts; ties go to smaller ids.
@@ -30,12 +32,13 @@ from . import common
 
 SAMPLE_BYTES = 32 << 20
 MOST_LISTS = 16384
-LIST_ROWS = 128
+LIST_ROWS = 256
 COPIES = 6
 COPY = 0.2
-PROBE = 0.35
-BEAM = 64
 PART = 4096
+TRIALS = 128
+#: Shards whose counts are broadcast at most.
+BROADCAST_ROWS = 500_000
 
 
 def centroids_of(sample: np.ndarray, lists: int, seed: int = 7) -> np.ndarray:
@@ -76,6 +79,10 @@ def means(x: np.ndarray, label: np.ndarray, old: np.ndarray) -> np.ndarray:
     return np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], old)
 
 
+def distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0, (x**2).sum(axis=1)[:, None] + (centres**2).sum(axis=1) - 2 * x @ centres.T))
+
+
 class Graph:
     """Centroids with links to their near neighbours and some far ones; batches are searched in step."""
 
@@ -93,6 +100,16 @@ class Graph:
 
     def search(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """The beam nearest centroids found for each row, nearest first: numbers and distances (-1, inf: none)."""
+        beam = min(beam, len(self.centres))
+        if len(self.centres) > 64 * beam:
+            return self.walk(x, beam)
+        far = distances(x, self.centres)
+        near = np.argpartition(far, beam - 1, axis=1)[:, :beam]
+        order = np.take_along_axis(near, np.argsort(np.take_along_axis(far, near, 1), axis=1, kind="stable"), 1)
+        return order, np.take_along_axis(far, order, 1)
+
+    def walk(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same by the graph: always the nearest centroid not yet seen from is looked around."""
         centres, rows = self.centres, np.arange(len(x))[:, None]
         beam = min(beam, len(centres))
         gap = lambda ids: np.sqrt(np.maximum(0, ((x[:, None, :] - centres[ids]) ** 2).sum(axis=2)))
@@ -120,7 +137,7 @@ class Graph:
 
 def lists_of(graph: Graph, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, list) of each copy of the vectors."""
-    found, far = graph.search(x, min(4 * COPIES, BEAM))
+    found, far = graph.search(x, 4 * COPIES)
     chosen = np.zeros(found.shape, bool)
     chosen[:, 0] = True
     for j in range(1, found.shape[1]):
@@ -135,7 +152,49 @@ def usable(column: str) -> Column:
     return x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists(x, lambda v: v != 0)
 
 
-def search(vectors: DataFrame, is_query: Column, *, k: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def top(scores: np.ndarray, k: int) -> np.ndarray:
+    """Which cells are among the k largest of their row, equal ones included; -inf is none."""
+    k = min(k, scores.shape[1])
+    least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+    return (scores >= np.where(np.isfinite(least), least - 1e-9 * (1 + np.abs(least)), least)[:, None]) & np.isfinite(scores)
+
+
+def nearest_of_shard(base: tuple, queries: tuple, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, score) of the k nearest rows of a shard for each query, of the lists that it asks.
+
+    `base`: list, id and vector of each row, by list; `queries`: id, vector and lists of each.
+    """
+    lists, ids, v = base
+    asking, q, asked = queries
+    names, most = np.unique(lists), int(np.unique(ids, return_counts=True)[1].max())
+    starts = np.append(np.searchsorted(lists, names), len(lists))
+    owner, flat = np.repeat(np.arange(len(asking)), [len(x) for x in asked]), np.concatenate(asked)
+    place = np.minimum(np.searchsorted(names, flat), len(names) - 1)
+    asks = np.zeros((len(asking), len(names)), bool)
+    asks[owner[names[place] == flat], place[names[place] == flat]] = True
+    out = []
+    for a in range(0, len(asking), 128):
+        score = np.full((len(asking[a : a + 128]), len(ids)), -np.inf)
+        for j, (s, e) in enumerate(zip(starts, starts[1:], strict=False)):
+            rows = np.flatnonzero(asks[a : a + 128, j])
+            if len(rows):
+                score[rows, s:e] = q[a + rows] @ v[s:e].T
+        score[asking[a : a + 128, None] == ids] = -np.inf
+        r, c = np.nonzero(top(score, k * most))
+        exact = np.zeros(len(r))
+        for d in range(q.shape[1]):  # the same order of sums for every pair, so that equal vectors tie
+            exact += q[a + r, d] * v[c, d]
+        order = np.lexsort((ids[c], -exact, r))
+        r, c, exact = r[order], c[order], exact[order]
+        new = np.ones(len(r), bool)
+        new[1:] = (r[1:] != r[:-1]) | (ids[c[1:]] != ids[c[:-1]])  # copies of a row stand in several lists
+        r, c, exact = r[new], c[new], exact[new]
+        kept = np.arange(len(r)) - np.searchsorted(r, r) < k
+        out.append((asking[a + r[kept]], ids[c[kept]], exact[kept]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def search(vectors: DataFrame, is_query: Column, *, k: int = 20, key: str = "vec_id", vector: str = "embedding", recall: float = 0.95) -> DataFrame:
     """The k nearest other rows found for each row where `is_query`: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     common.bound_batches(spark)
@@ -155,7 +214,8 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 20, key: str = "vec
         return np.concatenate((x, np.sqrt(np.maximum(0, norm - (x**2).sum(axis=1)))[:, None]), axis=1)
 
     centres = centroids_of(lifted(sample), int(min(MOST_LISTS, -(-n // LIST_ROWS))))
-    shared = spark.sparkContext.broadcast(Graph(centres))
+    graph = Graph(centres)
+    shared = spark.sparkContext.broadcast(graph)
 
     def matrix(column: pa.Array) -> np.ndarray:
         return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
@@ -175,43 +235,86 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 20, key: str = "vec
     postings = common.stored(rows.select("id", "v").mapInArrow(assign, "list int, id long, v binary"), "ann-lists")
     sizes = {r["list"]: r["count"] for r in postings.groupBy("list").count().collect()}  # MOST_LISTS * 2 rows at most
     held = np.array([sizes.get(i, 0) for i in range(len(centres))])
+    # Lists in order fill shards of PART rows; a longer list has several to itself.
+    parts = np.maximum(1, -(-held // PART))
+    first, shard, filled = np.zeros(len(held), np.int64), -1, PART
+    for i, n in enumerate(held.tolist()):
+        if parts[i] > 1 or filled + n > PART:
+            shard, filled = shard + 1, 0
+        first[i], shard = shard, shard + int(parts[i]) - 1
+        filled = PART if parts[i] > 1 else filled + n
+
+    def level(x: np.ndarray) -> np.ndarray:
+        """Queries in the lifted space; a query's own norm changes no order."""
+        return np.concatenate((x * np.sqrt(norm / (x**2).sum(axis=1, keepdims=True)), np.zeros((len(x), 1))), axis=1)
+
+    trials = rows.where("q").orderBy(F.xxhash64("id"), "id").limit(TRIALS).select("id", "v").collect()
+    if not trials:
+        return spark.createDataFrame([], schema)
+    tried, trial = np.array([r["id"] for r in trials]), np.array([r["v"] for r in trials], float)
+    asked_first = spark.sparkContext.broadcast((tried, trial))
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, q = asked_first.value
+        best, ids = np.full((len(own), 0), -np.inf), np.zeros((len(own), 0), np.int64)
+        for part, x in pieces(batches, 1):
+            now = np.broadcast_to(part.column(0).to_numpy(), (len(own), len(x)))
+            score = q @ x.T
+            score[own[:, None] == now] = -np.inf
+            best, ids = np.concatenate((best, score), axis=1), np.concatenate((ids, now), axis=1)
+            if best.shape[1] > k:
+                keep = np.argpartition(-best, k - 1, axis=1)[:, :k]
+                best, ids = np.take_along_axis(best, keep, 1), np.take_along_axis(ids, keep, 1)
+        r, c = np.nonzero(np.isfinite(best))
+        yield pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array(ids[r, c]), pa.array(best[r, c])], ["i", "id", "s"])
+
+    order = Window.partitionBy("i").orderBy(F.desc("s"), "id")
+    true = rows.select("id", "v").mapInArrow(exact, "i int, id long, s double").withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).select("i", "id")
+    # A row for each trial, neighbour and copy: TRIALS * k * COPIES at most.
+    needed = postings.select("id", "list").join(F.broadcast(true), "id").groupBy("i", "id").agg(F.collect_set("list").alias("lists")).collect()
+    ratio, beam = 1.0, 1
+    if needed:
+        far = distances(level(trial), centres)
+        far /= np.maximum(far.min(axis=1, keepdims=True), 1e-12)
+        ratio = float(np.quantile([far[r["i"], r["lists"]].min() for r in needed], recall, method="higher")) + 1e-9
+        beam = min(len(centres), int(1.1 * (far <= ratio).sum(axis=1).max()) + 1)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, x in pieces(batches, 1):
             x = np.array(x)
-            level = x * np.sqrt(norm / (x**2).sum(axis=1, keepdims=True))  # a query's own norm changes no order
-            wide = np.concatenate((level, np.zeros((len(x), 1))), axis=1)
-            found, far = shared.value.search(wide, BEAM)
-            before = np.cumsum(np.where(found >= 0, held[found], 0), axis=1) - np.where(found >= 0, held[found], 0)
-            probe = (found >= 0) & ((far <= (1 + PROBE) * far[:, :1]) | (before < COPIES * (k + 1)))
+            found, far = shared.value.search(level(x), max(beam, min(len(held), 8)))
+            size = np.where(found >= 0, held[found], 0)
+            probe = (found >= 0) & ((far <= ratio * far[:, :1]) | (np.cumsum(size, axis=1) - size < COPIES * (k + 1)))
             row, col = np.nonzero(probe)
-            yield pa.RecordBatch.from_arrays([pa.array(found[row, col], pa.int32()), part.column(0).take(pa.array(row)), pa.array([x[i].tobytes() for i in row], pa.binary())], ["list", "id", "v"])
-
-    asked = common.stored(rows.where("q").select("id", "v").mapInArrow(ask, "list int, id long, v binary"), "ann-asked")
-    asks = {r["list"]: r["count"] for r in asked.groupBy("list").count().collect()}
-    parts = spark.createDataFrame([(i, -(-sizes[i] // PART), -(-asks[i] // PART)) for i in sorted(asks) if i in sizes] or [(-1, 1, 1)], "list int, np int, nq int")
-    parts = F.broadcast(parts)
-    left = postings.join(parts, "list").select("list", F.pmod(F.xxhash64("id"), "np").alias("p"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("r"), "id", "v")
-    right = asked.join(parts, "list").select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("np").cast("long") - 1)).alias("p"), F.pmod(F.xxhash64("id"), "nq").cast("int").alias("r"), "id", "v")
+            listed = found[row, col]
+            many = parts[listed]
+            row, listed = np.repeat(row, many), np.repeat(listed, many)
+            to = first[listed] + np.arange(len(listed)) - np.repeat(np.cumsum(many) - many, many)
+            order = np.lexsort((listed, to, row))
+            row, listed, to = row[order], listed[order], to[order]
+            heads = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (to[1:] != to[:-1]))))
+            ends = pa.array(np.append(heads, len(row)), pa.int32())
+            yield pa.RecordBatch.from_arrays([
+                pa.array(to[heads], pa.int64()), part.column(0).take(pa.array(row[heads])), pa.array([x[i].tobytes() for i in row[heads]], pa.binary()), pa.ListArray.from_arrays(ends, pa.array(listed, pa.int32())),
+            ], ["shard", "id", "v", "lists"])
+
+    asked = common.stored(rows.where("q").select("id", "v").mapInArrow(ask, "shard long, id long, v binary, lists array<int>"), "ann-asked")
+    deal = common.stored(asked.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("nq")), "ann-deal")
+    deal = F.broadcast(deal) if deal.count() <= BROADCAST_ROWS else deal
+    places = F.broadcast(spark.createDataFrame([(i, int(first[i]), int(parts[i])) for i in range(len(held))], "list int, first long, np int"))
+    left = postings.join(places, "list").withColumn("shard", F.col("first") + F.pmod(F.xxhash64("id"), "np")).join(deal, "shard")
+    left = left.select("shard", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("r"), "list", "id", "v")
+    right = asked.join(deal, "shard").select("shard", F.pmod(F.xxhash64("id"), "nq").cast("int").alias("r"), "id", "v", "lists")
 
     def best(_, base: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(base) or not len(queries):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        base = base.sort_values("id")
-        v, ids = np.frombuffer(b"".join(base["v"]), float).reshape(-1, dims), base["id"].to_numpy()
-        q, asking = np.frombuffer(b"".join(queries["v"]), float).reshape(-1, dims), queries["id"].to_numpy()
-        out = []
-        for a in range(0, len(q), 128):
-            score = np.zeros((len(q[a : a + 128]), len(v)))
-            for d in range(dims):  # the same order of sums for every pair, so that equal vectors tie
-                score += q[a : a + 128, d, None] * v[None, :, d]
-            score[asking[a : a + 128, None] == ids] = -np.inf
-            order = np.argsort(-score, axis=1, kind="stable")[:, :k]
-            out.append(pd.DataFrame({"query_id": np.repeat(asking[a : a + 128], order.shape[1]), "vec_id": ids[order].ravel(), "score": np.take_along_axis(score, order, 1).ravel()}))
-        out = pd.concat(out)
-        return out[np.isfinite(out["score"])]
-
-    keys = ["list", "p", "r"]
+        found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        if len(base) and len(queries):
+            base = base.sort_values(["list", "id"])
+            vectors_of = lambda t: np.frombuffer(b"".join(t["v"]), float).reshape(-1, dims)
+            found = nearest_of_shard((base["list"].to_numpy(), base["id"].to_numpy(), vectors_of(base)), (queries["id"].to_numpy(), vectors_of(queries), queries["lists"].tolist()), k)
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found, strict=True)))
+
+    keys = ["shard", "r"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -32,7 +32,7 @@ def found(df) -> dict:
     return {k: sorted(v) for k, v in out.items()}
 
 
-@pytest.mark.parametrize(("n", "d", "spread"), [(3000, 24, 0.3), (3000, 24, 3.0), (2000, 8, 1.0)])
+@pytest.mark.parametrize(("n", "d", "spread"), [(3000, 24, 0.3), (3000, 24, 3.0), (2000, 8, 1.0), (6000, 64, 30.0)])
 def test_recall(spark, n, d, spread):
     rng = np.random.default_rng(n + d)
     centres = rng.normal(size=(25, d))
@@ -50,7 +50,7 @@ def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, None), (2, []), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [1.0, 2.0, 3.0]), (8, [1.0, 1.0]), (9, [1.0, 1.0]), (10, [1.0, -1.0]), (20, [0.5, 0.5]), (40, [0.0, 0.0]), (None, [1.0, 1.0]), (-20, [-1.0, 0.0])]
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA).withColumns({c: F.lit("x") for c in ("id", "v", "q", "list", "n", "d", "score", "rank")})
-    assert found(ann.search(df, F.col("vec_id") % 20 == 0)) == brute(rows)
+    assert found(ann.search(df, F.col("vec_id") % 20 == 0, recall=1.0)) == brute(rows)
 
 
 def test_no_vectors(spark):
@@ -64,14 +64,14 @@ def test_one_vector_many_times(spark, monkeypatch):
     """A list far beyond PART is dealt out, and all of it is searched."""
     monkeypatch.setattr(ann, "PART", 100)
     rows = [(i, [1.0, 1.0, 0.0]) for i in range(1500)] + [(1500 + i, [float(i % 7), 1.0, 2.0]) for i in range(500)]
-    got = found(ann.search(spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA), F.col("vec_id") % 20 == 0))
+    got = found(ann.search(spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA), F.col("vec_id") % 20 == 0, recall=1.0))
     assert got == brute(rows)
 
 
 def test_the_graph_finds_the_nearest():
     rng = np.random.default_rng(0)
     centres, x = rng.normal(size=(900, 12)), rng.normal(size=(200, 12))
-    ids, far = ann.Graph(centres).search(x, 64)
+    ids, far = ann.Graph(centres).walk(x, 64)
     exact = np.sqrt(((x[:, None] - centres[None]) ** 2).sum(axis=2))
     assert (ids[:, 0] == exact.argmin(axis=1)).mean() >= 0.95
     assert np.allclose(np.take_along_axis(exact, ids, 1), far) and (np.diff(far, axis=1) >= 0).all()
