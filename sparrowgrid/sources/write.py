@@ -6,6 +6,7 @@ import io
 from typing import TYPE_CHECKING
 
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from ..errors import FrameError
 
@@ -41,7 +42,8 @@ def arrow_bytes(frame: Frame) -> bytes:
         c = table[name].combine_chunks()
         if f.dtype == "timestamp":
             c = c.cast(pa.timestamp("us", "UTC")).cast(pa.int64())
-            c = pa.compute.floor(pa.compute.divide(c.cast(pa.float64()), 1000.0)).cast(pa.int64()).cast(pa.timestamp("ms")).cast(kind) if len(c) else pa.array([], kind)
+            whole = pc.divide(c, 1000)  # truncates; instants before 1970 go down
+            c = pc.if_else(pc.less(c, pc.multiply(whole, 1000)), pc.subtract(whole, 1), whole).cast(pa.timestamp("ms")).cast(kind)
         elif kind is not None:
             c = c.cast(kind)
         if f.dtype == "utf8":
