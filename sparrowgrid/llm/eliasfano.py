@@ -43,16 +43,20 @@ def read_arrays(path: str) -> tuple[dict[str, np.ndarray], dict]:
     return out, head["facts"]
 
 
+#: The place of the k-th one of a byte, at k << 8 | byte.
+_IN_BYTE = np.array([([i for i in range(8) if byte >> i & 1] + [0] * 8)[k] for k in range(8) for byte in range(256)], np.int64)
+
+
 def select_in_word(word: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """The place of the k-th one (from 0) of each word."""
-    word, k, place = word.copy(), k.astype(np.int64), np.zeros(len(word), np.int64)
-    for width in (32, 16, 8, 4, 2, 1):
-        ones = np.bitwise_count(word & U((1 << width) - 1)).astype(np.int64)
-        beyond = k >= ones
-        k -= np.where(beyond, ones, 0)
-        word = np.where(beyond, word >> U(width), word)
-        place += np.where(beyond, width, 0)
-    return place
+    """The place of the k-th one (from 0) of each word: by the ones up to each byte, then inside the byte."""
+    s = word - (word >> U(1) & U(0x5555555555555555))
+    s = (s & U(0x3333333333333333)) + (s >> U(2) & U(0x3333333333333333))
+    s = (s + (s >> U(4)) & U(0x0F0F0F0F0F0F0F0F)) * U(0x0101010101010101)
+    k = k.astype(U)
+    full = ((k * U(0x0101010101010101) | U(0x8080808080808080)) - s) & U(0x8080808080808080)
+    place = np.minimum(np.bitwise_count(full), 7).astype(U) * U(8)
+    inside = (k - (s << U(8) >> place & U(255))) & U(7)
+    return place.astype(np.int64) + _IN_BYTE[inside << U(8) | word >> place & U(255)]
 
 
 class EliasFano:
@@ -90,11 +94,29 @@ class EliasFano:
         value = self.low[word] >> shift | self.low[word + 1] << U(1) << (U(63) - shift)
         return value & U((1 << self.low_bits) - 1)
 
+    def bits(self, at: np.ndarray) -> np.ndarray:
+        """64 upper bits from each place on."""
+        word, shift = at >> 6, (at & 63).astype(U)
+        return self.high[word] >> shift | self.high[np.minimum(word + 1, len(self.high) - 1)] << U(1) << (U(63) - shift)
+
+    def place(self, i: np.ndarray) -> np.ndarray:
+        """Where the i-th one stands in the upper bits."""
+        word = np.searchsorted(self.ones, i.astype(np.uint32), side="right") - 1
+        return word * 64 + select_in_word(self.high[word], i - self.ones[word])
+
     def access(self, i: np.ndarray) -> np.ndarray:
         """The values at these places."""
-        word = np.searchsorted(self.ones, i.astype(np.uint32), side="right") - 1
-        place = word * 64 + select_in_word(self.high[word], i - self.ones[word])
-        return ((place - i).astype(U) << U(self.low_bits) | self.lows(i)).astype(np.int64)
+        return ((self.place(i) - i).astype(U) << U(self.low_bits) | self.lows(i)).astype(np.int64)
+
+    def access_pairs(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at these places, and at those after them: the next one is mostly in sight."""
+        at = self.place(i)
+        later = self.bits(at + 1)
+        next_ = at + 1 + np.bitwise_count((later & (~later + U(1))) - U(1))
+        far = np.flatnonzero(later == 0)
+        next_[far] = self.place(i[far] + 1)
+        value = lambda place, k: ((place - k).astype(U) << U(self.low_bits) | self.lows(k)).astype(np.int64)
+        return value(at, i), value(next_, i + 1)
 
     def zero(self, k: np.ndarray) -> np.ndarray:
         """The place of the k-th zero in the upper bits."""
@@ -103,19 +125,26 @@ class EliasFano:
 
     def find(self, values: np.ndarray) -> np.ndarray:
         """The place of each value, or -1."""
-        if not self.n:
-            return np.full(len(values), -1, np.int64)
         out = np.full(len(values), -1, np.int64)
+        if not self.n:
+            return out
         h = values >> self.low_bits
         inside = np.flatnonzero((values >= 0) & (h < int(self.zeros[-1]) + 64 - int(np.bitwise_count(self.high[-1]))))
         h, want = h[inside], (values[inside] & ((1 << self.low_bits) - 1)).astype(U)
-        first = np.where(h > 0, self.zero(np.maximum(h - 1, 0)) + 1 - h, 0)
-        last = self.zero(h) - h
-        left, right = first, last
-        while (open_ := left < right).any():
-            middle = (left + right) >> 1
-            less = self.lows(np.minimum(middle, self.n - 1)) < want
-            left, right = np.where(open_ & less, middle + 1, left), np.where(open_ & ~less, middle, right)
-        hit = (left < last) & (self.lows(np.minimum(left, self.n - 1)) == want)
+        start = np.where(h > 0, self.zero(np.maximum(h - 1, 0)) + 1, 0)
+        left = start - h
+        # The values that share their high bits are a run of ones.
+        gaps = ~self.bits(start)
+        right = left + np.bitwise_count((gaps & (~gaps + U(1))) - U(1))
+        long = np.flatnonzero(gaps == 0)
+        right[long] = self.zero(h[long]) - h[long]
+        last, todo = right.copy(), np.flatnonzero(left < right)
+        while len(todo):
+            middle = (left[todo] + right[todo]) >> 1
+            less = self.lows(middle) < want[todo]
+            left[todo[less]], right[todo[~less]] = middle[less] + 1, middle[~less]
+            todo = todo[left[todo] < right[todo]]
+        some = np.flatnonzero(left < last)
+        hit = some[self.lows(left[some]) == want[some]]
         out[inside[hit]] = left[hit]
         return out

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -55,11 +56,10 @@ class Words:
     def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(numbers of all words, words of each text)."""
         per_text = [t.lower().split() for t in texts]
-        return np.fromiter((self.known[w] for ws in per_text for w in ws), np.int64), np.fromiter(map(len, per_text), np.int64, len(per_text))
+        lengths = np.fromiter(map(len, per_text), np.int64, len(per_text))
+        return np.fromiter(map(self.known.__getitem__, chain.from_iterable(per_text)), np.int64, int(lengths.sum())), lengths
 
     def hashes(self, first: int = 0) -> np.ndarray:
-        from itertools import islice
-
         return np.fromiter(map(xxh64_intdigest, islice(self.known, first, None)), np.uint64, len(self.known) - first)
 
 
@@ -333,7 +333,7 @@ class Cell:
     def successor(pointers: EliasFano, sequence: EliasFano, context: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """The place of each id among the successors of its context, or -1."""
         some, back = np.unique(context, return_inverse=True)
-        first, last = pointers.access(some), pointers.access(some + 1)
+        first, last = pointers.access_pairs(some)
         base = np.zeros(len(some), np.int64)
         later = first > 0
         base[later] = sequence.access(first[later] - 1)
