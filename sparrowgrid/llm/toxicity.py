@@ -8,8 +8,8 @@ feature the share of toxic documents among the labelled ones that have it is est
 features whose share chance explains, given how many were tried, are left out; a text's score is the
 strongest share among its features.
 
-The corpus model counts every document. Features are counted over all labelled rows: first those of toxic
-rows, then the clean rows that have them. FEATURES bounds the classifier's table that is broadcast.
+The corpus model counts every document. Features are counted over the labelled rows, toxic and clean ones in one
+shuffled aggregation, and judged there. Every feature that passes is kept; only these are collected and broadcast.
 
 Defined results: null and empty texts have no evidence and get the lowest score (BASE); a null id counts as the
 text ""; of several labels of one id the largest counts; null labels are ignored; repeated rows are scored
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Entries of the classifier's table at most (the strongest are kept): 12 MB.
-FEATURES = 1_000_000
+#: Entries of the classifier's table up to which it is a dict; a larger one is searched as sorted arrays, of 16 bytes an entry.
+DICT_ROWS = 1_000_000
 #: Prior weight of a feature, in documents; rows that a feature needs; score without evidence.
 PRIOR, LEAST, BASE = 4.0, 3, 0.02
 LONGEST = 40
@@ -198,51 +198,58 @@ def learn(docs: DataFrame, labels: DataFrame, model, *, key: str = "doc_id", tex
     rows = labelled(docs, marks, key=key, text=text).select("t", "y")
     prior = n[1] / sum(n.values())
 
-    def counted(wanted) -> Callable:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            reader, parts, held = Reader(model.value, features), [], 0
-            for batch in batches:
-                for t in batch.column(0).to_pylist():
-                    own = np.fromiter({f for fs in reader.all(t) for f in fs}, np.int64)
-                    if wanted is not None and len(own):
-                        own = own[wanted.value[np.minimum(np.searchsorted(wanted.value, own), len(wanted.value) - 1)] == own]
-                    parts.append(own)
-                    held += len(own)
-                    if held > 2_000_000:
-                        yield summed(parts)
-                        parts, held = [], 0
-            yield summed(parts)
-
-        return run
-
-    def summed(parts: list[np.ndarray]) -> pa.RecordBatch:
-        f, c = np.unique(np.concatenate([np.zeros(0, np.int64), *parts]), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(f), pa.array(c.astype(np.int64))], ["f", "n"])
-
-    toxic = rows.where("y = 1").select("t").mapInArrow(counted(None), "f long, n long").groupBy("f").agg(F.sum("n").alias("n"))
-    toxic = common.stored(toxic.where(F.col("n") >= LEAST).orderBy(F.desc("n"), "f").limit(FEATURES), "toxicity-features").toPandas()
-    if not len(toxic):
-        return np.zeros(0, np.int64), np.zeros(0)
-    f = toxic["f"].to_numpy()
-    order = np.argsort(f)
-    f, t = f[order], toxic["n"].to_numpy()[order]
-    wanted = docs.sparkSession.sparkContext.broadcast(f)
-    clean = rows.where("y = 0").select("t").mapInArrow(counted(wanted), "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).toPandas()  # FEATURES rows at most
-    c = np.zeros(len(f))
-    c[np.searchsorted(f, clean["f"].to_numpy())] = clean["n"].to_numpy()
-    share = (t + PRIOR * prior) / (t + c + PRIOR)
-    # Chernoff's bound of the chance that a feature without meaning looks like this, times the features tried.
-    seen, rate = t + c, np.minimum(t / (t + c), 1 - 1e-12)
-    chance = np.exp(-seen * (rate * np.log(rate / prior) + (1 - rate) * np.log((1 - rate) / (1 - prior)))) if prior < 1 else np.zeros(len(f))
-    kept = (share > 2 * BASE) & (rate > prior) & (chance * len(f) < 1)
-    return f[kept], share[kept]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, parts, held = Reader(model.value, features), ([], []), 0
+        for batch in batches:
+            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = np.fromiter({f for fs in reader.all(t) for f in fs}, np.int64)
+                parts[y == 1].append(own)
+                held += len(own)
+                if held > 2_000_000:
+                    yield summed(parts)
+                    parts, held = ([], []), 0
+        yield summed(parts)
+
+    def summed(parts: tuple[list[np.ndarray], list[np.ndarray]]) -> pa.RecordBatch:
+        clean, toxic = (np.concatenate([np.zeros(0, np.int64), *x]) for x in parts)
+        f, at = np.unique(np.concatenate([clean, toxic]), return_inverse=True)
+        c, t = np.bincount(at[: len(clean)], minlength=len(f)), np.bincount(at[len(clean) :], minlength=len(f))
+        return pa.RecordBatch.from_arrays([pa.array(f), pa.array(t.astype(np.int64)), pa.array(c.astype(np.int64))], ["f", "t", "c"])
+
+    counts = rows.where("y in (0, 1)").mapInArrow(run, "f long, t long, c long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    tried = common.stored(counts.where(F.col("t") >= LEAST), "toxicity-features")
+    kept = passed(tried, prior).toPandas().sort_values("f")  # those that pass only
+    return kept["f"].to_numpy(np.int64), kept["share"].to_numpy(float)
+
+
+def passed(tried: DataFrame, prior: float) -> DataFrame:
+    """(f, share) of the features (f, t toxic rows, c clean rows) whose share of toxic rows chance does not explain."""
+    t, seen = F.col("t"), F.col("t") + F.col("c")
+    share, rate = (t + PRIOR * prior) / (seen + PRIOR), F.least(t / seen, F.lit(1 - 1e-12))
+    out = tried.withColumn("share", share).where((F.col("share") > 2 * BASE) & (rate > prior))
+    if prior < 1:
+        # Chernoff's bound of the chance that a feature without meaning looks like this, times the features tried.
+        chance = F.exp(-seen * (rate * F.log(rate / prior) + (1 - rate) * F.log((1 - rate) / (1 - prior))))
+        out = out.where(chance * tried.count() < 1)
+    return out.select("f", "share")
+
+
+class Table:
+    """Feature -> share in sorted arrays."""
+
+    def __init__(self, f: np.ndarray, share: np.ndarray):
+        self.f, self.share = f, share
+
+    def get(self, x: int) -> float | None:
+        at = int(np.searchsorted(self.f, x))
+        return float(self.share[at]) if at < len(self.f) and self.f[at] == x else None
 
 
 class Scorer:
     """Texts to scores; made once in each task."""
 
     def __init__(self, model: CharacterModel, f: np.ndarray, share: np.ndarray):
-        self.table = dict(zip(f.tolist(), share.tolist(), strict=True))
+        self.table = dict(zip(f.tolist(), share.tolist(), strict=True)) if len(f) <= DICT_ROWS else Table(f, share)
         self.reader = Reader(model, self.evidence)
 
     def evidence(self, word: str) -> float:

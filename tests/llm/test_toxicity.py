@@ -46,6 +46,22 @@ def test_hidden_words_are_read(spark, corpus):
     assert [found[i + len(hidden)] for i in range(len(clean))] == [0] * len(clean)
 
 
+def test_the_table_has_no_bound(spark, corpus, monkeypatch):
+    """Words of few toxic rows are learnt though filler words are more frequent in these; the table may be large."""
+    for name in ("FEATURES", "DICT_ROWS"):
+        monkeypatch.setattr(toxicity, name, 4, raising=False)
+    docs, labels = corpus
+    more = spark.createDataFrame([(10_000 + i, f"the {w} thing", "en", "s", 0) for i, w in enumerate([*INSULTS, "table"])], SCHEMA)
+    found = {r["doc_id"] - 10_000: r["predicted"] for r in toxicity.report(docs.union(more), labels).where("doc_id >= 10000").collect()}
+    assert [found[i] for i in range(len(INSULTS) + 1)] == [1] * len(INSULTS) + [0]
+
+
+def test_the_sorted_table():
+    f = np.array([-5, 3, 9], np.int64)
+    table = toxicity.Table(f, np.array([0.1, 0.2, 0.3]))
+    assert [table.get(x) for x in (-6, -5, 3, 4, 9, 10)] == [None, 0.1, 0.2, None, 0.3, None]
+
+
 def test_copies_are_one_witness(spark):
     """A word that stands in one toxic text, copied often, is no evidence."""
     rng = random.Random(4)
