@@ -2,8 +2,9 @@
 
 Tokens that mix letters with look-alike signs, words spelled out with gaps, and stretched letters are read
 through a character lattice: each sign may stand for several letters, a run for one or two, a gap for none. A
-Viterbi search under a trigram character model of the whole corpus restores the likeliest word. Words
-(restored where need be) give evidence: the word and its beginnings of four and five letters. For each
+Viterbi search under a trigram character model of the whole corpus restores the likeliest word. A gap may also be the
+end of a word: beside the reading as one word, all words between gaps count that stand on a way through the letters
+not much less likely than the likeliest. Words (restored where need be) give evidence: the word and its beginnings of four and five letters. For each
 feature the share of toxic documents among the labelled ones that have it is estimated with a prior, and
 features whose share chance explains, given how many were tried, are left out; a text's score is the
 strongest share among its features.
@@ -13,14 +14,16 @@ shuffled aggregation, and judged there. Every feature that passes is kept; only
 
 Defined results: null and empty texts have no evidence and get the lowest score (BASE); a null id counts as the
 text ""; of several labels of one id the largest counts; null labels are ignored; repeated rows are scored
-alike; without labels every score is BASE. Tokens of more than LONGEST characters are not read as obfuscated words.
+alike; without labels every score is BASE. Tokens and spelled-out runs are read at any length; of a sign repeated more than
+three times three are read, as more mean no more to the lattice. Tokens, and words between gaps, of which less than a third
+are letters are not read; words between gaps have at most LONGEST letters.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from itertools import groupby
+from itertools import chain, groupby
 from math import log
 
 import numpy as np
@@ -35,6 +38,8 @@ DICT_ROWS = 1_000_000
 #: Prior weight of a feature, in documents; rows that a feature needs; score without evidence.
 PRIOR, LEAST, BASE = 4.0, 3, 0.02
 LONGEST = 40
+#: Natural logarithm of how much less likely than the likeliest a way through spelled-out letters may be.
+MARGIN = 8.0
 #: Labelled keys that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 CACHE = 200_000
@@ -53,6 +58,8 @@ LOOKALIKES = {
 GAPS = " .-_*~'"
 _SPELLED = re.compile(r"(?<![^\s])(?:[^\W_]|[@$!|+(€*])(?:[ .\-_~*](?:[^\W_]|[@$!|+(€*])){2,}(?![^\s.,;:!?])")
 _ODD = re.compile(r"(.)\1\1")
+_STRETCHED = re.compile(r"(.)\1{3,}", re.S)
+_GAP = re.compile(f"[{re.escape(GAPS)}]")
 _EDGES = ".,;:?\"'()[]{}<>«»“”„¿…"
 
 
@@ -72,9 +79,63 @@ class CharacterModel:
 
     def restore(self, token: str) -> str:
         """The likeliest word behind a token, in lower case; the token itself if nothing can be read."""
-        observed = [(c, len(list(g))) for c, g in groupby(token.lower())]
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for sign, n in observed:
+        found = self._read(token)
+        return token if found is None else "".join(letters for letters, _ in found)
+
+    def words(self, token: str) -> list[str]:
+        """The readings of a token: as one word, and, where it has gaps, each part and the words that gaps may end."""
+        found = self._read(token)
+        if found is None:
+            return [token]
+        text, real, cuts = "".join(letters for letters, _ in found), [], [0]
+        for letters, sign in found:
+            if letters:
+                real += [sign.isalpha()] * len(letters)
+            elif cuts[-1] != len(real):
+                cuts.append(len(real))
+        out = {text: None}
+        if len(cuts) > 1:
+            out |= dict.fromkeys(self.restore(x) for x in _GAP.split(token) if len(x) > 2 and sum(c.isalpha() for c in x) * 3 >= len(x))
+            out |= dict.fromkeys(self._between(text, np.array(real), np.array(cuts)))
+        return list(out)
+
+    def _between(self, text: str, real: np.ndarray, cuts: np.ndarray) -> Iterator[str]:
+        """The words of at most LONGEST letters between two cuts on a way through `text` that is at most MARGIN less likely than the likeliest."""
+        n, log = len(text), self.log
+        c = [_code(x) for x in text]
+        # A word from i to j, two letters at least: start[i] + inner[j] + end[j]; of one letter: lone[i].
+        inner = np.cumsum([0.0, 0.0, *(log[x][y][z] for x, y, z in zip(c, c[1:], c[2:], strict=False))] if n > 1 else [0.0])
+        inner = np.concatenate([[0.0], inner])  # of the first j letters
+        start = np.array([log[0][0][x] + log[0][x][y] for x, y in zip(c, c[1:], strict=False)] + [-np.inf]) - inner[np.minimum(np.arange(n) + 2, n)]
+        end = inner + np.array([0.0, 0.0, *(log[x][y][0] for x, y in zip(c, c[1:], strict=False))] if n > 1 else [0.0] * (n + 1))
+        lone = [log[0][0][x] + log[0][x][0] for x in c]
+        cut = np.zeros(n + 1, bool)
+        cut[cuts] = cut[n] = True
+        allowed, low = cut.tolist(), float("-inf")
+        starts, ends = start.tolist(), end.tolist()
+        before, reach = [0.0] + [low] * n, [low] * (n + 1)
+        for j in range(n + 1):
+            if j and allowed[j]:
+                before[j] = max(max(reach[max(0, j - LONGEST) : j - 1], default=low) + ends[j], before[j - 1] + lone[j - 1])
+            if j < n and before[j] > low:
+                reach[j] = before[j] + starts[j]
+        after, reach = [low] * n + [0.0], [low] * (n + 1)
+        for i in range(n, -1, -1):
+            if i < n and allowed[i]:
+                after[i] = max(max(reach[i + 2 : i + LONGEST + 1], default=low) + starts[i], after[i + 1] + lone[i])
+            if after[i] > low:
+                reach[i] = after[i] + ends[i]
+        before, after, sure = np.array(before), np.array(after), np.concatenate([[0], np.cumsum(real)])
+        for size in range(3, min(LONGEST, n) + 1):
+            i = np.arange(n - size + 1)
+            fits = cut[i] & cut[i + size] & (before[i] + start[i] + end[i + size] + after[i + size] >= before[n] - MARGIN) & ((sure[i + size] - sure[i]) * 3 >= size)
+            yield from (text[k : k + size] for k in i[fits].tolist())
+
+    def _read(self, token: str) -> list[tuple[str, str]] | None:
+        """(letters read, sign) of each sign on the likeliest path, in order; None if there is none."""
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        for sign, group in groupby(token.lower()):
+            n = len(list(group))
             options: list[tuple[str, float]] = []
             if sign in GAPS:
                 options.append(("", 0.0))
@@ -83,8 +144,8 @@ class CharacterModel:
                 options += [(sign * 2, 0.0 if n == 2 else -1.5)] if n > 1 else []
             for letter in LOOKALIKES.get(sign, ""):
                 options += [(letter, -1.5 if n == 1 else -2.5)] + ([(letter * 2, -1.5)] if n > 1 else [])
-            new: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, word) in states.items():
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (score, path) in states.items():
                 for letters, cost in options:
                     x, y, s = a, b, score + cost
                     for letter in letters:
@@ -92,11 +153,17 @@ class CharacterModel:
                         s += self.log[x][y][k]
                         x, y = y, k
                     if (x, y) not in new or s > new[x, y][0]:
-                        new[x, y] = (s, word + letters)
+                        new[x, y] = (s, (path, letters, sign))
             if not new:
-                return token
+                return None
             states = new
-        return max((score + self.log[a][b][0], word) for (a, b), (score, word) in states.items())[1]
+        # Paths share their beginnings: what is held grows with the token's length only.
+        path = max(((score + self.log[a][b][0], path) for (a, b), (score, path) in states.items()), key=lambda x: x[0])[1]
+        out = []
+        while path:
+            path, letters, sign = path
+            out.append((letters, sign))
+        return out[::-1]
 
 
 def _code(letter: str) -> int:
@@ -104,36 +171,34 @@ def _code(letter: str) -> int:
 
 
 class Reader(dict):
-    """Piece of a text -> what `value` makes of its word; bounded, kept from text to text."""
+    """Piece of a text -> what `value` makes of each of its words; bounded, kept from text to text."""
 
     def __init__(self, model: CharacterModel, value: Callable[[str], object]):
         super().__init__()
         self.model, self.value = model, value
 
-    def word(self, piece: str) -> str:
+    def words(self, piece: str) -> list[str]:
         word = piece.strip(_EDGES)
         if word.isalpha() and not _ODD.search(word):
-            return word.lower()
-        bare = piece.strip(_EDGES + "!")
+            return [word.lower()]
+        bare = _STRETCHED.sub(r"\1\1\1", piece.strip(_EDGES + "!"))
         if bare.isalpha() and not _ODD.search(bare):
-            return bare.lower()
-        if not 2 < len(bare) <= LONGEST or sum(c.isalpha() for c in bare) * 3 < len(bare):
-            return ""
-        return self.model.restore(bare)
+            return [bare.lower()]
+        if len(bare) < 3 or sum(c.isalpha() for c in bare) * 3 < len(bare):
+            return []
+        return self.model.words(bare)
 
     def __missing__(self, piece: str):
-        found = self.value(self.word(piece))
+        found = tuple(map(self.value, self.words(piece)))
         if len(self) < CACHE:
             self[piece] = found
         return found
 
     def all(self, text: str) -> Iterator:
-        """The values of a text's distinct pieces, and of its spelled-out words."""
-        yield from map(self.__getitem__, set(text.split()))
+        """The values of the words of a text's distinct pieces, and of its spelled-out words."""
+        yield from chain.from_iterable(map(self.__getitem__, set(text.split())))
         for m in _SPELLED.finditer(text):
-            spelled = m[0]
-            if len(spelled) <= 2 * LONGEST:
-                yield self.value(self.model.restore(spelled))
+            yield from map(self.value, self.model.words(m[0]))
 
 
 def features(word: str) -> tuple[int, ...]:

@@ -46,6 +46,17 @@ def test_hidden_words_are_read(spark, corpus):
     assert [found[i + len(hidden)] for i in range(len(clean))] == [0] * len(clean)
 
 
+def test_words_inside_of_runs_and_long_tokens(spark, corpus):
+    docs, labels = corpus
+    run = " ".join("thethingerontistoerblelomaka" "idiot" "reonstanthelomakablerererti")
+    hidden = ["you are a i d i o t", "w h a t a n i d i o t", run, "idi" + "o" * 50 + "t", "the-thing-is-an-er-on-the-maka-lo-1d10t-there", "the_er_an_m.o.r.o.n_thing_is_an_er_on_the_maka_lo"]
+    clean = [run.replace("i d i o t", "s t"), "t h e e r o n", "the-thing-is-an-er-on-the-maka-lo-and-more-there", "1 0 1 0 7 " * 30, "x" * 5000, "- " * 500]
+    more = spark.createDataFrame([(10_000 + i, t, "en", "s", 0) for i, t in enumerate(hidden + clean)], SCHEMA)
+    found = {r["doc_id"] - 10_000: r["predicted"] for r in toxicity.report(docs.union(more), labels).where("doc_id >= 10000").collect()}
+    assert len(run) > 80 and [found[i] for i in range(len(hidden))] == [1] * len(hidden)
+    assert [found[i + len(hidden)] for i in range(len(clean))] == [0] * len(clean)
+
+
 def test_the_table_has_no_bound(spark, corpus, monkeypatch):
     """Words of few toxic rows are learnt though filler words are more frequent in these; the table may be large."""
     for name in ("FEATURES", "DICT_ROWS"):
