@@ -9,8 +9,8 @@ feature the share of toxic documents among the labelled ones that have it is est
 features whose share chance explains, given how many were tried, are left out; a text's score is the
 strongest share among its features.
 
-The corpus model counts every document. Features are counted over the labelled rows, toxic and clean ones in one
-shuffled aggregation, and judged there. Every feature that passes is kept; only these are collected and broadcast.
+The corpus model counts every document. Features are counted over the labelled rows but for verified copies of
+others of their class (see `representatives`), toxic and clean ones in one shuffled aggregation, and judged there. Every feature that passes is kept; only these are collected and broadcast.
 
 Defined results: null and empty texts have no evidence and get the lowest score (BASE); a null id counts as the
 text ""; of several labels of one id the largest counts; null labels are ignored; repeated rows are scored
@@ -38,6 +38,8 @@ DICT_ROWS = 1_000_000
 #: Prior weight of a feature, in documents; rows that a feature needs; score without evidence.
 PRIOR, LEAST, BASE = 4.0, 3, 0.02
 LONGEST = 40
+#: Jaccard similarity of five-word shingles from which a labelled text is a copy.
+COPY = 0.8
 #: Natural logarithm of how much less likely than the likeliest a way through spelled-out letters may be.
 MARGIN = 8.0
 #: Labelled keys that are broadcast at most; more are joined by a shuffle.
@@ -241,16 +243,40 @@ def labelled(docs: DataFrame, marks: DataFrame, *, key: str, text: str) -> DataF
 
 
 def representatives(docs: DataFrame, marks: DataFrame, *, key: str, text: str) -> DataFrame:
-    """One labelled key for each class and smallest hash of five-word shingles: copies of a text are one witness."""
+    """(k, y) of the labelled rows but for verified copies, as copies of a text are one witness.
+
+    Of rows of a class with equal words the smallest key stays. Of those that share the smallest hash of five-word shingles,
+    the ones whose shingle sets have a Jaccard similarity of COPY or more to that of the smallest key are left out.
+    """
+    from xxhash import xxh64_intdigest
+
     from .decontaminate import hashes, words_of
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            least = [min(hashes(w, 5).tolist()) if (w := words_of(t.encode())) else 0 for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(least, np.uint64).view(np.int64))], ["k", "y", "h"])
+            words = [words_of(t.encode()) for t in batch.column(1).to_pylist()]
+            sets = [np.unique(hashes(w, 5)) if w else np.zeros(0, np.uint64) for w in words]
+            same = np.array([xxh64_intdigest(b" ".join(w)) for w in words], np.uint64).view(np.int64)
+            least = np.array([s[0] if len(s) else 0 for s in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(same), pa.array(least), pa.array([s.tobytes() for s in sets], pa.binary())], ["k", "y", "same", "h", "s"])
 
-    each = labelled(docs, marks, key=key, text=text).select("k", "t", "y").mapInArrow(run, f"k {dict(docs.dtypes)[key]}, y int, h long")
-    return common.stored(each.groupBy("h", "y").agg(F.min("k").alias("k")).select("k", "y"), "toxicity-rows")
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for k, first, x, y in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(k == first or both < COPY * (len(x) + len(y) - both))
+            yield batch.select(["k", "y"]).filter(pa.array(keep, pa.bool_()))
+
+    kind = dict(docs.dtypes)[key]
+    each = labelled(docs, marks, key=key, text=text).select("k", "t", "y").mapInArrow(run, f"k {kind}, y int, same long, h long, s binary")
+    each = common.stored(each.groupBy("same", "y").agg(F.min(F.struct("k", "h", "s")).alias("x")).select("y", "x.*"), "toxicity-texts")
+    first = each.groupBy("h", "y").agg(F.min(F.struct("k", "s")).alias("x"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = common.stored(first.select("h", "y", F.col("x.k").alias("first"), F.col("x.s").alias("s1")), "toxicity-first")
+    met = each.join(first, ["h", "y"]).select("k", "y", "first", "s", "s1").mapInArrow(judge, f"k {kind}, y int")
+    alone = each.join(first.select("h", "y"), ["h", "y"], "left_anti").select("k", "y")
+    return common.stored(alone.union(met).distinct(), "toxicity-rows")
 
 
 def learn(docs: DataFrame, labels: DataFrame, model, *, key: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[np.ndarray, np.ndarray]:

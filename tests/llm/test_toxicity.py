@@ -83,6 +83,23 @@ def test_copies_are_one_witness(spark):
     assert out.where("doc_id = 5000").first()["predicted"] == 0
 
 
+def test_texts_with_a_common_passage_are_no_copies(spark):
+    """Only equal texts and those with verified similarity are left out of the labelled rows."""
+    rng = random.Random(9)
+    passage = prose(rng, 60)
+    texts = [f"{passage} {prose(rng, 40)}" for _ in range(100)]
+    near = [f"{t} end" for t in texts[:10]]
+    docs = list(enumerate([*texts, *texts[:20], *near]))
+    marks = spark.createDataFrame([(k, k % 2) for k, _ in docs] + [(1000, 1)], "k long, y int")
+    frame = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in docs], SCHEMA)
+    kept = {r["k"] for r in toxicity.representatives(frame, marks, key="doc_id", text="text").collect()}
+    assert set(range(100)) <= kept and not kept & set(range(100, 120))
+    copies = [(0, "a b c d e f g h i j k l m n o p q r"), (1, "a b c d e f g h i j k l m n o p q r s"), (2, "A b c d e f g h i j k l m n o p q r"), (3, ""), (4, ""), (5, None)]
+    frame = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in copies], SCHEMA)
+    marks = spark.createDataFrame([(k, 1) for k, _ in copies], "k long, y int")
+    assert sorted(r["k"] for r in toxicity.representatives(frame, marks, key="doc_id", text="text").collect()) in ([0, 3], [0, 1, 3])
+
+
 def test_rows_of_the_pipeline_stage(corpus):
     docs, labels = corpus
     kept = toxicity.keep_clean(docs, labels)
