@@ -23,13 +23,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from itertools import chain, groupby
+from itertools import accumulate, chain, groupby
 from math import log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from . import common
 
@@ -97,41 +98,48 @@ class CharacterModel:
                 cuts.append(len(real))
         out = {text: None}
         if len(cuts) > 1:
-            out |= dict.fromkeys(self.restore(x) for x in _GAP.split(token) if len(x) > 2 and sum(c.isalpha() for c in x) * 3 >= len(x))
-            out |= dict.fromkeys(self._between(text, np.array(real), np.array(cuts)))
+            for x in _GAP.split(token):
+                if len(x) > 2 and sum(map(str.isalpha, x)) * 3 >= len(x):
+                    out[x.lower() if x.isalpha() and not _ODD.search(x) else self.restore(x)] = None
+            out |= dict.fromkeys(self._between(text, real, cuts))
         return list(out)
 
-    def _between(self, text: str, real: np.ndarray, cuts: np.ndarray) -> Iterator[str]:
-        """The words of at most LONGEST letters between two cuts on a way through `text` that is at most MARGIN less likely than the likeliest."""
+    def _between(self, text: str, real: list[bool], cuts: list[int]) -> Iterator[str]:
+        """The words of at most LONGEST letters, or of one part, between two cuts on a way through `text` that is at most MARGIN less likely than the likeliest."""
         n, log = len(text), self.log
-        c = [_code(x) for x in text]
-        # A word from i to j, two letters at least: start[i] + inner[j] + end[j]; of one letter: lone[i].
-        inner = np.cumsum([0.0, 0.0, *(log[x][y][z] for x, y, z in zip(c, c[1:], c[2:], strict=False))] if n > 1 else [0.0])
-        inner = np.concatenate([[0.0], inner])  # of the first j letters
-        start = np.array([log[0][0][x] + log[0][x][y] for x, y in zip(c, c[1:], strict=False)] + [-np.inf]) - inner[np.minimum(np.arange(n) + 2, n)]
-        end = inner + np.array([0.0, 0.0, *(log[x][y][0] for x, y in zip(c, c[1:], strict=False))] if n > 1 else [0.0] * (n + 1))
-        lone = [log[0][0][x] + log[0][x][0] for x in c]
-        cut = np.zeros(n + 1, bool)
-        cut[cuts] = cut[n] = True
-        allowed, low = cut.tolist(), float("-inf")
-        starts, ends = start.tolist(), end.tolist()
-        before, reach = [0.0] + [low] * n, [low] * (n + 1)
-        for j in range(n + 1):
-            if j and allowed[j]:
-                before[j] = max(max(reach[max(0, j - LONGEST) : j - 1], default=low) + ends[j], before[j - 1] + lone[j - 1])
-            if j < n and before[j] > low:
-                reach[j] = before[j] + starts[j]
-        after, reach = [low] * n + [0.0], [low] * (n + 1)
-        for i in range(n, -1, -1):
-            if i < n and allowed[i]:
-                after[i] = max(max(reach[i + 2 : i + LONGEST + 1], default=low) + starts[i], after[i + 1] + lone[i])
-            if after[i] > low:
-                reach[i] = after[i] + ends[i]
-        before, after, sure = np.array(before), np.array(after), np.concatenate([[0], np.cumsum(real)])
-        for size in range(3, min(LONGEST, n) + 1):
-            i = np.arange(n - size + 1)
-            fits = cut[i] & cut[i + size] & (before[i] + start[i] + end[i + size] + after[i + size] >= before[n] - MARGIN) & ((sure[i + size] - sure[i]) * 3 >= size)
-            yield from (text[k : k + size] for k in i[fits].tolist())
+        c = [0, 0, *map(_code, text), 0]
+        inner = [0.0, *accumulate(log[x][y][z] for x, y, z in zip(c, c[1:], c[2:-1], strict=False))]  # of the first letters
+        cuts = cuts if cuts[-1] == n else [*cuts, n]
+        # A word from i to j is as likely as start[i] + end[j]; of one letter: lone[i].
+        first = [log[0][0][c[i + 2]] for i in cuts[:-1]]
+        lone = [x + log[0][c[i + 2]][0] for x, i in zip(first, cuts, strict=False)]
+        start = [x + log[0][c[i + 2]][c[i + 3]] - inner[i + 2] if i + 2 <= n else 0.0 for x, i in zip(first, cuts, strict=False)]
+        end = [inner[j] + log[c[j]][c[j + 1]][0] for j in cuts]
+
+        def likely(i: int, j: int) -> float:
+            return start[i] + end[j] if cuts[j] - cuts[i] > 1 else lone[i]
+
+        m = len(cuts)
+        low = [0] * m  # the first cut from which a word may reach this one
+        for j in range(1, m):
+            i = low[j - 1]
+            while i < j - 1 and cuts[j] - cuts[i] > LONGEST:
+                i += 1
+            low[j] = i
+        before = [0.0] * m
+        for j in range(1, m):
+            before[j] = max(before[i] + likely(i, j) for i in range(low[j], j))
+        after = [float("-inf")] * (m - 1) + [0.0]
+        for j in range(m - 1, 0, -1):
+            for i in range(low[j], j):
+                if (s := likely(i, j) + after[j]) > after[i]:
+                    after[i] = s
+        sure, least = [0, *accumulate(real)], before[-1] - MARGIN
+        for j in range(1, m):
+            for i in range(low[j], j):
+                size = cuts[j] - cuts[i]
+                if size > 2 and before[i] + likely(i, j) + after[j] >= least and (sure[cuts[j]] - sure[cuts[i]]) * 3 >= size:
+                    yield text[cuts[i] : cuts[j]]
 
     def _read(self, token: str) -> list[tuple[str, str]] | None:
         """(letters read, sign) of each sign on the likeliest path, in order; None if there is none."""
@@ -191,7 +199,10 @@ class Reader(dict):
         return self.model.words(bare)
 
     def __missing__(self, piece: str):
-        found = tuple(map(self.value, self.words(piece)))
+        if piece.isalpha() and not _ODD.search(piece):
+            found = (self.value(piece.lower()),)
+        else:
+            found = tuple(map(self.value, self.words(piece)))
         if len(self) < CACHE:
             self[piece] = found
         return found
@@ -203,17 +214,19 @@ class Reader(dict):
             yield from map(self.value, self.model.words(m[0]))
 
 
+def feature(kind: str, word: str) -> int:
+    return xxh64_intdigest(kind + word) >> 1
+
+
 def features(word: str) -> tuple[int, ...]:
     """Hashes of a word and its beginnings."""
-    from xxhash import xxh64_intdigest
-
     if len(word) < 3:
         return ()
-    out = [xxh64_intdigest("w" + word) >> 1]
-    for n in (4, 5):
-        if len(word) >= n:
-            out.append(xxh64_intdigest(f"{n}{word[:n]}") >> 1)
-    return tuple(out)
+    if len(word) < 4:
+        return (feature("w", word),)
+    if len(word) < 5:
+        return feature("w", word), feature("4", word)
+    return feature("w", word), feature("4", word[:4]), feature("5", word[:5])
 
 
 def character_model(docs: DataFrame, *, text: str = "text") -> CharacterModel:
@@ -248,17 +261,23 @@ def representatives(docs: DataFrame, marks: DataFrame, *, key: str, text: str) -
     Of rows of a class with equal words the smallest key stays. Of those that share the smallest hash of five-word shingles,
     the ones whose shingle sets have a Jaccard similarity of COPY or more to that of the smallest key are left out.
     """
-    from xxhash import xxh64_intdigest
-
     from .decontaminate import hashes, words_of
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = [words_of(t.encode()) for t in batch.column(1).to_pylist()]
-            sets = [np.unique(hashes(w, 5)) if w else np.zeros(0, np.uint64) for w in words]
-            same = np.array([xxh64_intdigest(b" ".join(w)) for w in words], np.uint64).view(np.int64)
-            least = np.array([s[0] if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(same), pa.array(least), pa.array([s.tobytes() for s in sets], pa.binary())], ["k", "y", "same", "h", "s"])
+            h = np.array([hashes(w, 5).min() if w else 0 for w in words], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(same(words)), pa.array(h)], ["k", "y", "same", "h"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [words_of(t.encode()) for t in batch.column(1).to_pylist()]
+            mine = pa.array(same(words) == batch.column(3).to_numpy())  # a key may have several texts
+            s = pa.array([np.unique(hashes(w, 5)).tobytes() if w else b"" for w in words], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(4), s], ["k", "y", "h", "s"]).filter(mine)
+
+    def same(words: list[list[bytes]]) -> np.ndarray:
+        return np.array([xxh64_intdigest(b" ".join(w)) for w in words], np.uint64).view(np.int64)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,12 +289,15 @@ def representatives(docs: DataFrame, marks: DataFrame, *, key: str, text: str) -
             yield batch.select(["k", "y"]).filter(pa.array(keep, pa.bool_()))
 
     kind = dict(docs.dtypes)[key]
-    each = labelled(docs, marks, key=key, text=text).select("k", "t", "y").mapInArrow(run, f"k {kind}, y int, same long, h long, s binary")
-    each = common.stored(each.groupBy("same", "y").agg(F.min(F.struct("k", "h", "s")).alias("x")).select("y", "x.*"), "toxicity-texts")
-    first = each.groupBy("h", "y").agg(F.min(F.struct("k", "s")).alias("x"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    first = common.stored(first.select("h", "y", F.col("x.k").alias("first"), F.col("x.s").alias("s1")), "toxicity-first")
-    met = each.join(first, ["h", "y"]).select("k", "y", "first", "s", "s1").mapInArrow(judge, f"k {kind}, y int")
-    alone = each.join(first.select("h", "y"), ["h", "y"], "left_anti").select("k", "y")
+    each = labelled(docs, marks, key=key, text=text).select("k", "t", "y").mapInArrow(least, f"k {kind}, y int, same long, h long")
+    each = common.stored(each.groupBy("same", "y").agg(F.min(F.struct("k", "h")).alias("x")).select("y", "same", "x.*"), "toxicity-texts")
+    many = common.stored(each.groupBy("h", "y").agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "toxicity-many")
+    crowd = common.stored(each.join(many.select("h", "y"), ["h", "y"]), "toxicity-crowd")
+    found = labelled(docs, crowd, key=key, text=text).select("k", "t", "y", "same", "h").mapInArrow(sets, f"k {kind}, y int, h long, s binary")
+    found = common.stored(found, "toxicity-sets")
+    first = many.join(found.withColumnRenamed("k", "first"), ["h", "y", "first"]).groupBy("h", "y").agg(F.min("first").alias("first"), F.min("s").alias("s1"))
+    met = found.join(common.stored(first, "toxicity-first"), ["h", "y"]).select("k", "y", "first", "s", "s1").mapInArrow(judge, f"k {kind}, y int")
+    alone = each.join(many.select("h", "y"), ["h", "y"], "left_anti").select("k", "y")
     return common.stored(alone.union(met).distinct(), "toxicity-rows")
 
 
@@ -341,14 +363,19 @@ class Scorer:
 
     def __init__(self, model: CharacterModel, f: np.ndarray, share: np.ndarray):
         self.table = dict(zip(f.tolist(), share.tolist(), strict=True)) if len(f) <= DICT_ROWS else Table(f, share)
+        self.get = self.table.get
         self.reader = Reader(model, self.evidence)
 
     def evidence(self, word: str) -> float:
         """Of a known word its own share; of another the smaller one of its beginnings'."""
-        found = [self.table.get(x) for x in features(word)]
-        if not found or found[0] is not None:
-            return found[0] if found else BASE
-        return min((x or BASE for x in found[1:]), default=BASE)
+        if len(word) < 3:
+            return BASE
+        share = self.get(feature("w", word))
+        if share is not None:
+            return share
+        if len(word) < 4 or (share := self.get(feature("4", word[:4]))) is None or len(word) == 4:
+            return share or BASE
+        return min(share, self.get(feature("5", word[:5])) or BASE)
 
     def score(self, text: str | None) -> float:
         return max(self.reader.all(text), default=BASE) if text else BASE
