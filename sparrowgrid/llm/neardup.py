@@ -6,7 +6,8 @@ therefore find exact copies and the closest ones, and a second route finds the r
 the shingles' hashes propose pairs, whose exact similarity of the shingle sets decides. A member of a band is first judged
 with three nodes of it: those of the smallest and the largest key, and the hub that shares most bands with others. Bands whose
 members are not connected by then are judged in full: dealt over cells of bounded size so that all pairs of members of different
-components meet. No pair of a band goes unjudged unless its members are connected. Both kinds of links make the groups.
+components meet. No pair of a band goes unjudged unless its members are connected. Nodes are distinct texts (as words);
+those of one fingerprint are linked. All links make the groups.
 
 Defined results: null and empty texts have fingerprint zero, and one of them is kept; of a group the row with
 the smallest key stays, as often as it stands there; of rows that share a key each is judged by its own text; rows
@@ -21,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from . import common
 from .components import connected
@@ -166,11 +168,14 @@ def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: i
         for batch in batches:
             texts = [words_of(t) for t in batch.column(1).to_pylist()]
             prints = np.array([fingerprint(w, words) for w in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(prints), pa.array([bands(w, shingle) for w in texts], pa.list_(pa.int64()))], ["k", "h", "fp", "bands"])
-
-    prints = common.stored(texts_of(docs, key, text).mapInArrow(read, f"k {kind}, h long, fp long, bands array<long>"), "neardup-prints")
-    # One node for each fingerprint, with the text of its smallest key.
-    nodes = common.stored(prints.groupBy("fp").agg(F.min(F.struct("k", "h", "bands")).alias("x")).select(F.col("fp").alias("node"), "x.k", "x.h", "x.bands"), "neardup-nodes")
+            same = np.array([xxh64_intdigest(b" ".join(w)) for w in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(prints), pa.array(same), pa.array([bands(w, shingle) for w in texts], pa.list_(pa.int64()))], ["k", "h", "fp", "node", "bands"])
+
+    prints = common.stored(texts_of(docs, key, text).mapInArrow(read, f"k {kind}, h long, fp long, node long, bands array<long>"), "neardup-prints")
+    # One node for each distinct text, and for each fingerprint one of its nodes.
+    nodes = common.stored(prints.groupBy("node").agg(F.min(F.struct("k", "h", "fp", "bands")).alias("x")).select("node", "x.*"), "neardup-nodes")
+    vertices = common.stored(nodes.groupBy("fp").agg(F.min("node").alias("rep")), "neardup-vertices")
+    equal = nodes.select("node", "fp").join(vertices, "fp").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
     each = nodes.select("node", "k", F.explode("bands").alias("band"))
     # Counts and ends are stored before they are joined: both sides of a join are then plain, and its hot bands can be split.
     counts = common.stored(each.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "neardup-bands")
@@ -183,12 +188,12 @@ def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: i
     met = weighed.join(few(ends), "band").select("node", F.explode("ends").alias("b"))
     pairs = common.stored(met.where("node <> b").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct(), "neardup-pairs")
     found = sets_of(docs, pairs, nodes.select("node", "k", "h"), key=key, text=text, shingle=shingle)
-    labels = connected(links(nodes.select(F.col("node").alias("fp"), F.col("node").alias("rep")), most).union(similar(pairs, found, share)))
+    labels = connected(links(vertices, most).union(equal).union(similar(pairs, found, share)))
     placed = common.stored(nodes.select("node", "k").join(labels, "node", "left").select("node", "k", F.coalesce("component", "node").alias("c")), "neardup-placed")
     more = connected(remaining(shared, placed.select("node", "c"), found, share)).withColumnRenamed("node", "c")
     placed = common.stored(placed.join(more, "c", "left").select("node", "k", F.coalesce("component", "c").alias("c")), "neardup-placed")
-    named = common.stored(placed.join(placed.groupBy("c").agg(F.min("k").alias("component_id")), "c").select(F.col("node").alias("fp"), "component_id"), "neardup-named")
-    return prints.select("k", "h", "fp").join(named, "fp").select(F.col("k").alias(key), "h", "component_id")
+    named = common.stored(placed.join(placed.groupBy("c").agg(F.min("k").alias("component_id")), "c").select("node", "component_id"), "neardup-named")
+    return prints.select("k", "h", "node").join(named, "node").select(F.col("k").alias(key), "h", "component_id")
 
 
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 
 from sparrowgrid.llm import neardup
 from sparrowgrid.llm.decontaminate import hashes, words_of
+from sparrowgrid.llm.simhash import fingerprint
 
 from .conftest import SCHEMA
 
@@ -42,6 +43,18 @@ def test_pairs_under_a_common_passage(spark):
     assert len(set(found)) > 480  # SimHash may link a few more
 
 
+def test_texts_of_one_fingerprint_are_searched_each(spark):
+    """Texts under one repeated line share a fingerprint; a near copy of the second is no near copy of the first."""
+    rng = random.Random(6)
+    line = own_words(rng, 5) * 400
+    first, second = own_words(rng, 60), own_words(rng, 60)
+    third = " ".join(second + ["end"])
+    texts = [" ".join(first + line), " ".join(second + line), third]
+    assert jaccard(texts[1], third) >= 0.8 > jaccard(texts[0], third)
+    assert len({fingerprint(words_of(t.encode()), 3) for t in texts[:2]}) == 1
+    assert groups(spark, texts) == [0, 0, 0]
+
+
 @pytest.mark.parametrize("sides", [(512, 8 << 20), (3, 8 << 20), (512, 2000)])
 def test_all_cells_of_a_band_are_met(spark, monkeypatch, sides):
     """Against all pairs, with cells of a few members: one band of two chains of revisions and further members."""
