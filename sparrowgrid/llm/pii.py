@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .spans import EMPTY, SPAN, found, joined, quoted
+from .spans import EMPTY, SPAN, apart, found, joined, quoted, replaced
 
 _LOCAL, _DOMAIN = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 _FRESH = r"(?:\G|(?<!%s))"
@@ -178,9 +178,9 @@ def chosen(weights: list[float] | None, column: str) -> str:
     w = lambda values: "array(" + ", ".join(f"{x!r}D" for x in values) + ")"
     n = len(NAMES)
     terms = [f"{w(weights[:n])}[s.kind]", *(f"{w(weights[n + 3 * i : n + 3 * i + 3])}[({v}) + 1]" for i, v in enumerate(LABELERS.values())), f"{w(weights[n + 3 * len(LABELERS) :])}[{_LENGTH}]"]
-    # A candidate of another kind inside a base span would say the same twice.
-    free = f"not exists(filter({column}, b -> b.kind in ({base})), b -> b.start < s.end and s.start < b.end)"
-    return f"filter({column}, s -> s.kind in ({base}) or ({' + '.join(terms)} >= 0 and {free}))"
+    # A candidate of another kind that meets a base span would say the same twice.
+    likely = f"filter({column}, s -> s.kind in ({base}) or {' + '.join(terms)} >= 0)"
+    return apart(likely, f"s.kind in ({base})")
 
 
 def report(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -199,14 +199,8 @@ def redact(docs: DataFrame, *, text: str = "text", length: str | None = "n_chars
     """`docs` with each span that stays replaced by its kind, as in [EMAIL]; `length` is set anew. Overlapping spans become one."""
     columns, column = docs.columns, common.fresh(docs, "found")
     all_ = common.stored(candidates(docs, text=text, into=column), "pii-candidates")
-    spans = f"array_sort({chosen(fit(all_, column), column)})"
-    names = "array(" + ", ".join(f"'[{k.upper()}]'" for k in NAMES) + ")"
-    step = (
-        f"case when s.start < a.at then named_struct('at', greatest(a.at, s.end), 'out', a.out) else "
-        f"named_struct('at', s.end, 'out', concat(a.out, array(substring(t, a.at + 1, s.start - a.at), {names}[s.kind]))) end"
-    )
-    joined_ = f"aggregate({spans}, named_struct('at', 0, 'out', cast(array() as array<string>)), (a, s) -> {step}, a -> array_join(concat(a.out, array(substring(t, a.at + 1, length(t)))), ''))".replace("substring(t,", f"substring(`{text}`,").replace("length(t)", f"length(`{text}`)")
-    clean = F.when(F.size(column) > 0, F.expr(joined_)).otherwise(F.col(text))
+    masked = replaced(f"`{text}`", chosen(fit(all_, column), column), [f"[{k.upper()}]" for k in NAMES])
+    clean = F.when(F.size(column) > 0, F.expr(masked)).otherwise(F.col(text))
     out = all_.withColumn(text, clean)
     if length in columns:
         out = out.withColumn(length, F.when(F.size(column) > 0, F.length(text).cast(dict(docs.dtypes)[length])).otherwise(F.col(length)))

@@ -5,10 +5,11 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
-from sparrowgrid.llm import pii, secrets
+from sparrowgrid.llm import pii, secrets, spans
 
 from .conftest import SCHEMA, prose
 
@@ -155,3 +156,42 @@ def test_trigram_queries_are_necessary(rule):
         assert re.search(rule.pattern, text)
         assert any(c <= secrets.trigrams(text.lower()) for c in query)
     assert (query == secrets.ANY) == (rule.kind == "hex")
+
+
+def test_many_matches_in_one_text(spark):
+    """The work grows with the matches, not with their square: some 100,000 matches in a text of 2 MB."""
+    rng = random.Random(3)
+    parts = [rng.choice([f"u{i}@ex{i}.org", f"10.0.{i % 256}.{i % 99}", f"+49 30 {1000000 + i}", "password = hunter2x", "5a" * 12, "ordinary é words", "(555) 123-4567"]) for i in range(100_000)]
+    text = " ".join(parts)
+    docs = spark.createDataFrame([(1, text, "en", "s", len(text)), (2, None, None, None, None)], SCHEMA)
+    start = time.perf_counter()
+    assert pii_of(pii.report(docs)) == sorted(((k, *brute_pii(t)) for k, t in ((1, text), (2, None))), key=repr)
+    assert secrets_of(secrets.report(docs)) == sorted(((k, *brute_secrets(t)) for k, t in ((1, text), (2, None))), key=repr)
+    masked = pii.redact(docs).where("doc_id = 1").first()["text"]
+    assert "@" not in masked and masked.count("[EMAIL]") == sum("@" in p for p in parts) and masked.count("é") == text.count("é")
+    assert time.perf_counter() - start < 90
+
+
+def brute_mask(text: str, spans: list[tuple[int, int, int]], names: list[str]) -> str:
+    out, at = [], 0
+    for start, kind, end in sorted(spans):
+        if start >= at:
+            out += [text[at:start], f"[{names[kind]}]"]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
+def test_spans_are_replaced_and_kept_apart_as_by_brute_force(spark):
+    rng = random.Random(4)
+    rows = []
+    for k in range(300):
+        text = "".join(rng.choice("abc é😀\n") for _ in range(rng.choice([1, 9, 1023, 1024, 1025, 5000])))
+        at = [sorted((rng.randint(0, len(text)), rng.randint(0, len(text)))) for _ in range(rng.randint(0, 40))]
+        rows.append((k, text, [(a, rng.randint(0, 2), b, "", "", "") for a, b in at if a < b and b - a < rng.choice([5, 50, 5000])]))
+    df = spark.createDataFrame(rows, f"k int, text string, found array<{spans.SPAN}>")
+    out = df.selectExpr("k", spans.replaced("text", "found", ["[A]", "[B]", "[C]"]) + " as masked", spans.apart("found", "s.kind in (0)") + " as kept").collect()
+    for r, (_, text, own) in zip(sorted(out, key=lambda r: r["k"]), rows, strict=True):
+        own = [s[:3] for s in own]
+        assert r["masked"] == brute_mask(text, own, ["A", "B", "C"])
+        base = [s for s in own if s[1] == 0]
+        assert [tuple(s)[:3] for s in r["kept"]] == sorted(s for s in own if s[1] == 0 or not any(b[0] < s[2] and s[0] < b[2] for b in base))
