@@ -1,22 +1,26 @@
 """Secret scans by a trigram inverted index, with DataFrame and SQL functions only.
 
 A Boolean trigram query is derived from each rule's regex: every text that matches holds all trigrams of one
-of its clauses. The index has a posting (trigram, key) for each query trigram that a document holds, in lower
-case; the postings of a clause are intersected by counting them per key, clauses are united, and only the
-candidates are verified by the regex. Rules without a mandatory trigram (such as runs of hexadecimal
-digits) scan every text.
-
-Defined results: null texts count as empty and have no spans; a null key is a key like any other; rows that
-share a key are candidates together, and each is verified by its own text; further columns are ignored.
+of its clauses. The index has a posting (trigram, key) for each indexed trigram that a document holds, in lower
+case; one pass over a text finds its indexed trigrams, and the index is a stored table that later scans reuse
+(`build_index`, `open_index`). The postings of a clause are intersected by counting them per key, clauses are
+united, and only the candidates are verified by the regex. Rules without a mandatory trigram (such as runs of
+hexadecimal digits), or with one that the index lacks, scan every text.
+
+Defined results: null and empty texts have no spans; texts of any length are read whole, and the work grows with their
+length and matches; a null key is a key like any other; rows that share a key are candidates together, and each is
+verified by its own text; repeated rows give repeated rows; spans that start together stand in the rules' order; an empty
+table gives an empty result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import re._constants as C
 import re._parser as parser
+from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -39,6 +43,8 @@ class Rule:
     base: bool = False
 
 
+#: Stands for a rule that the postings do not serve.
+HIDDEN = Rule("", "")
 RULES = [
     Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, base=True),
     # As long as AKIA[A-Z0-9]+ and [0-9a-f]+ with their least lengths: runs are taken whole, so shorter ones hide nothing.
@@ -127,40 +133,85 @@ def trigram_query(pattern: str) -> frozenset:
     return query_of(exact) if exact is not None else query
 
 
-def index(docs: DataFrame, wanted: list[str], *, key: str, text: str) -> DataFrame:
-    """The postings (trigram's number, key) of the trigrams that some query asks for."""
+def found_trigrams(text: str, wanted: Iterable[str]) -> Column:
+    """The distinct ones of the wanted trigrams that a lower-case text holds, by one pass of a regex: a tree of their signs behind a test of the classes."""
+    tree: dict[str, dict[str, list[str]]] = {}
+    for a, b, c in wanted:
+        tree.setdefault(a, {}).setdefault(b, []).append(c)
+
+    def signs(cs: Iterable[str]) -> str:
+        return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in sorted(set(cs))) + "]"
+
+    first = "".join(map(signs, ((a for a in tree), (b for bs in tree.values() for b in bs), (c for bs in tree.values() for cs in bs.values() for c in cs))))
+    branches = "|".join(signs(a) + "(?:" + "|".join(signs(b) + signs(cs) for b, cs in bs.items()) + ")" for a, bs in tree.items())
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=({first}))(?={branches})"), F.lit(1)))
+
+
+@dataclass(frozen=True)
+class Index:
+    """A stored table (trigram, key) of the postings of all `trigrams`."""
+
+    folder: str
+    postings: DataFrame
+    trigrams: frozenset[str]
+
+
+def build_index(docs: DataFrame, trigrams: Iterable[str], *, key: str = "doc_id", text: str = "text") -> Index:
+    """Index the texts by these trigrams (in lower case), in the shared folder."""
+    spark, wanted = docs.sparkSession, sorted(set(trigrams))
+    folder = common.new_folder(spark, "secrets-index")
+    spark.range(1).select(F.explode(F.array(*map(F.lit, wanted)).cast("array<string>")).alias("trigram")).write.parquet(f"{folder}/trigrams")
     low = docs.select(F.col(key).alias("key"), F.lower(common.text_or_empty(text)).alias("low"))
-    held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(i)) for i, t in enumerate(wanted)]))
-    return low.select("key", F.explode(held).alias("trigram"))
+    held = found_trigrams("low", wanted) if wanted else F.array().cast("array<string>")
+    low.select("key", F.explode(held).alias("trigram")).write.parquet(f"{folder}/postings")
+    return open_index(spark, folder)
+
+
+def open_index(spark: SparkSession, folder: str) -> Index:
+    """An index that `build_index` has written; the rows scanned with it must be those it was built of."""
+    trigrams = frozenset(r["trigram"] for r in spark.read.parquet(f"{folder}/trigrams").collect())  # bounded by the rules
+    return Index(folder, spark.read.parquet(f"{folder}/postings"), trigrams)
 
 
-def candidates(docs: DataFrame, rules: list[Rule], *, key: str, text: str) -> DataFrame:
+def clauses_of(rules: list[Rule]) -> list[tuple[int, frozenset]]:
+    """(rule, trigrams) of the clauses of all rules that have a mandatory trigram."""
+    queries = [(r, trigram_query(rule.pattern)) for r, rule in enumerate(rules)]
+    return [(r, c) for r, q in queries if q != ANY for c in sorted(q, key=sorted)]
+
+
+def candidates(index: Index, rules: list[Rule]) -> DataFrame:
     """(key, rules long): bit r is set if the postings say that rule r may match in a row of this key."""
-    clauses = [(r, c) for r, rule in enumerate(rules) for c in sorted(trigram_query(rule.pattern), key=sorted) if trigram_query(rule.pattern) != ANY]
-    wanted = sorted({t for _, c in clauses for t in c})
-    spark = docs.sparkSession
-    if not wanted:
-        return spark.createDataFrame([], f"key {dict(docs.dtypes)[key]}, rules long")
+    clauses = clauses_of(rules)
+    spark, kind = index.postings.sparkSession, dict(index.postings.dtypes)["key"]
+    if not clauses:
+        return spark.createDataFrame([], f"key {kind}, rules long")
     # One row for each trigram of each clause: bounded by the rules, not by the data.
-    asks = F.array(*[F.struct(F.lit(n).alias("clause"), F.lit(wanted.index(t)).alias("trigram")) for n, (_, c) in enumerate(clauses) for t in sorted(c)])
+    asks = F.array(*[F.struct(F.lit(n).alias("clause"), F.lit(t).alias("trigram")) for n, (_, c) in enumerate(clauses) for t in sorted(c)])
     asks = F.broadcast(spark.range(1).select(F.inline(asks)))
     sizes = F.array(*[F.lit(len(c)) for _, c in clauses])
     owners = F.array(*[F.lit(1 << r).cast("long") for r, _ in clauses])
-    met = index(docs, wanted, key=key, text=text).join(asks, "trigram").groupBy("key", "clause").agg(F.countDistinct("trigram").alias("n"))
+    met = index.postings.join(asks, "trigram").groupBy("key", "clause").agg(F.countDistinct("trigram").alias("n"))
     return met.where(F.col("n") == sizes[F.col("clause")]).groupBy("key").agg(F.bit_or(owners[F.col("clause")]).alias("rules"))
 
 
-def scan(docs: DataFrame, rules: list[Rule] | None = None, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, spans array): the spans of all rules by start, then rule, each verified by its regex."""
+def scan(docs: DataFrame, rules: list[Rule] | None = None, *, key: str = "doc_id", text: str = "text", index: Index | None = None) -> DataFrame:
+    """(key, spans array): the spans of all rules by start, then rule, each verified by its regex.
+
+    Without an `index` of these rows one is built for the rules.
+    """
     rules = rules or RULES
-    met = common.stored(candidates(docs, rules, key=key, text=text), "secrets-candidates")
+    if len(rules) > 63:
+        raise ValueError("at most 63 rules in one scan")
+    index = index or build_index(docs, {t for _, c in clauses_of(rules) for t in c}, key=key, text=text)
+    indexed = [i for i, rule in enumerate(rules) if trigram_query(rule.pattern) != ANY and all(c <= index.trigrams for c in trigram_query(rule.pattern))]
+    met = common.stored(candidates(index, [r if i in indexed else HIDDEN for i, r in enumerate(rules)]), "secrets-candidates")
     few = met.count() <= BROADCAST_ROWS
     met = F.broadcast(met) if few else met
     base = docs.select(F.col(key).alias("id"), common.text_or_empty(text).alias("t"))
     base = base.join(met, F.col("id").eqNullSafe(F.col("key")), "left")
     columns = []
     for r, rule in enumerate(rules):
-        full = trigram_query(rule.pattern) == ANY
+        full = r not in indexed
         gate = f"t rlike {quoted(rule.pattern)}" if full else f"(coalesce(rules, 0) & {1 << r}) != 0"
         matches = found("t", r, rule.pattern)
         if rule.least:  # drop matches whose value, the second group, is too short
@@ -171,12 +222,12 @@ def scan(docs: DataFrame, rules: list[Rule] | None = None, *, key: str = "doc_id
     return base.select(F.col("id").alias(key), F.array_sort(F.concat(*columns)).alias("spans"))
 
 
-def report(docs: DataFrame, rules: list[Rule] | None = None, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def report(docs: DataFrame, rules: list[Rule] | None = None, *, key: str = "doc_id", text: str = "text", index: Index | None = None) -> DataFrame:
     """Per row: key, the number of spans of each base rule, base_sha256 and spans as text."""
     rules = rules or RULES
     kinds = [r.kind for r in rules]
     base = [i for i, r in enumerate(rules) if r.base]
-    out = scan(docs, rules, key=key, text=text)
+    out = scan(docs, rules, key=key, text=text, index=index)
     counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = {i})) as bigint)").alias(f"n_{kinds[i]}") for i in base]
     own = f"filter(spans, s -> s.kind in ({', '.join(map(str, base))}))"
     return out.select(key, *counts, F.sha2(F.expr(joined(own, kinds)), 256).alias("base_sha256"), F.expr(joined("spans", kinds)).alias("spans"))

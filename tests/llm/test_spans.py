@@ -195,3 +195,64 @@ def test_spans_are_replaced_and_kept_apart_as_by_brute_force(spark):
         assert r["masked"] == brute_mask(text, own, ["A", "B", "C"])
         base = [s for s in own if s[1] == 0]
         assert [tuple(s)[:3] for s in r["kept"]] == sorted(s for s in own if s[1] == 0 or not any(b[0] < s[2] and s[0] < b[2] for b in base))
+
+
+def test_an_index_is_reused_and_a_rule_without_it_scans_all(mixed, monkeypatch):
+    docs = mixed[1]
+    index = secrets.build_index(docs, {t for _, c in secrets.clauses_of(secrets.RULES) for t in c})
+    again = secrets.open_index(docs.sparkSession, index.folder)
+    want = sorted(tuple(r) for r in secrets.report(docs).collect())
+    with monkeypatch.context() as m:
+        m.setattr(secrets, "build_index", None)
+        assert sorted(tuple(r) for r in secrets.report(docs, index=again).collect()) == want
+        some = secrets.RULES[1:5]
+        assert sorted(tuple(r) for r in secrets.scan(docs, some, index=again).collect()) == sorted(tuple(r) for r in secrets.scan(docs, some, index=secrets.Index("", again.postings, frozenset({"aki"}))).collect())
+    held = {(r["key"], r["trigram"]) for r in again.postings.collect()}
+    assert held == {(k, t) for k, text in mixed[0] for t in secrets.trigrams(text.lower()) & again.trigrams}
+
+
+SECRETS = {
+    "github": lambda r: "gh" + r.choice("pousr") + "_" + "".join(r.choices("abcXYZ019", k=36)), "slack": lambda r: "xox" + r.choice("abprs") + "-" + "".join(r.choices("0123456789-ab", k=24)),
+    "stripe": lambda r: r.choice("rs") + "k_live_" + "".join(r.choices("abcXYZ019", k=24)), "google": lambda r: "AIza" + "".join(r.choices("abcXYZ_-019", k=35)),
+    "jwt": lambda r: ".".join(("eyJ" + "".join(r.choices("abcXYZ019", k=20)), "eyJ" + "".join(r.choices("abcXYZ019", k=30)), "".join(r.choices("abcXYZ019", k=40)))), "pem": lambda r: f"-----BEGIN {r.choice(['RSA ', 'EC ', ''])}PRIVATE KEY-----",
+}
+
+
+def test_precision_and_recall_of_the_secrets_added(spark):
+    """Planted secrets of the kinds that the base has not, and cut ones: all of the former, none of the latter."""
+    rng = random.Random(8)
+    rows, truth = [], set()
+    for k in range(600):
+        kind = rng.choice(list(SECRETS))
+        one, good = SECRETS[kind](rng), rng.random() < 0.6
+        one = one if good else one[: max(4, len(one) // 3)]
+        before = prose(rng, rng.randint(0, 60)) + " "
+        rows.append((k, f"{before}{one} {prose(rng, rng.randint(0, 60))}", "en", "s", 0))
+        if good:
+            truth.add((k, f"{kind}:{len(before)}:{len(before) + len(one)}"))
+    found = {(r["doc_id"], s) for r in secrets.report(spark.createDataFrame(rows, SCHEMA)).collect() for s in r["spans"].split(",") if s and s.split(":")[0] in SECRETS}
+    assert found == truth
+
+
+def test_precision_and_recall_of_the_personal_data_added(spark):
+    """Planted spans of the kinds that the base has not, beside numbers and words that look alike."""
+    rng = random.Random(9)
+    digits = lambda n: "".join(rng.choices("123456789", k=n))
+    good = {
+        "email_spelled": lambda: ("mail me: ", f"{rng.choice(['joe', 'ann', 'li'])}.{digits(3)} [at] {rng.choice(['site', 'post'])}{digits(2)} [dot] {rng.choice(['com', 'org', 'de'])}"), "phone_local": lambda: ("call ", f"({rng.randint(2, 9)}{digits(2)}) {digits(3)}-{digits(4)}"),
+        "iban": lambda: ("account iban ", f"{rng.choice(['DE', 'FR', 'NL'])}{digits(2)} {digits(4)} {digits(4)} {digits(4)} {digits(4)} {digits(2)}"), "ssn": lambda: ("social security: ", f"{rng.choice('1234578')}{digits(2)}-{digits(2)}-{digits(4)}"),
+    }
+    bad = {
+        "email_spelled": lambda: ("x_", f"foo{digits(2)}[at]bar{digits(1)}.{digits(3)}"), "phone_local": lambda: ("v", f"0{digits(2)}.{digits(3)}.{digits(4)}"), "iban": lambda: ("_", f"XX{digits(2)} {digits(4)} {digits(4)}"), "ssn": lambda: ("/", f"000-00-{digits(4)}"),
+    }
+    rows, truth, false = [], set(), set()
+    for k in range(1200):
+        kind, real = rng.choice(list(good)), rng.random() < 0.6
+        lead, one = (good if real else bad)[kind]()
+        before = prose(rng, rng.randint(1, 40)) + " " + lead
+        rows.append((k, f"{before}{one}{' ' if real else '_'}{prose(rng, rng.randint(1, 40))}", "en", "s", 0))
+        (truth if real else false).add((k, f"{kind}:{len(before)}:{len(before) + len(one)}"))
+    found = {(r["doc_id"], s) for r in pii.report(spark.createDataFrame(rows, SCHEMA)).collect() for s in r["spans"].split(",") if s and s.split(":")[0] in good}
+    recall, precision = len(found & truth) / len(truth), len(found & truth) / max(1, len(found))
+    print("personal data added: recall", round(recall, 3), "precision", round(precision, 3))
+    assert recall >= 0.9 and precision >= 0.9
