@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Callable, Iterator
+from collections import OrderedDict
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,10 +87,55 @@ def chunks(values: list, size_of, most: int) -> Iterator[tuple[int, int]]:
         yield at, len(values)
 
 
-def local_path(uri: str) -> str:
-    """The path of a file: URI or plain path, which all machines see at that place."""
+def local_path(uri: str) -> str | None:
+    """The path of a file: URI or plain path, which all machines see at that place; None for another store."""
     if uri.startswith("file:"):
         return "/" + uri[5:].lstrip("/")
-    if "://" in uri:
-        raise ValueError(f"{uri}: memory maps need a shared folder that is mounted on every machine")
-    return os.path.abspath(uri)
+    return None if "://" in uri else os.path.abspath(uri)
+
+
+def make_folder(uri: str) -> None:
+    if path := local_path(uri):
+        os.makedirs(path, exist_ok=True)
+    else:
+        store, path = pyarrow.fs.FileSystem.from_uri(uri)
+        store.create_dir(path)
+
+
+def write_file(uri: str, parts: Iterable[bytes]) -> None:
+    """A file of the shared folder that appears whole or not at all, also if a task runs twice."""
+    path = local_path(uri)
+    store, path = (pyarrow.fs.LocalFileSystem(), path) if path else pyarrow.fs.FileSystem.from_uri(uri)
+    part = f"{path}.{uuid.uuid4().hex}"
+    with store.open_output_stream(part, compression=None) as f:
+        for p in parts:
+            f.write(p)
+    store.move(part, path)
+
+
+def mapped(uri: str) -> np.ndarray | None:
+    """The bytes of a file: mapped into memory where the folder is mounted, else fetched as a whole; None if there is none."""
+    try:
+        if path := local_path(uri):
+            return np.memmap(path, np.uint8, "r") if os.path.getsize(path) else np.zeros(0, np.uint8)
+        store, path = pyarrow.fs.FileSystem.from_uri(uri)
+        with store.open_input_stream(path, compression=None) as f:
+            return np.frombuffer(f.read(), np.uint8)
+    except FileNotFoundError:
+        return None
+
+
+class Opened:
+    """What `open_` makes of each key, the last `most` of them kept: the others are closed."""
+
+    def __init__(self, open_: Callable, most: int):
+        self.open, self.most, self.kept = open_, most, OrderedDict()
+
+    def __getitem__(self, key):
+        if key in self.kept:
+            self.kept.move_to_end(key)
+        else:
+            self.kept[key] = self.open(key)
+            if len(self.kept) > self.most:
+                self.kept.popitem(last=False)
+        return self.kept[key]

@@ -3,34 +3,32 @@
 from __future__ import annotations
 
 import json
-import os
-import uuid
+from itertools import chain
 
 import numpy as np
 
+from . import common
+
 U = np.uint64
 MAGIC = b"SGARRAY1"
 
 
 def write_arrays(path: str, arrays: dict[str, np.ndarray], facts: dict) -> None:
-    """Arrays at 64-byte bounds after a JSON header. The file appears whole or not at all, also if a task runs twice."""
+    """Arrays at 64-byte bounds after a JSON header, in a file of the shared folder."""
     head, at = {"facts": facts, "arrays": {}}, 0
     for name, a in arrays.items():
         head["arrays"][name] = [a.dtype.str, len(a), at]
         at += -(-a.nbytes // 64) * 64
     text = json.dumps(head).encode()
-    part = f"{path}.{uuid.uuid4().hex}"
-    with open(part, "wb") as f:
-        f.write(MAGIC + len(text).to_bytes(8, "little") + text)
-        f.write(bytes(-f.tell() % 64))
-        for a in arrays.values():
-            f.write(a.tobytes())
-            f.write(bytes(-a.nbytes % 64))
-    os.replace(part, path)
-
-
-def read_arrays(path: str) -> tuple[dict[str, np.ndarray], dict]:
-    data = np.memmap(path, np.uint8, "r")
+    text += b" " * (-(16 + len(text)) % 64)
+    common.write_file(path, chain([MAGIC + len(text).to_bytes(8, "little") + text], *((a.tobytes(), bytes(-a.nbytes % 64)) for a in arrays.values())))
+
+
+def read_arrays(path: str) -> tuple[dict[str, np.ndarray], dict] | None:
+    """The arrays and facts of a file; None if there is no such file."""
+    data = common.mapped(path)
+    if data is None:
+        return None
     if data[:8].tobytes() != MAGIC:
         raise ValueError(f"{path} holds no arrays")
     n = int.from_bytes(data[8:16].tobytes(), "little")

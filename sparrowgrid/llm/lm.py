@@ -1,10 +1,12 @@
 """LM scoring by an Elias-Fano n-gram trie.
 
-Words are counted in shards by hash; a word's id is its rank by hash. N-grams w1 w2 w3 are counted once, in
-cells by (w2, w3), so that a frequent context is spread over cells. A cell is a trie in memory-mapped levels:
-monotone pointers from each context w2 to its successors w3, pointers from those to the words w1 before them, and
-both kinds of ids relative to their context (running sums keep the sequence increasing, so that one search
-of the whole sequence finds a successor of one context). Probabilities are Dirichlet-smoothed,
+Texts are read once, into stored chunks of word numbers and word hashes; all later passes read those. Words are
+counted in shards by hash; a word's id is its rank by hash. Contexts w2 are cut into bands of about `Sizes.band` tokens, a band
+into as many cells by w3 as its tokens need, so that a frequent context is spread over many cells; the trigrams of a pair that may
+itself be too frequent for a cell (as both its words are) are dealt over further cells by w1. A cell is a trie in
+memory-mapped levels: monotone pointers from each context w2 to its successors w3, pointers from those to the words
+w1 before them, and both kinds of ids relative to their context (running sums keep the sequence increasing, so
+that one search of the whole sequence finds a successor of one context). Probabilities are Dirichlet-smoothed,
 
     P(w3 | w2) = (c(w2 w3) + M2 P(w3)) / (c(w2) + M2),  P(w3 | w1 w2) = b(w1 w2) (c(w1 w2 w3) / M3 + P(w3 | w2)),
     b(w1 w2) = M3 / (c(w1 w2) + M3),  P(w) = (c(w) + 1) / (N + V + 1),
@@ -12,20 +14,22 @@ of the whole sequence finds a successor of one context). Probabilities are Diric
 and stored in one byte each: P(w3 | w2) by 256 bins of equal width, b and c(w1 w2 w3) / M3 by a fixed code of counts.
 All counts are over all training texts, none is pruned.
 
-Defined results: null and empty texts are one end token; a null key counts as the text "" in the fold; repeated
-rows count and are scored as often as they stand there; further columns are ignored. Words are told apart by
-64-bit hashes. The trie's folder must be mounted on all machines, as it is mapped into memory.
+Defined results: null and empty texts are one end token; texts of any length are scored whole; a null key counts as the text ""
+in the fold; repeated rows count and are scored as often as they stand there; an empty table gives an empty result; without training
+rows every probability is that of an empty model; further columns are ignored, whatever their names. Words are told apart by
+64-bit hashes. The trie is mapped where the shared folder is mounted; from other stores a cell is fetched when first asked
+for. A worker keeps the last `Sizes.open` cells open.
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
-from itertools import chain, islice
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -35,8 +39,23 @@ from .eliasfano import EliasFano, read_arrays, write_arrays
 from .toxicity import crc_of
 
 M2, M3 = 4.0, 2.0
-#: Tokens of an n-gram batch in a task; n-grams of a cell, on average; characters of a shard of words; words kept by a worker.
-BATCH, CELL, SHARD, WORDS = 2_000_000, 2_000_000, 32 << 20, 500_000
+#: Cells by w1 of one pair at most, as they are numbered within a base cell.
+SUBS = 1 << 20
+
+
+@dataclass(frozen=True)
+class Sizes:
+    """Bounds of what a task holds; none changes a score beyond its rounding."""
+
+    cell: int = 2_000_000  #: n-grams of a cell, on average
+    band: int = 8_000_000  #: tokens of a band of contexts
+    batch: int = 2_000_000  #: tokens whose n-grams a task sorts at once
+    words: int = 1_000_000  #: words that a task counts before they are sent on
+    chunk: int = 6_000_000  #: bytes of text in a chunk
+    shard: int = 32 << 20  #: bytes of text for each shard of words
+    open: int = 1024  #: cells that a worker keeps open
+
+
 END = xxh64_intdigest(b"")  # no word is empty
 #: Counts behind a one-byte code: exact to 160, then by a constant factor.
 COUNTS = np.concatenate((np.arange(160), np.round(160 * (2**40 / 160) ** (np.arange(96) / 95)))).astype(float)
@@ -47,20 +66,13 @@ def count_code(c: np.ndarray) -> np.ndarray:
     return np.searchsorted((COUNTS[1:] + COUNTS[:-1]) / 2, c).astype(np.uint8)
 
 
-class Words:
-    """Texts to numbers of distinct words; bounded, and told when it starts anew."""
-
-    def __init__(self):
-        self.known = Known()
-
-    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(numbers of all words, words of each text)."""
-        per_text = [t.lower().split() for t in texts]
-        lengths = np.fromiter(map(len, per_text), np.int64, len(per_text))
-        return np.fromiter(map(self.known.__getitem__, chain.from_iterable(per_text)), np.int64, int(lengths.sum())), lengths
-
-    def hashes(self, first: int = 0) -> np.ndarray:
-        return np.fromiter(map(xxh64_intdigest, islice(self.known, first, None)), np.uint64, len(self.known) - first)
+def read_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of the distinct words, number of each word of the texts among them, words of each text)."""
+    known = Known()
+    per_text = [t.lower().split() for t in texts]
+    lengths = np.fromiter(map(len, per_text), np.int64, len(per_text))
+    flat = np.fromiter(map(known.__getitem__, chain.from_iterable(per_text)), np.int64, int(lengths.sum()))
+    return np.fromiter(map(xxh64_intdigest, known), np.uint64, len(known)), flat, lengths
 
 
 def with_ends(flat: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,23 +88,26 @@ def with_ends(flat: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarr
 class Vocabulary:
     """The mapped shards of words: hash -> id, and counts by id."""
 
-    def __init__(self, folder: str, shards: int, sizes: list[int]):
+    def __init__(self, folder: str, shards: int, sizes: list[int], open_: int):
         self.bits = shards.bit_length() - 1
-        self.parts = [read_arrays(f"{folder}/words-{s}")[0] if sizes[s] else {"hash": np.zeros(0, np.uint64), "count": np.zeros(0, np.int64)} for s in range(shards)]
-        self.offsets = np.concatenate(([0], np.cumsum(sizes)))
+        empty = {"hash": np.zeros(0, np.uint64), "count": np.zeros(0, np.int64)}
+        self.parts = common.Opened(lambda s: read_arrays(f"{folder}/words-{s}")[0] if sizes[s] else empty, open_)
+        self.shards, self.offsets = shards, np.concatenate(([0], np.cumsum(sizes)))
 
     def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(id or -1, count) of each hash."""
         ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        shard = (hashes >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(hashes), np.int64)
-        order = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[order], np.arange(len(self.parts) + 1))
-        for s, part in enumerate(self.parts):
-            rows = order[cuts[s] : cuts[s + 1]]
-            if not len(rows) or not len(part["hash"]):
+        order = np.argsort(hashes)
+        sorted_ = hashes[order]
+        shard = (sorted_ >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(hashes), np.int64)
+        cuts = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1], [True]))) if len(hashes) else []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            s = int(shard[a])
+            part, rows, own = self.parts[s], order[a:b], sorted_[a:b]
+            if not len(part["hash"]):
                 continue
-            at = np.minimum(np.searchsorted(part["hash"], hashes[rows]), len(part["hash"]) - 1)
-            hit = part["hash"][at] == hashes[rows]
+            at = np.minimum(np.searchsorted(part["hash"], own), len(part["hash"]) - 1)
+            hit = part["hash"][at] == own
             ids[rows[hit]] = self.offsets[s] + at[hit]
             counts[rows[hit]] = part["count"][at[hit]]
         return ids, counts
@@ -100,31 +115,8 @@ class Vocabulary:
     def counts(self, ids: np.ndarray) -> np.ndarray:
         """Counts of sorted, known ids."""
         cuts = np.searchsorted(ids, self.offsets)
-        return np.concatenate([part["count"][ids[a:b] - o] for part, a, b, o in zip(self.parts, cuts, cuts[1:], self.offsets, strict=False)] or [np.zeros(0, np.int64)])
-
-
-class Reader:
-    """Texts to ids and counts, with the words met so far."""
-
-    def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
-        self.forget()
-
-    def forget(self) -> None:
-        self.words, self.id, self.count = Words(), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids with ends, their counts, where each text ends); unknown words are -1."""
-        if len(self.words.known) > WORDS:
-            self.forget()
-        flat, lengths = self.words.read(texts)
-        if len(self.words.known) > len(self.id):
-            ids, counts = self.vocabulary.ids(self.words.hashes(len(self.id)))
-            self.id, self.count = np.concatenate((self.id, ids)), np.concatenate((self.count, counts))
-        end, end_count = self.vocabulary.ids(np.array([END], np.uint64))
-        ids, ends = with_ends(self.id[flat], lengths, int(end[0]))
-        counts, _ = with_ends(self.count[flat], lengths, int(end_count[0]))
-        return ids, counts, ends
+        some = np.flatnonzero(np.diff(cuts)).tolist()
+        return np.concatenate([self.parts[s]["count"][ids[cuts[s] : cuts[s + 1]] - self.offsets[s]] for s in some] or [np.zeros(0, np.int64)])
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -136,8 +128,36 @@ def unplanes(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
 
 
-def texts_of(docs: DataFrame, text: str) -> DataFrame:
-    return docs.select(common.text_bytes(text).alias("t"))
+def tokenised(docs: DataFrame, held: Column, *, key: str, text: str, sizes: Sizes = Sizes()) -> DataFrame:
+    """The texts as stored chunks: keys, whether each is held out, words of each text, hashes of the chunk's distinct words, numbers of all its words."""
+    common.bound_batches(docs.sparkSession, 8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            for a, b in common.chunks(texts, len, sizes.chunk):
+                hashes, flat, lengths = read_words(texts[a:b])
+                cut, place = pa.array([0, b - a], pa.int32()), slice(a, b)
+                yield pa.RecordBatch.from_arrays([
+                    *(pa.ListArray.from_arrays(cut, batch.column(i)[place]) for i in (0, 1)), pa.array([lengths.astype("<u4").tobytes()], pa.binary()),
+                    pa.array([hashes.astype("<u8").tobytes()], pa.binary()), pa.array([planes(flat)], pa.binary()),
+                ], ["keys", "held", "lengths", "hashes", "flat"])
+
+    schema = f"keys array<{dict(docs.dtypes)[key]}>, held array<boolean>, lengths binary, hashes binary, flat binary"
+    return common.stored(docs.select(key, held.alias("held"), common.text_bytes(text).alias("t")).mapInArrow(run, schema), "lm-tokens")
+
+
+def chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(keys, held out, words of each text, hashes, numbers) of the rows of `tokenised`."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            lengths, hashes = np.frombuffer(batch.column(2)[i].as_py(), "<u4").astype(np.int64), np.frombuffer(batch.column(3)[i].as_py(), "<u8")
+            yield batch.column(0)[i].values, batch.column(1)[i].values.to_numpy(zero_copy_only=False).astype(bool), lengths, hashes, unplanes(batch.column(4)[i].as_py())
+
+
+def trained_on(held: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers and lengths of the texts that are not held out."""
+    return flat[np.repeat(~held, lengths)], lengths[~held]
 
 
 def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
@@ -154,31 +174,30 @@ def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]
         yield now, rows
 
 
-def count_words(docs: DataFrame, folder: str, shards: int, *, text: str) -> list[tuple[int, int]]:
-    """Write the shards of words; (distinct words, tokens) of each."""
+def count_words(tokens: DataFrame, folder: str, shards: int, sizes: Sizes) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Write the shards of words; (distinct words, tokens, first words of its bands, tokens of those) of each."""
     bits = shards.bit_length() - 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, totals, ends = Words(), np.zeros(0, np.int64), 0
+        parts, size, ends = [], 0, 0
 
         def flush() -> pa.RecordBatch:
-            hashes = np.append(words.hashes(), np.uint64(END))
-            counts = np.append(totals, ends)
-            order = np.argsort(hashes)
-            hashes, counts = hashes[order], counts[order]
+            hashes, at = np.unique(np.concatenate([np.array([END], np.uint64), *(h for h, _ in parts)]), return_inverse=True)
+            counts = np.bincount(at, np.concatenate([[ends], *(n for _, n in parts)])).astype(np.int64)
             shard = (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
             cuts = np.searchsorted(shard, np.arange(shards + 1))
             rows = [(s, hashes[a:b].tobytes(), counts[a:b].tobytes()) for s, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["part", "h", "n"])
 
-        for batch in batches:
-            flat, lengths = words.read(batch.column(0).to_pylist())
-            new = np.bincount(flat, minlength=len(words.known))
-            new[: len(totals)] += totals
-            totals, ends = new, ends + len(lengths)
-            if len(totals) > WORDS:
+        for _, held, lengths, hashes, flat in chunks_of(batches):
+            own, texts = trained_on(held, lengths, flat)
+            n = np.bincount(own, minlength=len(hashes))
+            met = np.flatnonzero(n)
+            parts.append((hashes[met], n[met]))
+            size, ends = size + len(met), ends + len(texts)
+            if size > sizes.words:
                 yield flush()
-                words, totals, ends = Words(), np.zeros(0, np.int64), 0
+                parts, size, ends = [], 0, 0
         if ends:
             yield flush()
 
@@ -189,28 +208,44 @@ def count_words(docs: DataFrame, folder: str, shards: int, *, text: str) -> list
             hashes, at = np.unique(hashes, return_inverse=True)
             counts = np.bincount(at, counts).astype(np.int64)
             write_arrays(f"{folder}/words-{shard}", {"hash": hashes, "count": counts}, {})
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(hashes)], pa.int64()), pa.array([int(counts.sum())], pa.int64())], ["part", "words", "tokens"])
+            band = (np.cumsum(counts) - counts) // sizes.band
+            first = np.flatnonzero(np.concatenate(([True], band[1:] != band[:-1])))
+            sums = np.add.reduceat(counts, first)
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(hashes)], pa.int64()), pa.array([int(counts.sum())], pa.int64()), pa.array([first.tobytes()], pa.binary()), pa.array([sums.tobytes()], pa.binary())], ["part", "words", "tokens", "first", "sums"])
 
-    parts = texts_of(docs, text).mapInArrow(count, "part int, h binary, n binary").repartition("part").sortWithinPartitions("part")
-    found = common.stored(parts.mapInArrow(merge, "part int, words long, tokens long"), "lm-words").collect()  # a row for each shard
-    sizes = {r["part"]: (r["words"], r["tokens"]) for r in found}
-    return [sizes.get(s, (0, 0)) for s in range(shards)]
+    parts = tokens.mapInArrow(count, "part int, h binary, n binary").repartition("part").sortWithinPartitions("part")
+    # A row for each shard; of bands there are one for each shard and one for each band.
+    found = {r["part"]: r for r in common.stored(parts.mapInArrow(merge, "part int, words long, tokens long, first binary, sums binary"), "lm-words").collect()}
+    none = np.zeros(0, np.int64)
+    return [(r["words"], r["tokens"], np.frombuffer(r["first"], np.int64), np.frombuffer(r["sums"], np.int64)) if (r := found.get(s)) else (0, 0, none, none) for s in range(shards)]
 
 
 class Model:
     """Where the levels are and what they count; opened once by each worker."""
 
-    def __init__(self, folder: str, shards: int, sizes: list[int], tokens: int, side: int, texts: int):
-        self.folder, self.shards, self.sizes, self.tokens, self.side, self.texts = folder, shards, sizes, tokens, side, texts
-        self.words = sum(sizes)
-        self.floor = tokens + self.words + 1  # P(w) = (c + 1) / floor
+    def __init__(self, folder: str, shards: list[tuple[int, int, np.ndarray, np.ndarray]], texts: int, sizes: Sizes):
+        self.folder, self.shards, self.texts, self.sizes = folder, [s[0] for s in shards], texts, sizes
+        self.words, self.tokens = sum(self.shards), sum(s[1] for s in shards)
+        self.floor = self.tokens + self.words + 1  # P(w) = (c + 1) / floor
+        offsets = np.cumsum([0, *self.shards])
+        # Contexts are words and, last, the start, which has a band to itself; the last entry bounds it.
+        self.bands = np.concatenate([s[2] + o for s, o in zip(shards, offsets, strict=False)] + [[self.words, self.words + 1]]).astype(np.int64)
+        self.columns = np.maximum(1, -(-np.concatenate([s[3] for s in shards] + [[texts]]) // sizes.cell)).astype(np.int64)
+        self.first = np.cumsum(self.columns) - self.columns
 
-    def lows(self, row: np.ndarray | int):
-        """The first context of a row of cells; contexts are words and, last, the start."""
-        return -(-row * (self.words + 1) // self.side)
+    def cells(self, w2: np.ndarray, w3: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(cell, w2 and w3 as the cell has them) of each pair."""
+        band = np.searchsorted(self.bands, w2, side="right") - 1
+        columns = self.columns[band]
+        inner = w3 // columns
+        return self.first[band] + w3 - inner * columns, w2 - self.bands[band], inner
 
-    def cells(self, w2: np.ndarray, w3: np.ndarray) -> np.ndarray:
-        return w2 * self.side // (self.words + 1) * self.side + w3 % self.side
+    def band_of(self, cell: int) -> int:
+        return int(np.searchsorted(self.first, cell, side="right")) - 1
+
+    def parts(self, c2: np.ndarray, c3: np.ndarray) -> np.ndarray:
+        """Cells for the trigrams of pairs, given both words' counts; 1: they stand in the pair's own."""
+        return np.minimum(-(-np.minimum(c2, c3) // self.sizes.cell), SUBS - 1)
 
 
 def histories(ids: np.ndarray, ends: np.ndarray, start: int, none: int) -> tuple[np.ndarray, np.ndarray]:
@@ -223,56 +258,71 @@ def histories(ids: np.ndarray, ends: np.ndarray, start: int, none: int) -> tuple
     return before, two
 
 
-def opened(model: Model) -> tuple[Reader, dict]:
-    return common.held(model.folder, lambda: (Reader(Vocabulary(model.folder, model.shards, model.sizes)), {}))
+def opened(model: Model) -> tuple[Vocabulary, common.Opened]:
+    return common.held(model.folder, lambda: (Vocabulary(model.folder, len(model.shards), model.shards, model.sizes.open), common.Opened(lambda c: Cell.open(f"{model.folder}/cell-{c}"), model.sizes.open)))
+
+
+def looked_up(vocabulary: Vocabulary, hashes: np.ndarray, flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids with ends, their counts, where each text ends); unknown words are -1."""
+    ids, counts = vocabulary.ids(np.append(hashes, np.uint64(END)))
+    numbers, ends = with_ends(flat, lengths, len(hashes))
+    return ids[numbers], counts[numbers], ends
 
 
-def count_ngrams(docs: DataFrame, model: Model, *, text: str) -> None:
+def count_ngrams(tokens: DataFrame, model: Model) -> None:
     """Count all trigrams in cells and write each cell's trie."""
     start, none = model.words, model.words + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, parts, held = opened(model)[0], [], 0
+        vocabulary, parts, held_tokens = opened(model)[0], [], 0
 
         def flush() -> pa.RecordBatch:
-            w1, w2, w3 = (np.concatenate(x) for x in zip(*parts, strict=True))
-            cell = model.cells(w2, w3)
+            w1, w2, w3, subs = (np.concatenate(x) for x in zip(*parts, strict=True))
+            cell = model.cells(w2, w3)[0] * SUBS
+            hot = np.flatnonzero(subs > 1)
+            if len(hot):  # the pair itself stands in its cell, the trigram in a further one
+                cell = np.concatenate((cell, cell[hot] + 1 + w1[hot] % subs[hot]))
+                w1, w2, w3 = np.concatenate((w1, w1[hot])), np.concatenate((w2, w2[hot])), np.concatenate((w3, w3[hot]))
+                w1[hot] = none
             order = np.lexsort((w1, w3, w2, cell))
             cell, w1, w2, w3 = cell[order], w1[order], w2[order], w3[order]
-            new = np.concatenate(([True], (w1[1:] != w1[:-1]) | (w3[1:] != w3[:-1]) | (w2[1:] != w2[:-1])))
+            new = np.concatenate(([True], (w1[1:] != w1[:-1]) | (w3[1:] != w3[:-1]) | (w2[1:] != w2[:-1]) | (cell[1:] != cell[:-1])))
             at = np.flatnonzero(new)
             n = np.diff(np.append(at, len(w1)))
             cell, w1, w2, w3 = cell[at], w1[at], w2[at], w3[at]
-            found = np.unique(cell)
-            cuts = np.append(np.searchsorted(cell, found), len(cell))
+            found = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+            cuts = np.append(found, len(cell))
             # Contexts as steps from one to the next: mostly zeros.
             data = [(planes(np.diff(w2[a:b], prepend=0)), planes(w3[a:b]), planes(w1[a:b]), planes(n[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)]
-            return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), *(pa.array([d[i] for d in data], pa.binary()) for i in range(4))], ["part", "w2", "w3", "w1", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(cell[found], pa.int64()), *(pa.array([d[i] for d in data], pa.binary()) for i in range(4))], ["part", "w2", "w3", "w1", "n"])
 
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in common.chunks(texts, len, 4_000_000):
-                ids, _, ends = reader.read(texts[a:b])
-                before, two = histories(ids, ends, start, none)
-                parts.append((two, before, ids))
-                held += len(ids)
-                if held > BATCH:
-                    yield flush()
-                    parts, held = [], 0
+        for _, held, lengths, hashes, flat in chunks_of(batches):
+            own, texts = trained_on(held, lengths, flat)
+            if not len(texts):
+                continue
+            ids, counts, ends = looked_up(vocabulary, hashes, own, texts)
+            before, two = histories(ids, ends, start, none)
+            context = np.concatenate(([0], counts[:-1]))
+            context[np.concatenate(([0], ends[:-1]))] = model.texts
+            parts.append((two, before, ids, np.where(two < none, model.parts(context, counts), 1)))
+            held_tokens += len(ids)
+            if held_tokens > model.sizes.batch:
+                yield flush()
+                parts, held_tokens = [], 0
         if parts:
             yield flush()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = opened(model)[0].vocabulary
+        vocabulary = opened(model)[0]
         for cell, rows in grouped(batches):
             w2 = np.concatenate([np.cumsum(unplanes(r["w2"])) for r in rows])
             w3, w1, n = (np.concatenate([unplanes(r[x]) for r in rows]) for x in ("w3", "w1", "n"))
             write_cell(model, vocabulary, cell, w1, w2, w3, n)
-            yield pa.RecordBatch.from_arrays([pa.array([cell], pa.int32())], ["part"])
+            yield pa.RecordBatch.from_arrays([pa.array([cell], pa.int64())], ["part"])
 
-    schema = "part int, w2 binary, w3 binary, w1 binary, n binary"
-    parts = texts_of(docs, text).mapInArrow(count, schema).repartition("part").sortWithinPartitions("part")
-    common.stored(parts.mapInArrow(build, "part int"), "lm-cells")
+    schema = "part long, w2 binary, w3 binary, w1 binary, n binary"
+    parts = tokens.mapInArrow(count, schema).repartition("part").sortWithinPartitions("part")
+    common.stored(parts.mapInArrow(build, "part long"), "lm-cells")
 
 
 def relative(context: np.ndarray, ids: np.ndarray, contexts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -298,9 +348,10 @@ def write_cell(model: Model, vocabulary: Vocabulary, cell: int, w1: np.ndarray,
     pairs, c2, c3 = np.add.reduceat(n, heads), w2[heads], w3[heads]
     entry = np.cumsum(np.concatenate(([0], (w3[1:] != w3[:-1]) | (w2[1:] != w2[:-1]))))
     kept = w1 <= model.words  # not those without a word before the context
-    low = model.lows(cell // model.side)
-    contexts = model.lows(cell // model.side + 1) - low
-    pointers2, sequence2 = relative(c2 - low, c3 // model.side, contexts)
+    band = model.band_of(cell // SUBS)
+    low = model.bands[band]
+    contexts = model.bands[band + 1] - low
+    pointers2, sequence2 = relative(c2 - low, c3 // model.columns[band], contexts)
     pointers3, sequence3 = relative(entry[kept], w1[kept], len(heads))
     context_counts = np.where(c2 < model.words, 0, model.texts)
     known = c2 < model.words
@@ -324,11 +375,15 @@ def write_cell(model: Model, vocabulary: Vocabulary, cell: int, w1: np.ndarray,
 class Cell:
     """One mapped trie."""
 
-    def __init__(self, path: str):
-        a, facts = read_arrays(path)
+    def __init__(self, a: dict[str, np.ndarray], facts: dict):
         self.book, self.p2, self.b2, self.q3 = a["book"], a["p2"], a["b2"], a["q3"]
         self.pointers2, self.sequence2, self.pointers3, self.sequence3 = (EliasFano(a, x, *facts[x]) for x in ("pointers2", "sequence2", "pointers3", "sequence3"))
 
+    @classmethod
+    def open(cls, path: str) -> Cell | None:
+        found = read_arrays(path)
+        return found and cls(*found)
+
     @staticmethod
     def successor(pointers: EliasFano, sequence: EliasFano, context: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """The place of each id among the successors of its context, or -1."""
@@ -352,9 +407,19 @@ class Cell:
         return p, c2, c3
 
 
-def score_batch(model: Model, reader: Reader, cells: dict[int, Cell | None], texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def found_in(cells: common.Opened, cell: np.ndarray) -> Iterator[tuple[Cell, np.ndarray]]:
+    """Each cell that exists, with the rows that ask it."""
+    order = np.argsort(cell, kind="stable")
+    cell = cell[order]
+    cuts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1], [True]))) if len(cell) else []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if (one := cells[int(cell[a])]) is not None:
+            yield one, order[a:b]
+
+
+def score_chunk(model: Model, vocabulary: Vocabulary, cells: common.Opened, hashes: np.ndarray, flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(tokens, known tokens, base score, score) of each text."""
-    ids, counts, ends = reader.read(texts)
+    ids, counts, ends = looked_up(vocabulary, hashes, flat, lengths)
     starts = np.concatenate(([0], ends[:-1]))
     base = np.log10((counts + 1) / model.floor)
     before, two = histories(ids, ends, model.words, -1)
@@ -363,19 +428,15 @@ def score_batch(model: Model, reader: Reader, cells: dict[int, Cell | None], tex
     p = np.log10(M2 / (context + M2)) + base  # a pair that was never seen
     pairs, triples = np.zeros(len(ids)), np.zeros(len(ids))
     rows = np.flatnonzero((ids >= 0) & (before >= 0))
-    cell = model.cells(before[rows], ids[rows])
-    order = np.argsort(cell, kind="stable")
-    rows, cell = rows[order], cell[order]
-    found = np.unique(cell)
-    cuts = np.append(np.searchsorted(cell, found), len(cell))
-    for c, a, b in zip(found.tolist(), cuts, cuts[1:], strict=False):
-        if c not in cells:
-            path = f"{model.folder}/cell-{c}"
-            cells[c] = Cell(path) if os.path.exists(path) else None
-        if cells[c] is not None:
-            r = rows[a:b]
-            own, pairs[r], triples[r] = cells[c].find(two[r], before[r] - model.lows(c // model.side), ids[r] // model.side)
-            p[r] = np.where(np.isnan(own), p[r], own)
+    cell, w2, w3 = model.cells(before[rows], ids[rows])
+    w1, subs = two[rows], model.parts(context[rows], counts[rows])
+    for one, at in found_in(cells, cell * SUBS):
+        own, pairs[rows[at]], triples[rows[at]] = one.find(w1[at], w2[at], w3[at])
+        hit = at[~np.isnan(own)]
+        p[rows[hit]] = own[~np.isnan(own)]
+    hot = np.flatnonzero((subs > 1) & (w1 >= 0))
+    for one, at in found_in(cells, cell[hot] * SUBS + 1 + w1[hot] % subs[hot]):
+        triples[rows[hot[at]]] = one.find(w1[hot[at]], w2[hot[at]], w3[hot[at]])[2]
     contexts = np.concatenate(([0], pairs[:-1]))  # c(w1 w2): that of the token before
     contexts[starts] = 0
     score = np.log10(M3 / (contexts + M3)) + np.log10(triples / M3 + 10**p)
@@ -384,38 +445,30 @@ def score_batch(model: Model, reader: Reader, cells: dict[int, Cell | None], tex
     return ends - starts, add((counts > 0).astype(np.int64)), add(base), add(score)
 
 
-def train(docs: DataFrame, *, text: str = "text") -> Model:
-    """Count the texts of `docs` and write the trie into the shared folder."""
-    spark = docs.sparkSession
-    common.bound_batches(spark, 8)
-    folder = common.local_path(common.new_folder(spark, "lm"))
-    os.makedirs(folder)
-    facts = docs.agg(F.count(F.lit(1)).alias("texts"), F.coalesce(F.sum(F.length(common.text_or_empty(text))), F.lit(0)).alias("chars")).first()
-    shards = 1 << max(4, (facts["chars"] // SHARD).bit_length())
-    sizes = count_words(docs, folder, shards, text=text)
-    tokens = sum(t for _, t in sizes)
-    side = max(1, round((tokens / CELL) ** 0.5))
-    model = Model(folder, shards, [w for w, _ in sizes], tokens, side, facts["texts"])
-    if tokens:
-        count_ngrams(docs, model, text=text)
+def train(tokens: DataFrame, sizes: Sizes = Sizes()) -> Model:
+    """Count the texts of `tokenised` that are not held out and write the trie into the shared folder."""
+    spark = tokens.sparkSession
+    common.make_folder(folder := common.new_folder(spark, "lm"))
+    facts = tokens.agg(F.coalesce(F.sum(F.size(F.filter("held", lambda x: ~x))), F.lit(0)).alias("texts"), F.coalesce(F.sum(F.length("flat")), F.lit(0)).alias("bytes")).first()
+    shards = 1 << max(4, (facts["bytes"] * 3 // 2 // sizes.shard).bit_length())  # four bytes a word of some six characters
+    model = Model(folder, count_words(tokens, folder, shards, sizes), facts["texts"], sizes)
+    if model.tokens:
+        count_ngrams(tokens, model)
     return model
 
 
-def report(docs: DataFrame, *, key: str = "doc_id", text: str = "text", folds: int = 7, fold: int = 2) -> DataFrame:
+def report(docs: DataFrame, *, key: str = "doc_id", text: str = "text", folds: int = 7, fold: int = 2, sizes: Sizes = Sizes()) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score); learnt from rows outside the fold."""
-    held = crc_of(key) % folds == fold
-    model = train(docs.where(~held), text=text)
+    tokens = tokenised(docs, crc_of(key) % folds == fold, key=key, text=text, sizes=sizes)
+    model = train(tokens, sizes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, cells = opened(model)
-        for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for a, b in common.chunks(texts, len, 8_000_000):
-                tokens, known, base, score = score_batch(model, reader, cells, texts[a:b])
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(tokens), pa.array(known),
-                    pa.array(np.full(b - a, model.tokens)), pa.array(base), pa.array(score),
-                ], [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        vocabulary, cells = opened(model)
+        for keys, held, lengths, hashes, flat in chunks_of(batches):
+            n, known, base, score = score_chunk(model, vocabulary, cells, hashes, flat, lengths)
+            yield pa.RecordBatch.from_arrays([
+                keys, pa.array(held), pa.array(n), pa.array(known), pa.array(np.full(len(keys), model.tokens)), pa.array(base), pa.array(score),
+            ], [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     schema = f"`{key}` {dict(docs.dtypes)[key]}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return docs.select(key, held.alias("held_out"), common.text_bytes(text).alias("t")).mapInArrow(run, schema)
+    return tokens.mapInArrow(run, schema)

@@ -14,8 +14,6 @@ verdict; repeated rows are judged alike; further columns of the input are ignore
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -46,8 +44,8 @@ class DigestArray:
     """A mapped file of `pack`."""
 
     def __init__(self, path: str):
-        data = np.memmap(path, np.uint8, "r")
-        if bytes(data[:8]) != MAGIC:
+        data = common.mapped(path)
+        if data is None or bytes(data[:8]) != MAGIC:
             raise ValueError(f"{path} is no digest array")
         n = int(data[8:16].view("<u8")[0])
         at = 16
@@ -95,12 +93,9 @@ def publish(spark: SparkSession, entries: Iterable[tuple[str, str]]) -> str:
 
     The list itself passes through the driver and takes some 30 bytes an entry besides its string.
     """
-    folder = common.local_path(common.new_folder(spark, "urls"))
-    os.makedirs(folder, exist_ok=True)
-    path, part = f"{folder}/filter.bin", f"{folder}/.{uuid.uuid4().hex}"
-    with open(part, "wb") as f:
-        f.write(pack(entries))
-    os.replace(part, path)
+    folder = common.new_folder(spark, "urls")
+    common.make_folder(folder)
+    common.write_file(path := f"{folder}/filter.bin", [pack(entries)])
     return path
 
 

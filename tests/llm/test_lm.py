@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import os
 import random
 from collections import Counter
 from zlib import crc32
@@ -10,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sparrowgrid.llm import eliasfano, lm
+from sparrowgrid.llm import common, eliasfano, lm
 
 from .conftest import SCHEMA, prose, words_of
 
@@ -80,10 +81,28 @@ def test_scores(spark, corpus):
     check(lm.report(table(spark, corpus)), corpus)
 
 
-def test_many_cells_and_batches(spark, corpus, monkeypatch):
-    monkeypatch.setattr(lm, "CELL", 200)
-    monkeypatch.setattr(lm, "BATCH", 300)
-    monkeypatch.setattr(lm, "WORDS", 60)
+def test_many_cells_and_batches(spark, corpus):
+    check(lm.report(table(spark, corpus), sizes=lm.Sizes(cell=200, band=500, batch=300, words=60, chunk=400, open=5)), corpus)
+
+
+def test_a_hot_pair_is_dealt_over_cells(spark):
+    """A context with a third of all tokens, and a pair in it: no cell gets more than a few times its share of n-grams."""
+    rng, sizes = random.Random(12), lm.Sizes(cell=100, band=400, batch=5000)
+    words = prose(rng, 500).lower().split()
+    docs = [(k, " ".join(x for _ in range(rng.randint(1, 12)) for x in (rng.choice(words), "the", rng.choice(["of", *words[:40]])))) for k in range(600)]
+    check(lm.report(table(spark, docs), sizes=sizes), docs)
+    tokens = lm.tokenised(table(spark, docs), lm.crc_of("doc_id") % 7 == 2, key="doc_id", text="text", sizes=sizes)
+    model = lm.train(tokens, sizes)
+    cells = {int(n[5:]): lm.read_arrays(f"{model.folder}/{n}")[0] for n in os.listdir(model.folder) if n.startswith("cell-")}
+    assert sum(c % lm.SUBS > 0 for c in cells) > 10 and model.columns.max() > 10
+    # Pairs of one context in a cell cannot be split further; n-grams of one pair are.
+    assert max(len(a["q3"]) for c, a in cells.items() if c % lm.SUBS) <= 3 * sizes.cell
+
+
+def test_a_store_that_is_not_mounted(spark, corpus, monkeypatch):
+    """Files are then written and fetched through the store's own interface."""
+    monkeypatch.setattr(common, "local_path", lambda uri: None)
+    monkeypatch.setattr(common, "new_folder", lambda spark, name, plain=common.new_folder: "file://" + plain(spark, name).removeprefix("file:"))
     check(lm.report(table(spark, corpus)), corpus)
 
 
