@@ -51,7 +51,7 @@ class Sizes:
     band: int = 8_000_000  #: tokens of a band of contexts
     batch: int = 2_000_000  #: tokens whose n-grams a task sorts at once
     words: int = 1_000_000  #: words that a task counts before they are sent on
-    chunk: int = 6_000_000  #: bytes of text in a chunk
+    chunk: int = 3_000_000  #: bytes of text in a chunk
     shard: int = 32 << 20  #: bytes of text for each shard of words
     open: int = 1024  #: cells that a worker keeps open
 
@@ -269,32 +269,59 @@ def looked_up(vocabulary: Vocabulary, hashes: np.ndarray, flat: np.ndarray, leng
     return ids[numbers], counts[numbers], ends
 
 
+def order_of(*keys: np.ndarray) -> np.ndarray:
+    """The order by the first key, then by the next; as one number where they fit."""
+    bits = [int(k.max(initial=0)).bit_length() for k in keys]
+    if sum(bits) > 63:
+        return np.lexsort(keys[::-1])
+    key = np.zeros(len(keys[0]), np.int64)
+    for k, b in zip(keys, bits, strict=True):
+        key = key << b | k
+    return np.argsort(key)
+
+
+def counted(w2: np.ndarray, w3: np.ndarray, w1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct rows in order, and how often each occurs."""
+    bits = int(max(w2.max(), w3.max(), w1.max())).bit_length()
+    if 3 * bits <= 63:
+        key = np.sort(w2 << 2 * bits | w3 << bits | w1)
+        new, low = np.concatenate(([True], key[1:] != key[:-1])), (1 << bits) - 1
+        key = key[new]
+        w2, w3, w1 = key >> 2 * bits, key >> bits & low, key & low
+    else:
+        order = np.lexsort((w1, w3, w2))
+        w2, w3, w1 = w2[order], w3[order], w1[order]
+        new = np.concatenate(([True], (w1[1:] != w1[:-1]) | (w3[1:] != w3[:-1]) | (w2[1:] != w2[:-1])))
+        w2, w3, w1 = w2[new], w3[new], w1[new]
+    return w2, w3, w1, np.diff(np.append(np.flatnonzero(new), len(new)))
+
+
 def count_ngrams(tokens: DataFrame, model: Model) -> None:
     """Count all trigrams in cells and write each cell's trie."""
     start, none = model.words, model.words + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, parts, held_tokens = opened(model)[0], [], 0
+        vocabulary, parts, hot, held_tokens = opened(model)[0], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            w1, w2, w3, subs = (np.concatenate(x) for x in zip(*parts, strict=True))
+            w2, w3, w1, n = counted(*(np.concatenate(x) for x in zip(*parts, strict=True)))
             cell = model.cells(w2, w3)[0] * SUBS
-            hot = np.flatnonzero(subs > 1)
-            if len(hot):  # the pair itself stands in its cell, the trigram in a further one
-                cell = np.concatenate((cell, cell[hot] + 1 + w1[hot] % subs[hot]))
-                w1, w2, w3 = np.concatenate((w1, w1[hot])), np.concatenate((w2, w2[hot])), np.concatenate((w3, w3[hot]))
-                w1[hot] = none
-            order = np.lexsort((w1, w3, w2, cell))
-            cell, w1, w2, w3 = cell[order], w1[order], w2[order], w3[order]
-            new = np.concatenate(([True], (w1[1:] != w1[:-1]) | (w3[1:] != w3[:-1]) | (w2[1:] != w2[:-1]) | (cell[1:] != cell[:-1])))
-            at = np.flatnonzero(new)
-            n = np.diff(np.append(at, len(w1)))
-            cell, w1, w2, w3 = cell[at], w1[at], w2[at], w3[at]
-            found = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
-            cuts = np.append(found, len(cell))
+            if hot:  # such a pair itself stands in its cell, its trigrams in further ones
+                names, first = np.unique(np.concatenate([h for h, _ in hot]), return_index=True)
+                own = w2 * (none + 1) + w3
+                at = np.minimum(np.searchsorted(names, own), len(names) - 1)
+                rows = np.flatnonzero(names[at] == own)
+                subs = np.concatenate([x for _, x in hot])[first[at[rows]]]
+                cell = np.concatenate((cell, cell[rows] + 1 + w1[rows] % subs))
+                w1, w2, w3, n = (np.concatenate((x, x[rows])) for x in (w1, w2, w3, n))
+                w1[rows] = none
+            found, cell = np.unique(cell, return_inverse=True)
+            order = np.argsort(cell.astype(np.uint16) if len(found) < 1 << 16 else cell, kind="stable")
+            cell, w1, w2, w3, n = cell[order], w1[order], w2[order], w3[order], n[order]
+            cuts = np.searchsorted(cell, np.arange(len(found) + 1))
             # Contexts as steps from one to the next: mostly zeros.
             data = [(planes(np.diff(w2[a:b], prepend=0)), planes(w3[a:b]), planes(w1[a:b]), planes(n[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)]
-            return pa.RecordBatch.from_arrays([pa.array(cell[found], pa.int64()), *(pa.array([d[i] for d in data], pa.binary()) for i in range(4))], ["part", "w2", "w3", "w1", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), *(pa.array([d[i] for d in data], pa.binary()) for i in range(4))], ["part", "w2", "w3", "w1", "n"])
 
         for _, held, lengths, hashes, flat in chunks_of(batches):
             own, texts = trained_on(held, lengths, flat)
@@ -304,11 +331,14 @@ def count_ngrams(tokens: DataFrame, model: Model) -> None:
             before, two = histories(ids, ends, start, none)
             context = np.concatenate(([0], counts[:-1]))
             context[np.concatenate(([0], ends[:-1]))] = model.texts
-            parts.append((two, before, ids, np.where(two < none, model.parts(context, counts), 1)))
+            subs = model.parts(context, counts)
+            dealt = np.flatnonzero((subs > 1) & (two < none))
+            hot += [(before[dealt] * (none + 1) + ids[dealt], subs[dealt])] * bool(len(dealt))
+            parts.append((before, ids, two))
             held_tokens += len(ids)
             if held_tokens > model.sizes.batch:
                 yield flush()
-                parts, held_tokens = [], 0
+                parts, hot, held_tokens = [], [], 0
         if parts:
             yield flush()
 
@@ -339,7 +369,7 @@ def relative(context: np.ndarray, ids: np.ndarray, contexts: int) -> tuple[np.nd
 
 
 def write_cell(model: Model, vocabulary: Vocabulary, cell: int, w1: np.ndarray, w2: np.ndarray, w3: np.ndarray, n: np.ndarray) -> None:
-    order = np.lexsort((w1, w3, w2))
+    order = order_of(w2 - w2.min(), w3, w1)
     w1, w2, w3, n = w1[order], w2[order], w3[order], n[order]
     new = np.concatenate(([True], (w1[1:] != w1[:-1]) | (w3[1:] != w3[:-1]) | (w2[1:] != w2[:-1])))
     n = np.add.reduceat(n, np.flatnonzero(new))
