@@ -47,9 +47,9 @@ SUBS = 1 << 20
 class Sizes:
     """Bounds of what a task holds; none changes a score beyond its rounding."""
 
-    cell: int = 2_000_000  #: n-grams of a cell, on average
-    band: int = 8_000_000  #: tokens of a band of contexts
-    batch: int = 2_000_000  #: tokens whose n-grams a task sorts at once
+    cell: int = 1_500_000  #: n-grams of a cell, on average
+    band: int = 6_000_000  #: tokens of a band of contexts
+    batch: int = 1_500_000  #: tokens whose n-grams a task sorts at once
     words: int = 1_000_000  #: words that a task counts before they are sent on
     chunk: int = 3_000_000  #: bytes of text in a chunk
     shard: int = 32 << 20  #: bytes of text for each shard of words
@@ -125,7 +125,7 @@ def planes(values: np.ndarray) -> bytes:
 
 
 def unplanes(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+    return np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
 
 
 def tokenised(docs: DataFrame, held: Column, *, key: str, text: str, sizes: Sizes = Sizes()) -> DataFrame:
@@ -276,24 +276,33 @@ def order_of(*keys: np.ndarray) -> np.ndarray:
         return np.lexsort(keys[::-1])
     key = np.zeros(len(keys[0]), np.int64)
     for k, b in zip(keys, bits, strict=True):
-        key = key << b | k
+        key <<= b
+        key |= k
     return np.argsort(key)
 
 
-def counted(w2: np.ndarray, w3: np.ndarray, w1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct rows in order, and how often each occurs."""
-    bits = int(max(w2.max(), w3.max(), w1.max())).bit_length()
-    if 3 * bits <= 63:
-        key = np.sort(w2 << 2 * bits | w3 << bits | w1)
-        new, low = np.concatenate(([True], key[1:] != key[:-1])), (1 << bits) - 1
-        key = key[new]
-        w2, w3, w1 = key >> 2 * bits, key >> bits & low, key & low
-    else:
-        order = np.lexsort((w1, w3, w2))
-        w2, w3, w1 = w2[order], w3[order], w1[order]
-        new = np.concatenate(([True], (w1[1:] != w1[:-1]) | (w3[1:] != w3[:-1]) | (w2[1:] != w2[:-1])))
-        w2, w3, w1 = w2[new], w3[new], w1[new]
-    return w2, w3, w1, np.diff(np.append(np.flatnonzero(new), len(new)))
+class Trigrams:
+    """Rows (w2, w3, w1) that are counted once there are many; as one number each where that fits."""
+
+    def __init__(self, most: int):
+        self.bits, self.rows, self.size = most.bit_length(), [], 0
+
+    def add(self, w2: np.ndarray, w3: np.ndarray, w1: np.ndarray) -> None:
+        self.rows.append(w2 << 2 * self.bits | w3 << self.bits | w1 if self.bits <= 21 else np.stack((w2, w3, w1)))
+        self.size += len(w2)
+
+    def counted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct rows in order, and how often each occurs; none are held after it."""
+        rows, self.rows, self.size = np.concatenate(self.rows, axis=-1), [], 0
+        if self.bits <= 21:
+            rows.sort()
+            at = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+            low, n = (1 << self.bits) - 1, np.diff(np.append(at, len(rows)))
+            rows = rows[at]
+            return rows >> 2 * self.bits, rows >> self.bits & low, rows & low, n
+        rows = rows[:, np.lexsort(rows[::-1])]
+        at = np.flatnonzero(np.concatenate(([True], (rows[:, 1:] != rows[:, :-1]).any(axis=0))))
+        return *rows[:, at], np.diff(np.append(at, rows.shape[1]))
 
 
 def count_ngrams(tokens: DataFrame, model: Model) -> None:
@@ -301,10 +310,10 @@ def count_ngrams(tokens: DataFrame, model: Model) -> None:
     start, none = model.words, model.words + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, parts, hot, held_tokens = opened(model)[0], [], [], 0
+        vocabulary, met, hot = opened(model)[0], Trigrams(none), []
 
         def flush() -> pa.RecordBatch:
-            w2, w3, w1, n = counted(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            w2, w3, w1, n = met.counted()
             cell = model.cells(w2, w3)[0] * SUBS
             if hot:  # such a pair itself stands in its cell, its trigrams in further ones
                 names, first = np.unique(np.concatenate([h for h, _ in hot]), return_index=True)
@@ -334,19 +343,18 @@ def count_ngrams(tokens: DataFrame, model: Model) -> None:
             subs = model.parts(context, counts)
             dealt = np.flatnonzero((subs > 1) & (two < none))
             hot += [(before[dealt] * (none + 1) + ids[dealt], subs[dealt])] * bool(len(dealt))
-            parts.append((before, ids, two))
-            held_tokens += len(ids)
-            if held_tokens > model.sizes.batch:
+            met.add(before, ids, two)
+            if met.size > model.sizes.batch:
                 yield flush()
-                parts, hot, held_tokens = [], [], 0
-        if parts:
+                hot = []
+        if met.size:
             yield flush()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = opened(model)[0]
         for cell, rows in grouped(batches):
-            w2 = np.concatenate([np.cumsum(unplanes(r["w2"])) for r in rows])
-            w3, w1, n = (np.concatenate([unplanes(r[x]) for r in rows]) for x in ("w3", "w1", "n"))
+            w2 = np.concatenate([np.cumsum(unplanes(r.pop("w2")), dtype=np.uint32) for r in rows])
+            w3, w1, n = (np.concatenate([unplanes(r.pop(x)) for r in rows]) for x in ("w3", "w1", "n"))
             write_cell(model, vocabulary, cell, w1, w2, w3, n)
             yield pa.RecordBatch.from_arrays([pa.array([cell], pa.int64())], ["part"])
 
@@ -372,8 +380,8 @@ def write_cell(model: Model, vocabulary: Vocabulary, cell: int, w1: np.ndarray,
     order = order_of(w2 - w2.min(), w3, w1)
     w1, w2, w3, n = w1[order], w2[order], w3[order], n[order]
     new = np.concatenate(([True], (w1[1:] != w1[:-1]) | (w3[1:] != w3[:-1]) | (w2[1:] != w2[:-1])))
-    n = np.add.reduceat(n, np.flatnonzero(new))
-    w1, w2, w3 = w1[new], w2[new], w3[new]
+    n = np.add.reduceat(n, np.flatnonzero(new), dtype=np.int64)
+    w1, w2, w3 = (x[new].astype(np.int64) for x in (w1, w2, w3))
     heads = np.flatnonzero(np.concatenate(([True], (w3[1:] != w3[:-1]) | (w2[1:] != w2[:-1]))))
     pairs, c2, c3 = np.add.reduceat(n, heads), w2[heads], w3[heads]
     entry = np.cumsum(np.concatenate(([0], (w3[1:] != w3[:-1]) | (w2[1:] != w2[:-1]))))
