@@ -51,7 +51,7 @@ class Sizes:
     band: int = 6_000_000  #: tokens of a band of contexts
     batch: int = 1_500_000  #: tokens whose n-grams a task sorts at once
     words: int = 1_000_000  #: words that a task counts before they are sent on
-    chunk: int = 3_000_000  #: bytes of text in a chunk
+    chunk: int = 2_000_000  #: bytes of text in a chunk
     shard: int = 32 << 20  #: bytes of text for each shard of words
     open: int = 1024  #: cells that a worker keeps open
 
@@ -144,7 +144,7 @@ def tokenised(docs: DataFrame, held: Column, *, key: str, text: str, sizes: Size
                 ], ["keys", "held", "lengths", "hashes", "flat"])
 
     schema = f"keys array<{dict(docs.dtypes)[key]}>, held array<boolean>, lengths binary, hashes binary, flat binary"
-    return common.stored(docs.select(key, held.alias("held"), common.text_bytes(text).alias("t")).mapInArrow(run, schema), "lm-tokens")
+    return common.stored(docs.select(key, held.alias("held"), common.text_bytes(text).alias("t")).mapInArrow(run, schema), "lm-tokens", "zstd")
 
 
 def chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -226,6 +226,8 @@ class Model:
     def __init__(self, folder: str, shards: list[tuple[int, int, np.ndarray, np.ndarray]], texts: int, sizes: Sizes):
         self.folder, self.shards, self.texts, self.sizes = folder, [s[0] for s in shards], texts, sizes
         self.words, self.tokens = sum(self.shards), sum(s[1] for s in shards)
+        if self.words > (1 << 32) - 4:
+            raise ValueError("word ids have 32 bits in files and shuffles")
         self.floor = self.tokens + self.words + 1  # P(w) = (c + 1) / floor
         offsets = np.cumsum([0, *self.shards])
         # Contexts are words and, last, the start, which has a band to itself; the last entry bounds it.
@@ -424,8 +426,10 @@ class Cell:
 
     @staticmethod
     def successor(pointers: EliasFano, sequence: EliasFano, context: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """The place of each id among the successors of its context, or -1."""
-        some, back = np.unique(context, return_inverse=True)
+        """The place of each id among the successors of its context, or -1; contexts are in order."""
+        new = np.ones(len(context), bool)
+        new[1:] = context[1:] != context[:-1]
+        some, back = context[new], np.cumsum(new) - 1
         first, last = pointers.access_pairs(some)
         base = np.zeros(len(some), np.int64)
         later = first > 0
@@ -433,26 +437,37 @@ class Cell:
         place = sequence.find(base[back] + ids + 1)
         return np.where((place >= first[back]) & (place < last[back]), place, -1)
 
-    def find(self, w1: np.ndarray, w2: np.ndarray, w3: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(log10 P(w3 | w2) or nan, c(w2 w3), c(w1 w2 w3)); w2 and w3 relative to the cell."""
+    def pairs(self, w2: np.ndarray, w3: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place or -1, log10 P(w3 | w2) or nan, c(w2 w3)) of distinct pairs in order, as the cell has them."""
         at = self.successor(self.pointers2, self.sequence2, w2, w3)
         hit = np.flatnonzero(at >= 0)
-        p, c2, c3 = np.full(len(w1), np.nan), np.zeros(len(w1)), np.zeros(len(w1))
+        p, c2 = np.full(len(at), np.nan), np.zeros(len(at))
         p[hit], c2[hit] = self.book[self.p2[at[hit]]], COUNTS[self.b2[at[hit]]]
-        hit = hit[w1[hit] >= 0]
-        below = self.successor(self.pointers3, self.sequence3, at[hit], w1[hit])
-        c3[hit[below >= 0]] = COUNTS[self.q3[below[below >= 0]]]
-        return p, c2, c3
+        return at, p, c2
 
+    def triples(self, at: np.ndarray, w1: np.ndarray) -> np.ndarray:
+        """c(w1 w2 w3) for places of pairs, in order, and the words before them."""
+        out = np.zeros(len(at))
+        some = np.flatnonzero((at >= 0) & (w1 >= 0))
+        below = self.successor(self.pointers3, self.sequence3, at[some], w1[some])
+        out[some[below >= 0]] = COUNTS[self.q3[below[below >= 0]]]
+        return out
 
-def found_in(cells: common.Opened, cell: np.ndarray) -> Iterator[tuple[Cell, np.ndarray]]:
-    """Each cell that exists, with the rows that ask it."""
-    order = np.argsort(cell, kind="stable")
-    cell = cell[order]
-    cuts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1], [True]))) if len(cell) else []
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        if (one := cells[int(cell[a])]) is not None:
-            yield one, order[a:b]
+
+def heads_of(*keys: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before."""
+    out = np.ones(len(keys[0]), bool)
+    out[1:] = False
+    for k in keys:
+        out[1:] |= k[1:] != k[:-1]
+    return out
+
+
+def by_cell(cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order by cell, in which rows of one keep theirs; where each cell begins and, last, where all end)."""
+    low = cell - cell.min(initial=1 << 62)
+    order = np.argsort(low.astype(np.uint16) if low.max(initial=0) < 1 << 16 else low, kind="stable")
+    return order, np.append(np.flatnonzero(heads_of(cell[order])), len(cell))
 
 
 def score_chunk(model: Model, vocabulary: Vocabulary, cells: common.Opened, hashes: np.ndarray, flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -466,15 +481,37 @@ def score_chunk(model: Model, vocabulary: Vocabulary, cells: common.Opened, hash
     p = np.log10(M2 / (context + M2)) + base  # a pair that was never seen
     pairs, triples = np.zeros(len(ids)), np.zeros(len(ids))
     rows = np.flatnonzero((ids >= 0) & (before >= 0))
-    cell, w2, w3 = model.cells(before[rows], ids[rows])
-    w1, subs = two[rows], model.parts(context[rows], counts[rows])
-    for one, at in found_in(cells, cell * SUBS):
-        own, pairs[rows[at]], triples[rows[at]] = one.find(w1[at], w2[at], w3[at])
-        hit = at[~np.isnan(own)]
-        p[rows[hit]] = own[~np.isnan(own)]
-    hot = np.flatnonzero((subs > 1) & (w1 >= 0))
-    for one, at in found_in(cells, cell[hot] * SUBS + 1 + w1[hot] % subs[hot]):
-        triples[rows[hot[at]]] = one.find(w1[hot[at]], w2[hot[at]], w3[hot[at]])[2]
+    if len(rows):  # pairs in order, each looked up once
+        rows = rows[order_of(before[rows], ids[rows])]
+        new = heads_of(before[rows], ids[rows])
+        one, who = rows[new], np.cumsum(new) - 1
+        cell, w2, w3 = model.cells(before[one], ids[one])
+        # Pairs by cell, and their tokens in the order of the pairs.
+        order, cuts = by_cell(cell)
+        many, first = np.bincount(who)[order], np.flatnonzero(new)[order]
+        ends_of = np.cumsum(many)
+        rows = rows[np.arange(len(rows)) + np.repeat(first - (ends_of - many), many)]
+        who, cell, w2, w3, one = np.repeat(np.arange(len(one)), many), cell[order], w2[order], w3[order], one[order]
+        w1 = two[rows]
+        own, seen, three = np.full(len(one), np.nan), np.zeros(len(one)), np.zeros(len(rows))
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if (found := cells[int(cell[a]) * SUBS]) is not None:
+                place, own[a:b], seen[a:b] = found.pairs(w2[a:b], w3[a:b])
+                mine = slice(ends_of[a] - many[a], ends_of[b - 1])
+                three[mine] = found.triples(place[who[mine] - a], w1[mine])
+        subs = model.parts(context[one], counts[one])
+        hot = np.flatnonzero((subs[who] > 1) & (w1 >= 0)) if subs.max() > 1 else []
+        if len(hot):  # their trigrams stand in further cells
+            pair = who[hot]
+            sub = cell[pair] * SUBS + 1 + w1[hot] % subs[pair]
+            order, cuts = by_cell(sub)
+            hot, pair, sub = hot[order], pair[order], sub[order]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if (found := cells[int(sub[a])]) is not None:
+                    place = found.successor(found.pointers2, found.sequence2, w2[pair[a:b]], w3[pair[a:b]])
+                    three[hot[a:b]] = found.triples(place, w1[hot[a:b]])
+        pairs[rows], triples[rows] = seen[who], three
+        p[rows] = np.where(np.isnan(own[who]), p[rows], own[who])
     contexts = np.concatenate(([0], pairs[:-1]))  # c(w1 w2): that of the token before
     contexts[starts] = 0
     score = np.log10(M3 / (contexts + M3)) + np.log10(triples / M3 + 10**p)
