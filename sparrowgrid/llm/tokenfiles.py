@@ -35,7 +35,7 @@ class LibraryEncoder(Encoder):
     """Texts to ids by the tokenizers library, which sees each distinct piece of text once.
 
     Holds for tokenizers that, like GPT-2's, always start a new word at a single space between two other
-    characters; `fits` tells, and others get whole texts.
+    characters; `fits` tells, and others get whole texts. Strings of added tokens become those tokens, as the library has it.
     """
 
     def __init__(self, definition: str):
@@ -45,15 +45,17 @@ class LibraryEncoder(Encoder):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(definition)
-        self.library.encode_special_tokens = True
         self.cut = regex.compile(r"(?<=\S)(?= \S)", regex.V1).split
         self.fits = self.cuts_at_spaces(json.loads(definition))
         self.forget()
 
     @staticmethod
     def cuts_at_spaces(definition: dict) -> bool:
-        """Only a byte-level split without a normaliser, a prefix space or templates that add ids."""
+        """Only a byte-level split without a normaliser or a prefix space, and added tokens that no cut can touch."""
         split = definition.get("pre_tokenizer") or {}
+        added = definition.get("added_tokens") or []
+        if any(len(t["content"].split()) != 1 or t["content"] != t["content"].strip() or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in added):
+            return False
         return split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not definition.get("normalizer")
 
     def pieces(self, text: str) -> list[str]:

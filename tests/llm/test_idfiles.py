@@ -60,7 +60,6 @@ def test_damage_is_told():
 
 def expected(pairs, end: int) -> list[tuple]:
     library = Tokenizer.from_file(PATH)
-    library.encode_special_tokens = True
     out, at = [], 0
     for key, text in pairs:
         ids = library.encode(text or "", add_special_tokens=False).ids + [end]
@@ -89,6 +88,14 @@ def test_files_of_odd_documents(odd_docs, odd_texts, spark, tmp_path):
     assert sorted((r["doc_id"] or -9, r["n_tokens"], r["ids_crc32"]) for r in out) == sorted((k or -9, n, c) for k, _, n, c in expected(odd_texts, 2))
 
 
+def test_strings_of_added_tokens_are_those_tokens(spark, tmp_path):
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|>b <|endoftext|>  <|endoftext|>\n x", " <|endoftext|> ", "<|endof text|> <|ENDOFTEXT|>"]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], SCHEMA)
+    tokenfiles.write(docs, PATH, str(tmp_path / "f"), end_id=2)
+    out = sorted(tuple(r) for r in tokenfiles.read(spark, str(tmp_path / "f")).collect())
+    assert out == expected(list(enumerate(texts)), 2) and out[0][2:] == (5, 1604150396)
+
+
 def test_rows_are_cut(monkeypatch, odd_docs, spark, tmp_path):
     monkeypatch.setattr(tokenfiles, "ROW_CHARS", 10)
     tokenfiles.write(odd_docs.coalesce(1), PATH, str(tmp_path / "f"), end_id=2)
