@@ -1,11 +1,13 @@
-"""Byte-level BPE by merge replay over a corpus block.
+"""Byte-level BPE by merge replay over the corpus.
 
-The distinct words of a block of documents lie in one flat symbol array. An inverted index takes
-each token pair to the positions where it stands; the merges are applied in rank order, each to all
-its positions at once, and only the neighbours of a merged pair get new postings.
+The distinct pieces of all texts are found once and dealt into shards by hash (see `pieces`). The words of a
+shard lie in one flat symbol array. An inverted index takes each token pair to the positions where it stands; the
+merges are applied in rank order, each to all its positions at once, and only the neighbours of a merged pair get new
+postings. The ids then go back to the texts.
 
-Defined results: a null text counts as empty (no ids); a document is encoded by itself, so repeated
-rows give repeated results; further columns of the input are ignored unless named in `keep`.
+Defined results: a null text counts as empty (no ids); each row is encoded by itself, so repeated rows, null and
+repeated keys give rows alike; where a pair stands twice in overlapping places the leftmost is merged first; texts of any length are
+encoded whole; an empty table gives an empty result; further columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,19 +16,14 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import common
-
-#: Pieces kept with their ids in a worker; beyond it those met only once go.
-CACHE_WORDS = 400_000
-#: Characters of a block of documents that are encoded together.
-BLOCK_CHARS = 3_000_000
-
+from .pieces import Known, Sizes, encode_corpus, gathered
 
 def read_ranks(path: str) -> list[bytes]:
     """Tokens by rank from a rank file (base64 token, rank), a vocabulary of bounded size."""
@@ -163,22 +160,8 @@ class MergeReplay:
         return ids, counts
 
 
-def gathered(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The slices of `pool` one after the other, and where each ends."""
-    ends = np.cumsum(lengths)
-    return pool[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)], ends
-
-
-class Known(dict):
-    """Pieces of text by number; a new piece gets the next one."""
-
-    def __missing__(self, piece: str) -> int:
-        number = self[piece] = len(self)
-        return number
-
-
 class Encoder:
-    """Texts to ids, with a bounded table of the pieces seen so far.
+    """Texts to pieces, and pieces to ids.
 
     A single space between two other characters always starts a new match of the split pattern, so a
     text is first cut there. Pieces stand for " " + piece, and those that start with RAW for the rest.
@@ -190,22 +173,6 @@ class Encoder:
         import regex
 
         self.replay, self.split, self.cut = MergeReplay(tokens), regex.compile(pattern).findall, regex.compile(r"(?<=\S)(?= \S)", regex.V1).split
-        self.forget()
-
-    def forget(self) -> None:
-        self.known, self.uses = Known(), np.zeros(0, np.int64)
-        self.pool, self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def trim(self) -> None:
-        """Keep the pieces that were met more than once, at most half of the table."""
-        kept = np.flatnonzero(self.uses > 1)
-        if len(kept) > CACHE_WORDS // 2:
-            kept = np.sort(kept[np.argsort(-self.uses[kept], kind="stable")[: CACHE_WORDS // 2]])
-        names = list(self.known)
-        self.known = Known(zip(map(names.__getitem__, kept.tolist()), range(len(kept)), strict=True))
-        self.lengths, old = self.lengths[kept], self.starts[kept]
-        self.pool, ends = gathered(self.pool, old, self.lengths)
-        self.starts, self.uses = ends - self.lengths, np.zeros(len(kept), np.int64)
 
     def pieces(self, text: str) -> list[str]:
         """Cut before single spaces; only a text with other white space, or runs of it, needs the pattern for that."""
@@ -226,65 +193,40 @@ class Encoder:
                 return [piece[:-1], piece[-1]]
         return self.split(piece)
 
-    def learn(self, pieces: list[str]) -> None:
+    def learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, one after the other, and each one's number of ids."""
         per_piece = [self.words(p[2:] if p[:2] == "  " else " " + p) for p in pieces]
         words = Known()
         at = np.fromiter((words[w] for ws in per_piece for w in ws), np.int64)
         ids, counts = self.replay.encode([w.encode() for w in words])
-        starts = (np.cumsum(counts) - counts)[at]
-        ids, ends = gathered(ids, starts, counts[at])
-        ends = np.concatenate(([0], ends))[np.cumsum([0, *map(len, per_piece)])]
-        self.starts = np.concatenate((self.starts, len(self.pool) + ends[:-1]))
-        self.lengths = np.concatenate((self.lengths, np.diff(ends)))
-        self.pool = np.concatenate((self.pool, ids))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > CACHE_WORDS:
-            self.trim()
-        per_text = [self.pieces(t) for t in texts]
-        old, total = len(self.known), sum(map(len, per_text))
-        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(per_text)), np.int64, total)
-        if len(self.known) > old:
-            self.learn(list(islice(self.known, old, None)))
-        uses = np.bincount(at, minlength=len(self.known))
-        uses[: len(self.uses)] += self.uses
-        self.uses = uses
-        ids, ends = gathered(self.pool, self.starts[at], self.lengths[at])
-        cuts = np.concatenate(([0], ends))[np.cumsum([0, *map(len, per_text)])].tolist()
-        return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        ids, ends = gathered(ids, (np.cumsum(counts) - counts)[at], counts[at])
+        return ids, np.diff(np.concatenate(([0], ends))[np.cumsum([0, *map(len, per_piece)])])
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.replay.tokens.__getitem__, ids.tolist()))
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, *, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, *, key: str = "doc_id", text: str = "text", with_ids: bool = False, sizes: Sizes = Sizes()) -> DataFrame:
     """Per row: the key, n_tokens, ids_sha256, decoded_sha256, and the ids themselves if asked for.
 
     `vocabulary` is read on the driver and broadcast: its size is bounded by the file (under 2 MB).
     """
-    spark = docs.sparkSession
-    common.bound_batches(spark)
     tokens = read_ranks(vocabulary)
-    tag, shared = hashlib.sha256(repr(tokens).encode()).hexdigest(), spark.sparkContext.broadcast(tokens)
-    kind = dict(docs.dtypes)[key]
+    tag, shared = hashlib.sha256(repr(tokens).encode()).hexdigest(), docs.sparkSession.sparkContext.broadcast(tokens)
+    rows, read = encode_corpus(docs, lambda: common.held((tag, pattern), lambda: Encoder(shared.value, pattern)), sizes, key=key, text=text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            encoder = common.held((tag, pattern), lambda: Encoder(shared.value, pattern))
-            texts = batch.column(1).to_pylist()
-            for a, b in common.chunks(texts, len, BLOCK_CHARS):
-                found = encoder.encode(texts[a:b])
-                columns = [
-                    batch.column(0).slice(a, b - a),
-                    pa.array([len(x) for x in found], pa.int64()),
-                    pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in found], pa.string()),
-                    pa.array([hashlib.sha256(encoder.decode(x)).hexdigest() for x in found], pa.string()),
-                ]
-                names = [key, "n_tokens", "ids_sha256", "decoded_sha256"]
-                if with_ids:
-                    columns.append(pa.array(found, pa.list_(pa.int32())))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(columns, names)
-
-    schema = f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select(key, common.text_or_empty(text).alias("text")).mapInArrow(run, schema)
+        names = shared.value
+        for keys, pool, ends in read(batches):
+            data, found = pool.astype("<u4", copy=False), list(pairwise([0, *ends.tolist()]))
+            columns = [
+                keys, pa.array(np.diff(ends, prepend=0)),
+                pa.array([hashlib.sha256(data[a:b].tobytes()).hexdigest() for a, b in found], pa.string()),
+                pa.array([hashlib.sha256(b"".join(map(names.__getitem__, data[a:b].tolist()))).hexdigest() for a, b in found], pa.string()),
+            ]
+            if with_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(pool.view(np.int32))))
+            yield pa.RecordBatch.from_arrays(columns, [key, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
+
+    schema = f"`{key}` {dict(docs.dtypes)[key]}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return rows.mapInArrow(run, schema)

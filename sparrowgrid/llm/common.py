@@ -8,6 +8,7 @@ from collections import OrderedDict
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,6 +88,21 @@ def chunks(values: list, size_of, most: int) -> Iterator[tuple[int, int]]:
         yield at, len(values)
 
 
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
+    """Rows of a partition that is sorted by its first column, group by group."""
+    now, rows = None, []
+    for batch in batches:
+        name = batch.schema.names[0]
+        for row in batch.to_pylist():
+            if row[name] != now and rows:
+                yield now, rows
+                rows = []
+            now = row[name]
+            rows.append(row)
+    if rows:
+        yield now, rows
+
+
 def local_path(uri: str) -> str | None:
     """The path of a file: URI or plain path, which all machines see at that place; None for another store."""
     if uri.startswith("file:"):
@@ -98,14 +114,14 @@ def make_folder(uri: str) -> None:
     if path := local_path(uri):
         os.makedirs(path, exist_ok=True)
     else:
-        store, path = pyarrow.fs.FileSystem.from_uri(uri)
+        store, path = pa.fs.FileSystem.from_uri(uri)
         store.create_dir(path)
 
 
 def write_file(uri: str, parts: Iterable[bytes]) -> None:
     """A file of the shared folder that appears whole or not at all, also if a task runs twice."""
     path = local_path(uri)
-    store, path = (pyarrow.fs.LocalFileSystem(), path) if path else pyarrow.fs.FileSystem.from_uri(uri)
+    store, path = (pa.fs.LocalFileSystem(), path) if path else pa.fs.FileSystem.from_uri(uri)
     part = f"{path}.{uuid.uuid4().hex}"
     with store.open_output_stream(part, compression=None) as f:
         for p in parts:
@@ -118,7 +134,7 @@ def mapped(uri: str) -> np.ndarray | None:
     try:
         if path := local_path(uri):
             return np.memmap(path, np.uint8, "r") if os.path.getsize(path) else np.zeros(0, np.uint8)
-        store, path = pyarrow.fs.FileSystem.from_uri(uri)
+        store, path = pa.fs.FileSystem.from_uri(uri)
         with store.open_input_stream(path, compression=None) as f:
             return np.frombuffer(f.read(), np.uint8)
     except FileNotFoundError:

@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from . import common
-from .bpe import Known
 from .eliasfano import EliasFano, read_arrays, write_arrays
+from .pieces import Known
 from .toxicity import crc_of
 
 M2, M3 = 4.0, 2.0
@@ -160,20 +160,6 @@ def trained_on(held: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> tuple
     return flat[np.repeat(~held, lengths)], lengths[~held]
 
 
-def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
-    """Rows of a partition that is sorted by its first column, group by group."""
-    now, rows = None, []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if row["part"] != now and rows:
-                yield now, rows
-                rows = []
-            now = row["part"]
-            rows.append(row)
-    if rows:
-        yield now, rows
-
-
 def count_words(tokens: DataFrame, folder: str, shards: int, sizes: Sizes) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
     """Write the shards of words; (distinct words, tokens, first words of its bands, tokens of those) of each."""
     bits = shards.bit_length() - 1
@@ -202,7 +188,7 @@ def count_words(tokens: DataFrame, folder: str, shards: int, sizes: Sizes) -> li
             yield flush()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, rows in grouped(batches):
+        for shard, rows in common.grouped(batches):
             hashes = np.concatenate([np.frombuffer(r["h"], np.uint64) for r in rows])
             counts = np.concatenate([np.frombuffer(r["n"], np.int64) for r in rows])
             hashes, at = np.unique(hashes, return_inverse=True)
@@ -354,7 +340,7 @@ def count_ngrams(tokens: DataFrame, model: Model) -> None:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = opened(model)[0]
-        for cell, rows in grouped(batches):
+        for cell, rows in common.grouped(batches):
             w2 = np.concatenate([np.cumsum(unplanes(r.pop("w2")), dtype=np.uint32) for r in rows])
             w3, w1, n = (np.concatenate([unplanes(r.pop(x)) for r in rows]) for x in ("w3", "w1", "n"))
             write_cell(model, vocabulary, cell, w1, w2, w3, n)

@@ -1,13 +1,14 @@
 """Documents to files of token ids, and back.
 
-Documents are dealt into ranges of their key and sorted, so that file after file holds them in ascending
+Texts are encoded by the tokenizers library, which sees each distinct piece of the corpus once (see `pieces`).
+Documents are then dealt into ranges of their key and sorted, so that file after file holds them in ascending
 order; each range becomes rows of whole documents: their keys and lengths, the number of ids before the row
 in its range, and the ids as blocks of `idcodec`. The rows stand in Parquet, written by Spark's committer:
 any store that Spark can write serves, and a lost executor's part is written again.
 
-Defined results: a null text counts as empty (only the end id); rows with one key are ordered by their
-text's hash, equal rows arbitrarily, which changes nothing; a null key comes first; further columns of the
-input are ignored.
+Defined results: a null or empty text has the end id only; texts of any length are encoded whole; rows with one key are ordered
+by their ids' hash, equal rows arbitrarily, which changes nothing; a null key comes first; an empty table gives files without
+rows; further columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, pairwise
 from zlib import crc32
 
 import numpy as np
@@ -26,13 +27,14 @@ from pyspark.sql import functions as F
 
 from . import common, idcodec
 from .bpe import Encoder
+from .pieces import encode_corpus
 
-#: Characters of text that make up a row of a file, and of those that are tokenised together.
-ROW_CHARS, BATCH_CHARS = 2_400_000, 2_400_000
+#: Ids that make up a row of a file.
+ROW_IDS = 600_000
 
 
 class LibraryEncoder(Encoder):
-    """Texts to ids by the tokenizers library, which sees each distinct piece of text once.
+    """Pieces to ids by the tokenizers library, which sees each distinct piece of the corpus once.
 
     Holds for tokenizers that, like GPT-2's, always start a new word at a single space between two other
     characters; `fits` tells, and others get whole texts. Strings of added tokens become those tokens, as the library has it.
@@ -47,7 +49,6 @@ class LibraryEncoder(Encoder):
         self.library = Tokenizer.from_str(definition)
         self.cut = regex.compile(r"(?<=\S)(?= \S)", regex.V1).split
         self.fits = self.cuts_at_spaces(json.loads(definition))
-        self.forget()
 
     @staticmethod
     def cuts_at_spaces(definition: dict) -> bool:
@@ -61,61 +62,66 @@ class LibraryEncoder(Encoder):
     def pieces(self, text: str) -> list[str]:
         return super().pieces(text) if self.fits else [self.RAW + text]
 
-    def learn(self, pieces: list[str]) -> None:
-        found = self.library.encode_batch_fast([p[2:] if p[:2] == self.RAW else " " + p for p in pieces], add_special_tokens=False)
-        lengths = np.fromiter((len(e) for e in found), np.int64, len(found))
-        ends = np.cumsum(lengths)
-        self.starts = np.concatenate((self.starts, len(self.pool) + ends - lengths))
-        self.lengths = np.concatenate((self.lengths, lengths))
-        self.pool = np.concatenate((self.pool, np.fromiter(chain.from_iterable(e.ids for e in found), np.int32, int(lengths.sum()))))
+    def learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids, counts = [np.zeros(0, np.int32)], []
+        for a in range(0, len(pieces), 20_000):  # the library's results take many times the room of the ids
+            found = self.library.encode_batch_fast([p[2:] if p[:2] == self.RAW else " " + p for p in pieces[a : a + 20_000]], add_special_tokens=False)
+            counts += map(len, found)
+            ids.append(np.fromiter(chain.from_iterable(e.ids for e in found), np.int32, sum(counts[a:])))
+        return np.concatenate(ids), np.array(counts, np.int64)
 
 
 def write(docs: DataFrame, vocabulary: str, folder: str, *, end_id: int, key: str = "doc_id", text: str = "text") -> None:
     """Write the ids of all documents, each followed by `end_id`. The tokenizer's file (a few MB) is broadcast."""
     spark = docs.sparkSession
-    common.bound_batches(spark)
     with open(vocabulary, encoding="utf-8") as f:
         definition = f.read()
     tag, shared = crc32(definition.encode()), spark.sparkContext.broadcast(definition)
     kind = dict(docs.dtypes)[key]
+    rows, ids_of = encode_corpus(docs, lambda: common.held(("idfiles", tag), lambda: LibraryEncoder(shared.value)), key=key, text=text)
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, pool, ends in ids_of(batches):
+            data = pool.astype("<u2" if narrow else "<u4")
+            per_text = [data[a:b].tobytes() for a, b in pairwise([0, *ends.tolist()])]
+            yield pa.RecordBatch.from_arrays([keys, pa.array(per_text, pa.binary())], ["key", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = common.held(("idfiles", tag), lambda: LibraryEncoder(shared.value))
-        size = max(tok.library.get_vocab_size(), end_id + 1)
         shard, sequence, before = TaskContext.get().partitionId(), 0, 0
-        keys: list = []
-        ids: list[np.ndarray] = []
-        chars = 0
+        keys, lengths, parts, size = [], [], [], 0
+        end = np.array([end_id], "<u2" if narrow else "<u4").tobytes()
 
         def row() -> pa.RecordBatch:
-            nonlocal sequence, before, keys, ids, chars
-            flat = np.concatenate(ids)
+            nonlocal sequence, before, keys, lengths, parts, size
+            flat = np.frombuffer(end.join([*parts, b""]), "<u2" if narrow else "<u4")
             out = pa.RecordBatch.from_arrays([
                 pa.array([shard], pa.int32()), pa.array([sequence], pa.int32()), pa.array([before], pa.int64()), pa.array([len(flat)], pa.int64()),
                 pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), pa.array(keys, key_type)),
-                pa.array([[len(x) for x in ids]], pa.list_(pa.int64())), pa.array([idcodec.encode(flat, size)], pa.binary()),
+                pa.array([lengths], pa.list_(pa.int64())), pa.array([idcodec.encode(flat, vocabulary_size)], pa.binary()),
             ], ["shard", "sequence", "before", "n_ids", "keys", "lengths", "blocks"])
-            sequence, before, keys, ids, chars = sequence + 1, before + len(flat), [], [], 0
+            sequence, before, keys, lengths, parts, size = sequence + 1, before + len(flat), [], [], [], 0
             return out
 
         for batch in batches:
             key_type = batch.schema.field(0).type
-            texts = batch.column(1).to_pylist()
-            names = batch.column(0).to_pylist()
-            for a, b in common.chunks(texts, len, BATCH_CHARS):
-                for x in tok.encode(texts[a:b]):
-                    ids.append(np.append(x, np.int32(end_id)))
-                keys += names[a:b]
-                chars += sum(map(len, texts[a:b]))
-                if chars >= ROW_CHARS:
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                n = len(data) // len(end) + 1
+                keys.append(k)
+                lengths.append(n)
+                parts.append(data)
+                size += n
+                if size >= ROW_IDS:
                     yield row()
         if keys:
             yield row()
 
-    text_column = common.text_or_empty(text).alias("text")
-    ranged = docs.select(key, text_column, F.xxhash64(text_column).alias("h")).repartitionByRange(key, "h").sortWithinPartitions(F.col(key).asc_nulls_first(), "h")
+    vocabulary_size = max(LibraryEncoder(definition).library.get_vocab_size(), end_id + 1)
+    narrow = vocabulary_size <= 1 << 16
+    # Stored before it is dealt into ranges, as their bounds come from a first reading.
+    texts = common.stored(rows.mapInArrow(encoded, f"key {kind}, ids binary"), "idfiles-ids", "zstd").withColumn("h", F.xxhash64("ids"))
+    ranged = texts.repartitionByRange("key", "h").sortWithinPartitions(F.col("key").asc_nulls_first(), "h").select("key", "ids")
     schema = f"shard int, sequence int, before long, n_ids long, keys array<{kind}>, lengths array<long>, blocks binary"
-    ranged.select(key, "text").mapInArrow(run, schema).write.option("compression", "none").parquet(folder)
+    ranged.mapInArrow(run, schema).write.option("compression", "none").parquet(folder)
 
 
 def read(spark, folder: str, *, key: str = "doc_id", with_ids: bool = False) -> DataFrame:

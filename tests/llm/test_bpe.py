@@ -10,7 +10,9 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sparrowgrid.llm import bpe
+from sparrowgrid.llm import bpe, pieces
+
+from .conftest import SCHEMA
 
 PATH = P.path("byte_bpe_50k.tiktoken")
 
@@ -47,8 +49,9 @@ def test_no_documents(no_docs):
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from("  \n\tab'sßé漢😀.,!19")), max_size=60), max_size=6))
 def test_any_texts(library, encoder, texts):
-    for text, ids in zip(texts, encoder.encode(texts), strict=True):
-        assert ids.tolist() == library.encode_ordinary(text)
+    for text in texts:
+        ids, counts = encoder.learn(encoder.pieces(text))
+        assert ids.tolist() == library.encode_ordinary(text) and counts.sum() == len(ids)
         assert encoder.decode(ids) == text.encode()
 
 
@@ -70,10 +73,23 @@ def test_a_vocabulary_with_ranks_out_of_order():
         assert ids.tolist() == bpe.direct(w, replay.ranks) * 2
 
 
-def test_the_table_of_pieces_is_bounded(monkeypatch, library):
-    monkeypatch.setattr(bpe, "CACHE_WORDS", 50)
-    small = bpe.Encoder(bpe.read_ranks(PATH), P.PATTERN)
-    for n in range(12):
-        texts = [f"shared words here {n * k} number{n}x{k}" for k in range(20)]
-        assert [x.tolist() for x in small.encode(texts)] == [library.encode_ordinary(t) for t in texts]
-        assert len(small.known) < 150
+def test_many_tables_chunks_and_shards(spark, odd_docs, odd_texts, library):
+    """Small tables and shards: the same ids; each distinct piece of the corpus is encoded once."""
+    out = bpe.encode_documents(odd_docs, PATH, P.PATTERN, with_ids=True, sizes=pieces.Sizes(table=40, chunk=300, shard=2000))
+    want = [(k, library.encode_ordinary(t or "")) for k, t in odd_texts]
+    assert sorted(((r["doc_id"], r["ids"]) for r in out.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_a_piece_is_encoded_once_in_the_corpus(spark, library):
+    docs = [(k, f"shared words here {k % 7} number{k}") for k in range(200)]
+    table = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in docs], SCHEMA).repartition(5)
+    seen = spark.sparkContext.accumulator(0)
+    tokens = bpe.read_ranks(PATH)
+
+    class Counted(bpe.Encoder):
+        def learn(self, found):
+            seen.add(len(found))
+            return super().learn(found)
+
+    rows, read = pieces.encode_corpus(table, lambda: Counted(tokens, P.PATTERN), pieces.Sizes(table=30, chunk=500), key="doc_id", text="text")
+    assert rows.count() > 10 and seen.value == len({p for _, t in docs for p in Counted(tokens, P.PATTERN).pieces(t)})

@@ -97,7 +97,7 @@ def test_strings_of_added_tokens_are_those_tokens(spark, tmp_path):
 
 
 def test_rows_are_cut(monkeypatch, odd_docs, spark, tmp_path):
-    monkeypatch.setattr(tokenfiles, "ROW_CHARS", 10)
+    monkeypatch.setattr(tokenfiles, "ROW_IDS", 10)
     tokenfiles.write(odd_docs.coalesce(1), PATH, str(tmp_path / "f"), end_id=2)
     assert tokenfiles.read(spark, str(tmp_path / "f")).count() == odd_docs.count()
 
