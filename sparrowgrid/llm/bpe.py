@@ -15,7 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -160,29 +160,34 @@ class MergeReplay:
         return ids, counts
 
 
+#: How a piece begins that is as it stands in the text; others lack the space before them.
+RAW = "  "
+
+
+def pieces_of(text: str, cut: Callable[[str], list[str]]) -> list[str]:
+    """Cut before single spaces between other characters; only a text with other white space, or runs of it, needs the pattern `cut` for that."""
+    if not text:
+        return []
+    if len(text.split()) == text.count(" ") + text.count("\n") + 1 and text.replace("\n", "").isprintable():
+        out = text.split(" ")
+        out[0] = RAW + out[0]
+        return out
+    return [RAW + x for x in cut(text)]
+
+
 class Encoder:
     """Texts to pieces, and pieces to ids.
 
-    A single space between two other characters always starts a new match of the split pattern, so a
-    text is first cut there. Pieces stand for " " + piece, and those that start with RAW for the rest.
+    A single space between two other characters always starts a new match of the split pattern, so a text is first cut there.
     """
 
-    RAW = "  "
-
     def __init__(self, tokens: list[bytes], pattern: str):
         import regex
 
         self.replay, self.split, self.cut = MergeReplay(tokens), regex.compile(pattern).findall, regex.compile(r"(?<=\S)(?= \S)", regex.V1).split
 
     def pieces(self, text: str) -> list[str]:
-        """Cut before single spaces; only a text with other white space, or runs of it, needs the pattern for that."""
-        if not text:
-            return []
-        if len(text.split()) == text.count(" ") + text.count("\n") + 1 and text.replace("\n", "").isprintable():
-            out = text.split(" ")
-            out[0] = self.RAW + out[0]
-            return out
-        return [self.RAW + x for x in self.cut(text)]
+        return pieces_of(text, self.cut)
 
     def words(self, piece: str) -> list[str]:
         """The pattern's matches; a space and Latin letters, perhaps with a full stop or comma, need no search."""
@@ -195,7 +200,7 @@ class Encoder:
 
     def learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pieces, one after the other, and each one's number of ids."""
-        per_piece = [self.words(p[2:] if p[:2] == "  " else " " + p) for p in pieces]
+        per_piece = [self.words(p[2:] if p[:2] == RAW else " " + p) for p in pieces]
         words = Known()
         at = np.fromiter((words[w] for ws in per_piece for w in ws), np.int64)
         ids, counts = self.replay.encode([w.encode() for w in words])
@@ -218,14 +223,14 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, *, key: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = shared.value
         for keys, pool, ends in read(batches):
-            data, found = pool.astype("<u4", copy=False), list(pairwise([0, *ends.tolist()]))
+            data, found = pool.astype("<u4"), list(pairwise([0, *ends.tolist()]))
             columns = [
                 keys, pa.array(np.diff(ends, prepend=0)),
                 pa.array([hashlib.sha256(data[a:b].tobytes()).hexdigest() for a, b in found], pa.string()),
                 pa.array([hashlib.sha256(b"".join(map(names.__getitem__, data[a:b].tolist()))).hexdigest() for a, b in found], pa.string()),
             ]
             if with_ids:
-                columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(pool.view(np.int32))))
+                columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(pool.astype(np.int32))))
             yield pa.RecordBatch.from_arrays(columns, [key, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 
     schema = f"`{key}` {dict(docs.dtypes)[key]}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids

@@ -41,7 +41,7 @@ class Encoder(Protocol):
 class Sizes:
     """Bounds of what a task holds; none changes a result."""
 
-    table: int = 300_000  #: pieces of a table, beyond which a new one is begun
+    table: int = 500_000  #: pieces of a table, beyond which a new one is begun
     chunk: int = 2_000_000  #: characters of text in a stored row
     shard: int = 32 << 20  #: bytes of pieces in a shard, those of several tables counted several times
 
@@ -61,11 +61,17 @@ def gathered(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple
 
 
 def packed(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values, "<u4").tobytes()
+    """Unsigned 32-bit numbers plane by plane of their bytes, which the codecs of files and shuffles pack well."""
+    return np.ascontiguousarray(values, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
-def unpacked(data: pa.Scalar) -> np.ndarray:
-    return np.frombuffer(data.as_buffer(), "<u4")
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+
+
+def narrow(values: np.ndarray) -> np.ndarray:
+    """The same numbers in as few bytes as the largest needs."""
+    return values.astype(np.min_scalar_type(int(values.max(initial=0))))
 
 
 def binary(*values: bytes) -> pa.Array:
@@ -110,7 +116,7 @@ def encoded_tables(rows: DataFrame, encoder: Callable[[], Encoder], sizes: Sizes
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                lengths = unpacked(batch.column(2)[i])
+                lengths = unpacked(batch.column(2)[i].as_py())
                 pieces = bytes_of(batch.column(3)[i].as_py(), lengths)
                 if not pieces:
                     continue
@@ -120,7 +126,7 @@ def encoded_tables(rows: DataFrame, encoder: Callable[[], Encoder], sizes: Sizes
                 first = batch.column(1)[i].as_py()
                 parts = [order[a:b] for a, b in pairwise([*cuts.tolist(), len(order)])]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(names), pa.array([batch.column(0)[i].as_py()] * len(names), pa.int64()), binary(*(packed(first + p) for p in parts)),
+                    pa.array(names), pa.array([batch.column(0)[i].as_py()] * len(names), pa.int64()), binary(*(packed(np.diff(first + p, prepend=0)) for p in parts)),
                     binary(*(packed(lengths[p]) for p in parts)), binary(*(b"".join(map(pieces.__getitem__, p.tolist())) for p in parts)),
                 ], ["shard", "table", "numbers", "sizes", "pieces"])
 
@@ -128,7 +134,7 @@ def encoded_tables(rows: DataFrame, encoder: Callable[[], Encoder], sizes: Sizes
         coder = encoder()
         for _, group in common.grouped(batches):
             known = Known()
-            places = [np.fromiter(map(known.__getitem__, bytes_of(r.pop("pieces"), np.frombuffer(r.pop("sizes"), "<u4"))), np.int64, len(r["numbers"]) // 4) for r in group]
+            places = [np.fromiter(map(known.__getitem__, bytes_of(r.pop("pieces"), unpacked(r.pop("sizes")))), np.int64, len(r["numbers"]) // 4) for r in group]
             ids, counts = coder.learn([p.decode() for p in known])
             starts = np.cumsum(counts) - counts
             for r, at in zip(group, places, strict=True):
@@ -137,11 +143,11 @@ def encoded_tables(rows: DataFrame, encoder: Callable[[], Encoder], sizes: Sizes
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, group in common.grouped(batches):
-            numbers, counts, ids = (np.concatenate([np.frombuffer(r[x], "<u4") for r in group]) for x in ("numbers", "counts", "ids"))
-            counts = counts.astype(np.int64)
-            order = np.argsort(numbers)
-            pool, ends = gathered(ids, (np.cumsum(counts) - counts)[order], counts[order])
-            write_arrays(f"{folder}/{table}", {"ids": pool, "ends": ends}, {})
+            numbers = np.concatenate([np.cumsum(unpacked(r["numbers"])) for r in group])
+            counts, ids = (np.concatenate([unpacked(r[x]) for r in group]) for x in ("counts", "ids"))
+            order, starts = np.argsort(numbers), np.cumsum(counts, dtype=np.int64) - counts
+            pool, _ = gathered(ids, starts[order], counts[order].astype(np.int64))
+            write_arrays(f"{folder}/{table}", {"ids": narrow(pool), "counts": narrow(counts[order])}, {})
             yield pa.RecordBatch.from_arrays([pa.array([table], pa.int64())], ["table"])
 
     dealt = rows.select("table", "first", "sizes", "pieces").mapInArrow(deal, "shard long, table long, numbers binary, sizes binary, pieces binary")
@@ -156,14 +162,19 @@ def encode_corpus(docs: DataFrame, encoder: Callable[[], Encoder], sizes: Sizes
     folder = encoded_tables(rows, encoder, sizes)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
-        tables = common.Opened(lambda t: read_arrays(f"{folder}/{t}"), 2)
+        def opened(table: int) -> tuple[np.ndarray, np.ndarray] | None:
+            if (found := read_arrays(f"{folder}/{table}")) is None:
+                return None  # of empty texts
+            return np.array(found[0]["ids"]), np.concatenate(([0], np.cumsum(found[0]["counts"], dtype=np.int64)))
+
+        tables = common.Opened(opened, 2)
         for batch in batches:
             for i in range(batch.num_rows):
-                lengths, flat = unpacked(batch.column(2)[i]).astype(np.int64), unpacked(batch.column(3)[i])
+                lengths, flat = (unpacked(batch.column(x)[i].as_py()).astype(np.int64) for x in (2, 3))
                 pool, ends = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-                if found := tables[batch.column(0)[i].as_py()]:  # a table of empty texts has no file
-                    starts = np.concatenate(([0], found[0]["ends"]))
-                    pool, ends = gathered(found[0]["ids"], starts[flat], starts[flat + np.uint32(1)] - starts[flat])
+                if found := tables[batch.column(0)[i].as_py()]:
+                    starts = found[1]
+                    pool, ends = gathered(found[0], starts[flat], starts[flat + 1] - starts[flat])
                 yield batch.column(1)[i].values, pool, np.concatenate(([0], ends))[np.cumsum(lengths)]
 
     return rows.select("table", "keys", "lengths", "flat"), read

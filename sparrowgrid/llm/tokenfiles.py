@@ -1,13 +1,12 @@
 """Documents to files of token ids, and back.
 
-Texts are encoded by the tokenizers library, which sees each distinct piece of the corpus once (see `pieces`).
-Documents are then dealt into ranges of their key and sorted, so that file after file holds them in ascending
+Documents are dealt into ranges of their key and sorted, so that file after file holds them in ascending
 order; each range becomes rows of whole documents: their keys and lengths, the number of ids before the row
 in its range, and the ids as blocks of `idcodec`. The rows stand in Parquet, written by Spark's committer:
 any store that Spark can write serves, and a lost executor's part is written again.
 
 Defined results: a null or empty text has the end id only; texts of any length are encoded whole; rows with one key are ordered
-by their ids' hash, equal rows arbitrarily, which changes nothing; a null key comes first; an empty table gives files without
+by their text's hash, equal rows arbitrarily, which changes nothing; a null key comes first; an empty table gives files without
 rows; further columns of the input are ignored, whatever their names.
 """
 
@@ -16,7 +15,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
-from itertools import chain, pairwise
+from itertools import chain, islice, pairwise
 from zlib import crc32
 
 import numpy as np
@@ -26,18 +25,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, idcodec
-from .bpe import Encoder
-from .pieces import encode_corpus
+from .bpe import RAW, pieces_of
+from .pieces import Known, gathered
 
-#: Ids that make up a row of a file.
-ROW_IDS = 600_000
+#: Characters of text that make up a row of a file, and of those that are tokenised together.
+ROW_CHARS, BATCH_CHARS = 2_400_000, 2_400_000
+#: Pieces kept with their ids in a worker; beyond it those met only once go. Characters that the library gets at once.
+KEPT, JOINED = 400_000, 50_000
 
 
-class LibraryEncoder(Encoder):
-    """Pieces to ids by the tokenizers library, which sees each distinct piece of the corpus once.
+class LibraryEncoder:
+    """Texts to ids by the tokenizers library, which sees each distinct piece of text once while a bounded table holds it.
 
     Holds for tokenizers that, like GPT-2's, always start a new word at a single space between two other
-    characters; `fits` tells, and others get whole texts. Strings of added tokens become those tokens, as the library has it.
+    characters; `fits` tells, and others get whole texts. There pieces can also be joined for the library: the bytes of
+    the tokens tell which belong to which piece. Strings of added tokens become those tokens, as the library has it.
     """
 
     def __init__(self, definition: str):
@@ -49,6 +51,11 @@ class LibraryEncoder(Encoder):
         self.library = Tokenizer.from_str(definition)
         self.cut = regex.compile(r"(?<=\S)(?= \S)", regex.V1).split
         self.fits = self.cuts_at_spaces(json.loads(definition))
+        # A byte-level token has a sign for each byte; an added one is its own text.
+        self.bytes = np.array([len(t or "") for t in map(self.library.id_to_token, range(self.library.get_vocab_size()))], np.int64)
+        for i, t in self.library.get_added_tokens_decoder().items():
+            self.bytes[i] = len(t.content.encode())
+        self.forget()
 
     @staticmethod
     def cuts_at_spaces(definition: dict) -> bool:
@@ -59,69 +66,109 @@ class LibraryEncoder(Encoder):
             return False
         return split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not definition.get("normalizer")
 
-    def pieces(self, text: str) -> list[str]:
-        return super().pieces(text) if self.fits else [self.RAW + text]
+    def forget(self) -> None:
+        self.known, self.uses = Known(), np.zeros(0, np.int64)
+        self.pool, self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def trim(self) -> None:
+        """Keep the pieces that were met more than once, at most half of the table."""
+        kept = np.flatnonzero(self.uses > 1)
+        if len(kept) > KEPT // 2:
+            kept = np.sort(kept[np.argsort(-self.uses[kept], kind="stable")[: KEPT // 2]])
+        names = list(self.known)
+        self.known = Known(zip(map(names.__getitem__, kept.tolist()), range(len(kept)), strict=True))
+        self.lengths, old = self.lengths[kept], self.starts[kept]
+        self.pool, ends = gathered(self.pool, old, self.lengths)
+        self.starts, self.uses = ends - self.lengths, np.zeros(len(kept), np.int64)
 
-    def learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids, counts = [np.zeros(0, np.int32)], []
-        for a in range(0, len(pieces), 20_000):  # the library's results take many times the room of the ids
-            found = self.library.encode_batch_fast([p[2:] if p[:2] == self.RAW else " " + p for p in pieces[a : a + 20_000]], add_special_tokens=False)
-            counts += map(len, found)
-            ids.append(np.fromiter(chain.from_iterable(e.ids for e in found), np.int32, sum(counts[a:])))
-        return np.concatenate(ids), np.array(counts, np.int64)
+    def pieces(self, text: str) -> list[str]:
+        return pieces_of(text, self.cut) if self.fits else [RAW + text]
+
+    def learn(self, pieces: list[str]) -> None:
+        """Take up new pieces: those of the kind " word" joined to long texts, the others one by one."""
+        texts = [p[2:] if p[:2] == RAW else " " + p for p in pieces]
+        joins = np.fromiter((t[:1] == " " and len(t) > 1 and not t[1].isspace() and not t[-1].isspace() for t in texts), bool, len(texts)) if self.fits else np.zeros(len(texts), bool)
+        together, alone = np.flatnonzero(joins).tolist(), np.flatnonzero(~joins).tolist()
+        order, ids, counts = np.array(together + alone, np.int64), [np.zeros(0, np.int32)], []
+        for a, b in common.chunks(together, lambda i: len(texts[i]), JOINED):
+            own = [texts[i] for i in together[a:b]]
+            found = np.array(self.library.encode_batch_fast(["".join(own)], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.searchsorted(np.cumsum(self.bytes[found]), np.cumsum([len(t.encode()) for t in own])) + 1
+            counts.append(np.diff(ends, prepend=0))
+            ids.append(found)
+        for a, b in common.chunks(alone, lambda i: len(texts[i]), JOINED):
+            found = [e.ids for e in self.library.encode_batch_fast([texts[i] for i in alone[a:b]], add_special_tokens=False)]
+            counts.append(np.fromiter(map(len, found), np.int64, len(found)))
+            ids.append(np.fromiter(chain.from_iterable(found), np.int32, int(counts[-1].sum())))
+        lengths = np.zeros(len(texts), np.int64)
+        lengths[order] = got = np.concatenate([np.zeros(0, np.int64), *counts])
+        starts = np.zeros(len(texts), np.int64)
+        starts[order] = np.cumsum(got) - got
+        self.starts, self.lengths = np.concatenate((self.starts, len(self.pool) + starts)), np.concatenate((self.lengths, lengths))
+        self.pool = np.concatenate((self.pool, *ids))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.known) > KEPT:
+            self.trim()
+        per_text = [self.pieces(t) for t in texts]
+        old, total = len(self.known), sum(map(len, per_text))
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(per_text)), np.int64, total)
+        if len(self.known) > old:
+            self.learn(list(islice(self.known, old, None)))
+        uses = np.bincount(at, minlength=len(self.known))
+        uses[: len(self.uses)] += self.uses
+        self.uses = uses
+        ids, ends = gathered(self.pool, self.starts[at], self.lengths[at])
+        cuts = np.concatenate(([0], ends))[np.cumsum([0, *map(len, per_text)])].tolist()
+        return [ids[a:b] for a, b in pairwise(cuts)]
 
 
 def write(docs: DataFrame, vocabulary: str, folder: str, *, end_id: int, key: str = "doc_id", text: str = "text") -> None:
     """Write the ids of all documents, each followed by `end_id`. The tokenizer's file (a few MB) is broadcast."""
     spark = docs.sparkSession
+    common.bound_batches(spark)
     with open(vocabulary, encoding="utf-8") as f:
         definition = f.read()
     tag, shared = crc32(definition.encode()), spark.sparkContext.broadcast(definition)
     kind = dict(docs.dtypes)[key]
-    rows, ids_of = encode_corpus(docs, lambda: common.held(("idfiles", tag), lambda: LibraryEncoder(shared.value)), key=key, text=text)
-
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, pool, ends in ids_of(batches):
-            data = pool.astype("<u2" if narrow else "<u4")
-            per_text = [data[a:b].tobytes() for a, b in pairwise([0, *ends.tolist()])]
-            yield pa.RecordBatch.from_arrays([keys, pa.array(per_text, pa.binary())], ["key", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok = common.held(("idfiles", tag), lambda: LibraryEncoder(shared.value))
+        size = max(tok.library.get_vocab_size(), end_id + 1)
         shard, sequence, before = TaskContext.get().partitionId(), 0, 0
-        keys, lengths, parts, size = [], [], [], 0
-        end = np.array([end_id], "<u2" if narrow else "<u4").tobytes()
+        keys: list = []
+        ids: list[np.ndarray] = []
+        chars = 0
 
         def row() -> pa.RecordBatch:
-            nonlocal sequence, before, keys, lengths, parts, size
-            flat = np.frombuffer(end.join([*parts, b""]), "<u2" if narrow else "<u4")
+            nonlocal sequence, before, keys, ids, chars
+            flat = np.concatenate(ids)
             out = pa.RecordBatch.from_arrays([
                 pa.array([shard], pa.int32()), pa.array([sequence], pa.int32()), pa.array([before], pa.int64()), pa.array([len(flat)], pa.int64()),
                 pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), pa.array(keys, key_type)),
-                pa.array([lengths], pa.list_(pa.int64())), pa.array([idcodec.encode(flat, vocabulary_size)], pa.binary()),
+                pa.array([[len(x) for x in ids]], pa.list_(pa.int64())), pa.array([idcodec.encode(flat, size)], pa.binary()),
             ], ["shard", "sequence", "before", "n_ids", "keys", "lengths", "blocks"])
-            sequence, before, keys, lengths, parts, size = sequence + 1, before + len(flat), [], [], [], 0
+            sequence, before, keys, ids, chars = sequence + 1, before + len(flat), [], [], 0
             return out
 
         for batch in batches:
             key_type = batch.schema.field(0).type
-            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n = len(data) // len(end) + 1
-                keys.append(k)
-                lengths.append(n)
-                parts.append(data)
-                size += n
-                if size >= ROW_IDS:
+            texts = batch.column(1).to_pylist()
+            names = batch.column(0).to_pylist()
+            for a, b in common.chunks(texts, len, BATCH_CHARS):
+                for x in tok.encode(texts[a:b]):
+                    ids.append(np.append(x, np.int32(end_id)))
+                keys += names[a:b]
+                chars += sum(map(len, texts[a:b]))
+                if chars >= ROW_CHARS:
                     yield row()
         if keys:
             yield row()
 
-    vocabulary_size = max(LibraryEncoder(definition).library.get_vocab_size(), end_id + 1)
-    narrow = vocabulary_size <= 1 << 16
-    # Stored before it is dealt into ranges, as their bounds come from a first reading.
-    texts = common.stored(rows.mapInArrow(encoded, f"key {kind}, ids binary"), "idfiles-ids", "zstd").withColumn("h", F.xxhash64("ids"))
-    ranged = texts.repartitionByRange("key", "h").sortWithinPartitions(F.col("key").asc_nulls_first(), "h").select("key", "ids")
+    text_column = common.text_or_empty(text).alias("text")
+    ranged = docs.select(key, text_column, F.xxhash64(text_column).alias("h")).repartitionByRange(key, "h").sortWithinPartitions(F.col(key).asc_nulls_first(), "h")
     schema = f"shard int, sequence int, before long, n_ids long, keys array<{kind}>, lengths array<long>, blocks binary"
-    ranged.mapInArrow(run, schema).write.option("compression", "none").parquet(folder)
+    ranged.select(key, "text").mapInArrow(run, schema).write.option("compression", "none").parquet(folder)
 
 
 def read(spark, folder: str, *, key: str = "doc_id", with_ids: bool = False) -> DataFrame:
