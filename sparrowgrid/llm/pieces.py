@@ -3,7 +3,7 @@
 Texts are cut into pieces, which are numbered in tables of bounded size, one after the other in each task;
 what is stored of the texts are the numbers. The pieces of all tables are dealt into shards by hash, where
 equal ones meet, and each shard is encoded as a whole. The ids go back to the tables they came from: one file for
-each table in the shared folder, mapped where it is read. So every piece is encoded once in the corpus (in one
+each table in the shared folder, read when its texts are. So every piece is encoded once in the corpus (in one
 shard), nothing is looked up at random, and what is shuffled are a table's distinct pieces and their ids.
 
 Defined results: a null text counts as empty and has no ids; each row is encoded by itself, so repeated rows and keys,
@@ -41,9 +41,9 @@ class Encoder(Protocol):
 class Sizes:
     """Bounds of what a task holds; none changes a result."""
 
-    table: int = 500_000  #: pieces of a table, beyond which a new one is begun
+    table: int = 1_000_000  #: pieces of a table, beyond which a new one is begun
     chunk: int = 2_000_000  #: characters of text in a stored row
-    shard: int = 32 << 20  #: bytes of pieces in a shard, those of several tables counted several times
+    shard: int = 8 << 20  #: bytes of pieces in a shard, those of several tables counted several times
 
 
 class Known(dict):
@@ -69,9 +69,16 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
 
 
-def narrow(values: np.ndarray) -> np.ndarray:
-    """The same numbers in as few bytes as the largest needs."""
-    return values.astype(np.min_scalar_type(int(values.max(initial=0))))
+_CODEC = pa.Codec("zstd")
+
+
+def squeezed(data: bytes) -> bytes:
+    """For blobs that a shuffle's own codec packs less well."""
+    return len(data).to_bytes(8, "little") + _CODEC.compress(data, asbytes=True)
+
+
+def released(data: bytes) -> bytes:
+    return _CODEC.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
 
 
 def binary(*values: bytes) -> pa.Array:
@@ -126,28 +133,31 @@ def encoded_tables(rows: DataFrame, encoder: Callable[[], Encoder], sizes: Sizes
                 first = batch.column(1)[i].as_py()
                 parts = [order[a:b] for a, b in pairwise([*cuts.tolist(), len(order)])]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(names), pa.array([batch.column(0)[i].as_py()] * len(names), pa.int64()), binary(*(packed(np.diff(first + p, prepend=0)) for p in parts)),
-                    binary(*(packed(lengths[p]) for p in parts)), binary(*(b"".join(map(pieces.__getitem__, p.tolist())) for p in parts)),
+                    pa.array(names), pa.array([batch.column(0)[i].as_py()] * len(names), pa.int64()), binary(*(squeezed(packed(np.diff(first + p, prepend=0))) for p in parts)),
+                    binary(*(squeezed(packed(lengths[p])) for p in parts)), binary(*(squeezed(b"".join(map(pieces.__getitem__, p.tolist()))) for p in parts)),
                 ], ["shard", "table", "numbers", "sizes", "pieces"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder()
         for _, group in common.grouped(batches):
             known = Known()
-            places = [np.fromiter(map(known.__getitem__, bytes_of(r.pop("pieces"), unpacked(r.pop("sizes")))), np.int64, len(r["numbers"]) // 4) for r in group]
+            places = []
+            for r in group:
+                lengths = unpacked(released(r.pop("sizes")))
+                places.append(np.fromiter(map(known.__getitem__, bytes_of(released(r.pop("pieces")), lengths)), np.int64, len(lengths)))
             ids, counts = coder.learn([p.decode() for p in known])
             starts = np.cumsum(counts) - counts
             for r, at in zip(group, places, strict=True):
                 own, _ = gathered(ids, starts[at], counts[at])
-                yield pa.RecordBatch.from_arrays([pa.array([r["table"]], pa.int64()), binary(r["numbers"]), binary(packed(counts[at])), binary(packed(own))], ["table", "numbers", "counts", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array([r["table"]], pa.int64()), binary(r["numbers"]), binary(squeezed(packed(counts[at]))), binary(squeezed(packed(own)))], ["table", "numbers", "counts", "ids"])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, group in common.grouped(batches):
-            numbers = np.concatenate([np.cumsum(unpacked(r["numbers"])) for r in group])
-            counts, ids = (np.concatenate([unpacked(r[x]) for r in group]) for x in ("counts", "ids"))
+            numbers = np.concatenate([np.cumsum(unpacked(released(r["numbers"]))) for r in group])
+            counts, ids = (np.concatenate([unpacked(released(r[x])) for r in group]) for x in ("counts", "ids"))
             order, starts = np.argsort(numbers), np.cumsum(counts, dtype=np.int64) - counts
             pool, _ = gathered(ids, starts[order], counts[order].astype(np.int64))
-            write_arrays(f"{folder}/{table}", {"ids": narrow(pool), "counts": narrow(counts[order])}, {})
+            write_arrays(f"{folder}/{table}", {k: np.frombuffer(squeezed(packed(v)), np.uint8) for k, v in (("ids", pool), ("counts", counts[order]))}, {})
             yield pa.RecordBatch.from_arrays([pa.array([table], pa.int64())], ["table"])
 
     dealt = rows.select("table", "first", "sizes", "pieces").mapInArrow(deal, "shard long, table long, numbers binary, sizes binary, pieces binary")
@@ -165,7 +175,8 @@ def encode_corpus(docs: DataFrame, encoder: Callable[[], Encoder], sizes: Sizes
         def opened(table: int) -> tuple[np.ndarray, np.ndarray] | None:
             if (found := read_arrays(f"{folder}/{table}")) is None:
                 return None  # of empty texts
-            return np.array(found[0]["ids"]), np.concatenate(([0], np.cumsum(found[0]["counts"], dtype=np.int64)))
+            ids, counts = (unpacked(released(found[0][x].tobytes())) for x in ("ids", "counts"))
+            return ids, np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
 
         tables = common.Opened(opened, 2)
         for batch in batches:
