@@ -3,7 +3,7 @@
 Centroids come from a bounded sample, by k-means whose overfull clusters are halved. A vector goes to its
 nearest list and, where it lies near a boundary, to further ones (distance ratio at most 1 + COPY, and no
 chosen centroid nearer to the new centroid than the vector is). Centroids are searched by an in-memory
-neighbour graph, or compared outright where they are few; a query reads the lists whose centroids are at most
+neighbour graph (or compared outright, if asked for); a query reads the lists whose centroids are at most
 a certain ratio as far as the nearest. That ratio is measured: for TRIALS queries the exact neighbours are found by
 brute force over all rows, and the ratio is the smallest that reaches the share `recall` of them.
 Largest inner product is nearest distance once each vector gets one more component that lifts all to the
@@ -13,8 +13,12 @@ Bounds: SAMPLE_BYTES of sample, MOST_LISTS centroids and TRIALS * k neighbours a
 indexed. Lists are put together to shards of about PART rows, longer ones are dealt over several by vec_id, and a
 shard that more than PART queries ask is dealt out by query; all of it is searched.
 
-Defined results: vectors that are null, zero, of another length than the first, or have null or non-finite
-components take no part, nor do null ids; of rows with one id the best score counts; ties go to smaller ids.
+`exact_search` gives the same by brute force. With more than MOST_LISTS * LIST_ROWS rows lists grow with the table.
+
+Defined results: vectors that are null, empty, zero, of another length than the one of the smallest id, or have null or non-finite
+components take no part, nor do null ids; of rows with one id the best score counts, and a row is no neighbour of another with its id;
+ties go to smaller ids; with fewer than k candidates all are returned; an empty table, or one without queries, gives an empty result;
+further columns are ignored, whatever their names (`is_query` may use them).
 """
 
 from __future__ import annotations
@@ -98,10 +102,10 @@ class Graph:
         self.links = np.concatenate((np.concatenate(near), rng.integers(0, n, (n, 4))), axis=1)
         self.entries = np.arange(0, n, max(1, n // 64))
 
-    def search(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """The beam nearest centroids found for each row, nearest first: numbers and distances (-1, inf: none)."""
+    def search(self, x: np.ndarray, beam: int, outright: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The beam nearest centroids found for each row, nearest first: numbers and distances (-1, inf: none). `outright` compares all."""
         beam = min(beam, len(self.centres))
-        if len(self.centres) > 64 * beam:
+        if not outright:
             return self.walk(x, beam)
         far = distances(x, self.centres)
         near = np.argpartition(far, beam - 1, axis=1)[:, :beam]
@@ -135,9 +139,9 @@ class Graph:
             ids, far, done = np.concatenate((ids, more), 1), np.concatenate((far, gaps), 1), np.concatenate((done, np.zeros(more.shape, bool)), 1)
 
 
-def lists_of(graph: Graph, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def lists_of(graph: Graph, x: np.ndarray, outright: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(row, list) of each copy of the vectors."""
-    found, far = graph.search(x, 4 * COPIES)
+    found, far = graph.search(x, 4 * COPIES, outright)
     chosen = np.zeros(found.shape, bool)
     chosen[:, 0] = True
     for j in range(1, found.shape[1]):
@@ -194,16 +198,63 @@ def nearest_of_shard(base: tuple, queries: tuple, k: int) -> tuple[np.ndarray, n
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def search(vectors: DataFrame, is_query: Column, *, k: int = 20, key: str = "vec_id", vector: str = "embedding", recall: float = 0.95) -> DataFrame:
-    """The k nearest other rows found for each row where `is_query`: query_id, rank, vec_id, score."""
-    spark = vectors.sparkSession
-    common.bound_batches(spark)
+def taking_part(vectors: DataFrame, is_query: Column, key: str, vector: str) -> tuple[DataFrame, int | None]:
+    """(id, v, q) of the rows that take part, and their length; None: there are none."""
+    common.bound_batches(vectors.sparkSession)
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where(F.col("id").isNotNull() & usable("v"))
-    first = rows.agg(F.min_by(F.size("v"), "id").alias("d")).first()["d"]
+    dims = rows.agg(F.min_by(F.size("v"), "id").alias("d")).first()["d"]
+    return rows.where(F.size("v") == dims) if dims else rows, dims
+
+
+def exact_search(vectors: DataFrame, is_query: Column, *, k: int = 20, key: str = "vec_id", vector: str = "embedding", block_bytes: int = 4 << 20) -> DataFrame:
+    """What `search` approximates: the k nearest of all other rows, by brute force.
+
+    Queries are broadcast in blocks of bounded size; each block reads all rows once, and each task keeps k for each query.
+    """
+    spark = vectors.sparkSession
+    rows, dims = taking_part(vectors, is_query, key, vector)
+    schema = "query_id long, rank int, vec_id long, score double"
+    out = spark.createDataFrame([], schema)
+    asking = rows.where("q").dropDuplicates(["id", "v"]) if dims else rows
+    blocks = -(-asking.count() * 8 * (dims or 0) // block_bytes)
+    for i in range(blocks):
+        block = asking.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).collect()  # some block_bytes
+        shared = spark.sparkContext.broadcast((np.array([r["id"] for r in block], np.int64), np.array([r["v"] for r in block], float).reshape(-1, dims)))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            own, q = shared.value
+            for batch in batches:
+                for a in range(0, batch.num_rows, PART):
+                    part = batch.slice(a, PART)
+                    ids, v = part.column(0).to_numpy(), part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+                    order = np.argsort(ids, kind="stable")
+                    lists = [np.zeros(1, np.int64)] * len(own)
+                    found = nearest_of_shard((np.zeros(len(ids), np.int64), ids[order], v[order]), (own, q, lists), k) if len(own) and len(ids) else ()
+                    if found:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", "vec_id", "score"])
+
+        near = rows.select("id", "v").mapInArrow(run, "query_id long, vec_id long, score double")
+        out = out.union(common.stored(ranked(near, k), "ann-exact"))
+    return out
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score of the k best rows of each query; of rows with one id the best score counts."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def search(vectors: DataFrame, is_query: Column, *, k: int = 20, key: str = "vec_id", vector: str = "embedding", recall: float = 0.95, outright: bool = False) -> DataFrame:
+    """The k nearest other rows found for each row where `is_query`: query_id, rank, vec_id, score.
+
+    Centroids are searched by the graph; with `outright` each is compared instead. `exact_search` has no index.
+    """
+    spark = vectors.sparkSession
+    rows, first = taking_part(vectors, is_query, key, vector)
     schema = "query_id long, rank int, vec_id long, score double"
     if first is None:
         return spark.createDataFrame([], schema)
-    rows = rows.where(F.size("v") == first)
     facts = rows.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, v: s + v * v)).alias("norm")).first()
     n, norm = facts["n"], facts["norm"]
     dims = first
@@ -229,7 +280,7 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 20, key: str = "vec
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, x in pieces(batches, 1):
-            row, listed = lists_of(shared.value, lifted(x))
+            row, listed = lists_of(shared.value, lifted(x), outright)
             yield pa.RecordBatch.from_arrays([pa.array(listed, pa.int32()), part.column(0).take(pa.array(row)), pa.array([x[i].tobytes() for i in row], pa.binary())], ["list", "id", "v"])
 
     postings = common.stored(rows.select("id", "v").mapInArrow(assign, "list int, id long, v binary"), "ann-lists")
@@ -282,7 +333,7 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 20, key: str = "vec
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, x in pieces(batches, 1):
             x = np.array(x)
-            found, far = shared.value.search(level(x), max(beam, min(len(held), 8)))
+            found, far = shared.value.search(level(x), max(beam, min(len(held), 8)), outright)
             size = np.where(found >= 0, held[found], 0)
             probe = (found >= 0) & ((far <= ratio * far[:, :1]) | (np.cumsum(size, axis=1) - size < COPIES * (k + 1)))
             row, col = np.nonzero(probe)
@@ -316,6 +367,4 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 20, key: str = "vec
 
     keys = ["shard", "r"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return ranked(found, k)

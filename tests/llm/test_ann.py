@@ -76,3 +76,26 @@ def test_the_graph_finds_the_nearest():
     assert (ids[:, 0] == exact.argmin(axis=1)).mean() >= 0.95
     assert np.allclose(np.take_along_axis(exact, ids, 1), far) and (np.diff(far, axis=1) >= 0).all()
     assert all(len(set(r)) == len(r) for r in ids.tolist())
+
+
+def test_many_lists_by_the_graph_and_outright(spark, monkeypatch):
+    """Some 700 lists: the graph's walk loses little against comparing every centroid."""
+    monkeypatch.setattr(ann, "LIST_ROWS", 8)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 16))[rng.integers(0, 40, 4000)] + 0.5 * rng.normal(size=(4000, 16))
+    rows = [(i, [float(np.float32(c)) for c in v]) for i, v in enumerate(x)]
+    df, want = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA), brute(rows)
+    for outright in (False, True):
+        got = found(ann.search(df, F.col("vec_id") % 20 == 0, outright=outright))
+        hits = sum(len({j for _, j, _ in got[q]} & {j for _, j, _ in want[q]}) for q in want)
+        assert set(got) == set(want) and hits / (20 * len(want)) >= 0.9
+
+
+def test_exact_search(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(np.float32(c)) for c in v]) for i, v in enumerate(rng.normal(size=(1500, 7)))] + [(20, [9.0] * 7), (20, [1.0] * 7), (1600, [9.0] * 7), (1601, [9.0] * 7), (1602, None), (None, [1.0] * 7), (1620, [0.0] * 7)]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows[:1500] + rows[1502:]], SCHEMA)
+    assert found(ann.exact_search(df, F.col("vec_id") % 20 == 0, block_bytes=500)) == brute(rows[:1500] + rows[1502:])
+    repeated = found(ann.exact_search(spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA), F.col("vec_id") % 20 == 0))
+    assert repeated.keys() == brute(rows).keys() and len(repeated[20]) == 20 and all(len({j for _, j, _ in r}) == len(r) for r in repeated.values())
+    assert ann.exact_search(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 20 == 0).count() == 0
