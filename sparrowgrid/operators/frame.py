@@ -16,16 +16,25 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..errors import FrameError, unknown
 from ..functions.expr import AGGREGATES, Expr
-from ..plans.lower import Lowering
+from ..plans.lower import Lowering, counted, utf16_key
+from ..storage import shared_dir
 from ..types import NUMERIC, RANGES, SPARK, Field, normalised
+from .printer import shown, table_of
 
 HIDDEN = "__sg_"
 RID = "__sg_rid"
 #: Rows that a top-k plan takes through one task at most; beyond it rows get positions first.
-MOST_TAKEN = 1_000_000
+MOST_TAKEN = 10_000
+#: Rows up to which one task may merge the distinct values of a column for its quartiles; beyond it they are range-sorted.
+MOST_MERGED = 1_000_000
+
+
+class Asked(list):
+    """An order that was asked for by a sort, not only that in which rows happen to stand: writers keep it."""
 
 
 def session(spark: SparkSession | None = None) -> SparkSession:
@@ -153,8 +162,7 @@ class Frame:
     def _positions(self) -> DataFrame:
         """With the row's position: rows are range-sorted and stored once, and only partition sizes reach the driver."""
         spark = self.spark
-        if not spark.conf.get("spark.checkpoint.dir", None):
-            spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
+        shared_dir(spark)
         part = F.shiftright("__sg_at", 33)
         df = self._df.orderBy(*self._keys()).withColumn("__sg_at", F.monotonically_increasing_id()).checkpoint()
         first, at = [], 0
@@ -267,7 +275,7 @@ class Frame:
         return Frame(df, {k: v for k, v in frame._schema.items() if k != name} | {name: field}, frame._order)
 
     def sort_values(self, by, descending=False) -> Frame:
-        """Stable; nulls last either way, NaN above all numbers."""
+        """Stable; nulls last either way, NaN above all numbers, strings by their UTF-16 code units."""
         keys = _names([by])
         self._check(keys)
         if not keys:
@@ -278,8 +286,8 @@ class Frame:
         n = sum(c.startswith("__sg_o") for c in self._df.columns)
         old = self._order or ([] if self._order is None else self._order)
         base = self if self._order is not None else self._ordered()
-        df = base._df.withColumns({f"__sg_o{n + i}": q(k) for i, k in enumerate(keys)})
-        return Frame(df, self._schema, [(f"__sg_o{n + i}", d) for i, d in enumerate(down)] + (old or base._order))
+        df = base._df.withColumns({f"__sg_o{n + i}": utf16_key(q(k)) if self._schema[k].dtype == "utf8" else q(k) for i, k in enumerate(keys)})
+        return Frame(df, self._schema, Asked([*((f"__sg_o{n + i}", d) for i, d in enumerate(down)), *(old or base._order)]))
 
     def argsort(self, by, descending=False) -> Frame:
         """One column `position`: where the rows of the sorted frame stand in this one."""
@@ -289,6 +297,13 @@ class Frame:
         placed = f._positions().withColumnRenamed("__sg_pos", "position")
         return Frame(placed, f._schema | {"position": Field("i64")}, f._order).sort_values(by, descending).select("position")
 
+    def with_position(self, name: str) -> Frame:
+        """With each row's position, from 0, as an i64 column."""
+        if name in self._schema:
+            raise FrameError(f"the frame has a column {name!r} already")
+        f = self._ordered()
+        return Frame(f._positions().withColumnRenamed("__sg_pos", name), f._schema | {name: Field("i64")}, f._order)
+
     def head(self, n: int = 5) -> Frame:
         return self.slice(0, max(0, n))
 
@@ -335,25 +350,61 @@ class Frame:
         """Distinct key tuples in the order of their first row."""
         return self.groupby(*(keys or self.columns)).agg({})
 
-    def agg(self, spec: dict) -> Frame:
+    def agg(self, spec: dict, wide: bool = False) -> Frame:
         """Aggregates over the whole frame: one row."""
-        return GroupBy(self, []).agg(spec)
+        return GroupBy(self, []).agg(spec, wide)
 
     def describe(self) -> Frame:
         """count, mean, std, min, quartiles and max of the finite values of each numeric column."""
         names = [k for k, f in self._schema.items() if f.dtype in NUMERIC]
         stats = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
+
+        def finite(n: str) -> Column:
+            c = q(n).cast("double")
+            return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+
+        shares, merged = (0.25, 0.5, 0.75), self._df.count() <= MOST_MERGED
+        found = {} if merged else self._quantiles({n: finite(n) for n in names}, shares)
         aggs = []
         for n in names:
-            c = q(n).cast("double")
-            c = F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
-            quartiles = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-            aggs.append(F.array(F.count(c).cast("double"), F.avg(c), F.stddev_samp(c), F.min(c), quartiles[0], quartiles[1], quartiles[2], F.max(c)).alias(n))
+            c = finite(n)
+            if merged:
+                quartiles = F.percentile(c, F.array(*map(F.lit, shares)))
+                three = [quartiles[i] for i in range(3)]
+            else:
+                three = [F.lit(v).cast("double") for v in found[n]]
+            aggs.append(F.array(F.count(c).cast("double"), F.avg(c), F.stddev_samp(c), F.min(c), *three, F.max(c)).alias(n))
         place = F.array(*map(F.lit, stats))
         one = self._df.agg(*aggs) if aggs else self._df.sparkSession.range(1)
         rows = one.select("*", F.posexplode(place).alias(RID, "__sg_stat")).select(F.col("__sg_stat").alias("statistic"), *[F.get(q(n), F.col(RID)).alias(n) for n in names], F.col(RID).cast("long").alias(RID))
         return Frame(rows, {"statistic": Field("utf8")} | {n: Field("f64") for n in names}, [(RID, False)])
 
+    def _quantiles(self, columns: dict[str, Column], shares: Sequence[float]) -> dict[str, list[float | None]]:
+        """Exact quantiles: distinct values are counted, range-sorted and stored; partition sums, one row each, tell where the ranks lie."""
+        shared_dir(self.spark)
+        names, part = list(columns), F.shiftright("at", 33)
+        cells = F.array(*[F.struct(F.lit(i).alias("c"), c.alias("v")) for i, c in enumerate(columns.values())])
+        each = self._df.select(F.explode(cells).alias("x")).select("x.*").where("v is not null").groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+        each = each.orderBy("c", "v").withColumn("at", F.monotonically_increasing_id()).checkpoint()
+        sums = sorted(tuple(r) for r in each.groupBy("c", part.alias("p")).agg(F.sum("n")).collect())
+        totals = {i: sum(n for c, _, n in sums if c == i) for i in range(len(names))}
+        ranks = {i: sorted({r for s in shares for x in [s * (t - 1)] for r in (math.floor(x), math.ceil(x))}) for i, t in totals.items() if t}
+        wanted, first = [], {}
+        for c, p, n in sums:
+            low = first.get(c, 0)
+            first[c] = low + n
+            wanted += [(c, p, low, r) for r in ranks[c] if low <= r < low + n]
+        places = F.broadcast(self.spark.createDataFrame(wanted, "c int, p long, low long, r long"))
+        running = F.sum("n").over(Window.partitionBy("c", "p", "r").orderBy("at"))
+        held = each.withColumn("p", part).join(places, ["c", "p"]).withColumn("upto", F.col("low") + running)
+        values = {(r["c"], r["r"]): r["v"] for r in held.where("r < upto and r >= upto - n").select("c", "r", "v").collect()}
+
+        def at(i: int, x: float) -> float:
+            low, high = math.floor(x), math.ceil(x)
+            return values[i, low] if low == high else (high - x) * values[i, low] + (x - low) * values[i, high]
+
+        return {n: [at(i, s * (totals[i] - 1)) if totals[i] else None for s in shares] for i, n in enumerate(names)}
+
     # --- join ---
 
     def join(self, other: Frame, on, how: str = "inner") -> Frame:
@@ -380,7 +431,7 @@ class Frame:
         match = [q(k) == F.col(f"__sg_k{i}") for i, k in enumerate(keys)]
         df = l.join(r, match, how).drop(*[f"__sg_k{i}" for i in range(len(keys))])
         df = df.withColumnsRenamed({n: f"__sg_o{i}" for i, n in enumerate([*lo.values(), *ro.values()])})
-        order = [(f"__sg_o{i}", d) for i, (_, d) in enumerate([*left._order, *right._order])]
+        order = type(left._order)((f"__sg_o{i}", d) for i, (_, d) in enumerate([*left._order, *right._order]))
         return Frame(df, self._schema | {v: other._schema[n] for n, v in names.items()}, order)
 
     # --- output ---
@@ -418,11 +469,15 @@ class Frame:
 
         write_parquet(self, path, compression)
 
+    def to_write(self) -> DataFrame:
+        """For writers: sorted where a sort was asked for; else rows are written where they are, without a shuffle."""
+        return self.to_spark(ordered=isinstance(self._order, Asked))
+
     def write_json(self, path: str) -> None:
-        self.to_spark().write.option("ignoreNullFields", "false").json(path)
+        self.to_write().write.option("ignoreNullFields", "false").json(path)
 
     def write_csv(self, path: str, header: bool = True) -> None:
-        self.to_spark().write.option("header", header).csv(path)
+        self.to_write().write.option("header", header).csv(path)
 
     def col(self, name: str) -> Series:
         self._check([name])
@@ -430,14 +485,21 @@ class Frame:
 
     def to_string(self) -> str:
         """Names, types, the first and last five rows, and the size."""
-        n = self.length
+        n, fields = self.length, self._schema.values()
         rows = self.to_records() if n <= 10 else self.head(5).to_records() + [None] + self.tail(5).to_records()
-        show = lambda v: "null" if v is None else str(v).lower() if isinstance(v, bool) else str(v)
-        table = [self.columns, [f.dtype for f in self._schema.values()]] + [["…"] * len(self._schema) if r is None else [show(v) for v in r.values()] for r in rows]
-        widths = [max(len(r[i]) for r in table) for i in range(len(self._schema))]
-        lines = ["  ".join(c.ljust(w) for c, w in zip(r, widths, strict=True)).rstrip() for r in table]
-        lines.insert(2, "  ".join("-" * w for w in widths))
-        return "\n".join(lines) + f"\n[{n} rows × {len(self._schema)} columns]"
+        body = [["…"] * len(fields) if r is None else [shown(v, f.dtype) for v, f in zip(r.values(), fields, strict=True)] for r in rows]
+        return table_of(self.columns, [f.dtype for f in fields], body) + f"\n[{n} rows × {len(fields)} columns]"
+
+    def compile(self, e: Expr):
+        """The checked expression, ready to run: see `plans.compile`."""
+        from ..plans.compile import compile_expr
+
+        return compile_expr(e, self)
+
+    def compile_filter(self, e: Expr):
+        from ..plans.compile import compile_filter
+
+        return compile_filter(e, self)
 
     def __repr__(self) -> str:
         return "Frame[" + ", ".join(f"{n}: {f.dtype}" for n, f in self._schema.items()) + "]"
@@ -458,10 +520,11 @@ class GroupBy:
     def __init__(self, frame: Frame, keys: list[str]):
         self.frame, self.keys = frame, keys
 
-    def agg(self, spec: dict) -> Frame:
+    def agg(self, spec: dict, wide: bool = False) -> Frame:
         """{column: how}, {column: [how, ...]} or {name: expression that ends in an aggregate}.
 
         Keys come first, then results; groups stand in the order of their first rows. `size` as how counts rows.
+        Counts are i32 and wrap beyond it, as all i32 do; with `wide` they are i64.
         """
         frame, keys = self.frame, self.keys
         plans: list[tuple[str, Expr | None]] = []
@@ -483,10 +546,10 @@ class GroupBy:
             raise FrameError("two results have the same name")
         needs = any(e is not None and _orders(e) for _, e in plans)
         frame, rid = frame._placed() if needs or keys else (frame, None)
-        low = Lowering(frame._schema, rid)
+        low = Lowering(frame._schema, rid, wide)
         columns, schema = [], {k: frame._schema[k] for k in keys}
         for name, e in plans:
-            c, field = (F.count(F.lit(1)).cast("int"), Field("i32")) if e is None else low.aggregate(e)
+            c, field = counted(F.count(F.lit(1)), wide) if e is None else low.aggregate(e)
             columns.append(c.alias(name))
             schema[name] = field
         if not keys:

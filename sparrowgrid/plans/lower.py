@@ -38,8 +38,8 @@ class Typed:
 class Lowering:
     """Lowers expressions over one schema; aggregates met on the way are collected in `aggregates`."""
 
-    def __init__(self, schema: dict[str, Field], order: Column | None = None):
-        self.schema, self.order = schema, order
+    def __init__(self, schema: dict[str, Field], order: Column | None = None, wide: bool = False):
+        self.schema, self.order, self.wide = schema, order, wide
         self.aggregates: dict[str, Column] = {}
 
     # --- entry ---
@@ -249,7 +249,7 @@ class Lowering:
         x = inner.lower(e.args[0])
         if inner.aggregates:
             raise ExprError("an aggregate inside an aggregate is not possible")
-        return aggregate(e.value, x, self.order)
+        return aggregate(e.value, x, self.order, self.wide)
 
 
 def wrap32(x: Column) -> Column:
@@ -392,23 +392,60 @@ def calendar_field(name: str, x: Typed) -> Column:
     return out.cast("int")
 
 
-def sliced(c: Column, start: int, end: int | None) -> Column:
-    n = F.length(c)
+def bounds(n: Column, start: int, end: int | None) -> tuple[Column, Column]:
+    """(first unit, units) of a slice of n units; negative bounds count from the end."""
     at = lambda i: F.greatest(n + i, spark_lit(0)) if i < 0 else F.least(spark_lit(i), n)
     first = at(start)
-    return F.substr(c, first + 1, F.greatest((n if end is None else at(end)) - first, spark_lit(0)))
+    return first, F.greatest((n if end is None else at(end)) - first, spark_lit(0))
 
 
-def aggregate(how: str, x: Typed, order: Column | None) -> tuple[Column, Field]:
+def sliced(c: Column, start: int, end: int | None) -> Column:
+    """By UTF-16 code units. Where a bound cuts a pair in two, the half that stays becomes U+FFFD."""
+    first, size = bounds(F.length(c), start, end)
+    plain = F.substr(c, first + 1, size)
+    units = F.encode(c, "UTF-16BE")
+    first, size = bounds((F.length(units) / 2).cast("int"), start, end)
+    cut = F.substr(units, first * 2 + 1, size * 2)
+    lead = F.hex(F.substr(cut, spark_lit(1), spark_lit(1))).between("DC", "DF")
+    tail = F.hex(F.substr(cut, size * 2 - 1, spark_lit(1))).between("D8", "DB")
+    odd = F.unhex(spark_lit("FFFD"))
+    left = F.when(lead, spark_lit(1)).otherwise(spark_lit(0))
+    kept = size - left - F.when(tail, spark_lit(1)).otherwise(spark_lit(0))
+    mended = F.concat(F.when(lead, odd).otherwise(F.unhex(spark_lit(""))), F.substr(cut, left * 2 + 1, F.greatest(kept, spark_lit(0)) * 2), F.when(tail, odd).otherwise(F.unhex(spark_lit(""))))
+    # Without characters of several bytes both ways agree, and the plain one is cheaper.
+    return F.when(F.octet_length(c) == F.length(c), plain).when(c.isNotNull(), F.decode(F.when(size > 0, mended).otherwise(F.unhex(spark_lit(""))), "UTF-16BE"))
+
+
+def utf16_key(c: Column) -> Column:
+    """Bytes whose order is that of the UTF-16 code units: UTF-8, but characters beyond U+FFFF as their two surrogates."""
+    def unit(x: Column) -> Column:
+        byte = lambda v: F.lpad(F.hex(v), 2, "0")
+        return F.concat(spark_lit("ED"), byte(F.shiftright(x, 6).bitwiseAND(spark_lit(0x3F)).bitwiseOR(spark_lit(0x80))), byte(x.bitwiseAND(spark_lit(0x3F)).bitwiseOR(spark_lit(0x80))))
+
+    def char(x: Column) -> Column:
+        v = F.ascii(x) - spark_lit(0x10000)
+        pair = F.concat(unit(F.shiftright(v, 10).bitwiseOR(spark_lit(0xD800))), unit(v.bitwiseAND(spark_lit(0x3FF)).bitwiseOR(spark_lit(0xDC00))))
+        return F.when(F.octet_length(x) < 4, F.hex(x.cast("binary"))).otherwise(pair)
+
+    paired = F.unhex(F.array_join(F.transform(F.regexp_extract_all(c, spark_lit("(?s)."), spark_lit(0)), char), ""))
+    plain = (F.octet_length(c) == F.length(c)) | ~c.rlike(r"[\x{10000}-\x{10FFFF}]")
+    return F.when(plain, c.cast("binary")).otherwise(paired)
+
+
+def counted(n: Column, wide: bool) -> tuple[Column, Field]:
+    return (n, Field("i64")) if wide else (wrap32(n), Field("i32"))
+
+
+def aggregate(how: str, x: Typed, order: Column | None, wide: bool = False) -> tuple[Column, Field]:
     """(Spark aggregate, result type). Nulls are skipped, NaN are values but for min and max."""
     c, of = x.column, x.dtype
     if how == "count":
-        return F.count(c).cast("int"), Field("i32")
+        return counted(F.count(c), wide)
     bad = ExprError(f"{how}: not defined for {of}")
     if of in ("bool", "other"):
         raise bad
     if how == "nunique":
-        return F.count_distinct(c).cast("int"), Field("i32")
+        return counted(F.count_distinct(c), wide)
     if how in ("first", "last"):
         if order is None:
             raise ExprError(f"{how}: the frame has no row order")

@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import Frame, col, from_arrow, lit, read_csv, read_json, read_parquet
+from . import ExprError, Frame, FrameError, col, compile_expr, compile_filter, from_arrow, infer_type, lit, read_csv, read_json, read_parquet, resolve, schema_of, scope
 from .functions.expr import FIELDS
+from .storage import shared_dir
 
 #: Rows have no order in SQL: where a query picks rows by position, these keys give the order.
 KEYS = {"orders": "o_orderkey", "events": "event_id", "customer": "c_custkey", "part": "p_partkey", "supplier": "s_suppkey", "nation": "n_nationkey", "region": "r_regionkey", "lineitem": None}
@@ -558,7 +559,7 @@ def pipeline_chain(read):
 
 def folder(spark: SparkSession) -> str:
     """A new folder that driver and executors share."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints').rstrip('/')}/sparrowgrid/io-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/sparrowgrid/io-{uuid.uuid4().hex}"
 
 
 @query("SELECT * FROM nation")
@@ -614,3 +615,190 @@ def io_from_columns(read):
 def io_from_records(read):
     """A missing key is a null."""
     return Frame.from_records([{"k": r["r_regionkey"]} | ({"name": r["r_name"]} if r["r_regionkey"] > 1 else {}) for r in read("region").to_records()])
+
+
+# --- metadata, series, text, errors ---
+
+
+def listed(rows: list[tuple], *names: str) -> Frame:
+    """A small frame of the rows: what metadata and errors say."""
+    return Frame.from_columns({n: [r[i] for r in rows] for i, n in enumerate(names)}, dtypes={n: "utf8" for n in names})
+
+
+def refused(what: Callable[[], object]) -> str:
+    """The message of the error that `what` raises."""
+    try:
+        what()
+    except (ExprError, FrameError, TypeError) as e:
+        return str(e)
+    return "no error"
+
+
+@query("""SELECT name, CASE name WHEN 'o_totalprice' THEN 'f64' WHEN 'o_orderdate' THEN 'timestamp' WHEN 'o_orderkey' THEN 'i64' WHEN 'o_custkey' THEN 'i64' ELSE 'utf8' END AS dtype,
+                 CAST((SELECT count(*) FROM orders) AS VARCHAR) AS n, CAST((SELECT count(*) FROM (DESCRIBE orders)) AS VARCHAR) AS width FROM (SELECT column_name AS name FROM (DESCRIBE orders))""")
+def p_metadata(read):
+    orders = read("orders")
+    n, width = orders.shape
+    assert orders.dtypes == schema_of(orders) and len(orders) == orders.length == n
+    return listed([(c, orders.dtype_of(c), str(n), str(width)) for c in orders.columns], "name", "dtype", "n", "width")
+
+
+@query("SELECT r_name AS name, CAST(row_number() OVER (ORDER BY r_regionkey) - 1 AS VARCHAR) AS i, 'utf8' AS dtype FROM region")
+def p_series(read):
+    """A column's cells: as a list, by position, null beyond the end."""
+    names = read("region").col("r_name")
+    cells = names.to_list()
+    assert list(names) == cells and names.get(len(cells)) is None and names.get(-1) is None
+    return listed([(names.get(i), str(i), names.dtype) for i in range(len(cells))], "name", "i", "dtype")
+
+
+@query("SELECT n_regionkey, CAST(count(*) AS INTEGER) AS n FROM nation GROUP BY n_regionkey")
+def p_scope(read):
+    """A frame cached inside of a scope serves what is made of it there, and is released at the end."""
+    with scope() as track:
+        nations = track(read("nation"))
+        assert nations.length == nations.select("n_name").length
+        out = nations.groupby("n_regionkey").agg({"n": "size"}).to_columns()
+    return Frame.from_columns(out, dtypes={"n_regionkey": "i64", "n": "i32"}, spark=nations.spark)
+
+
+@query("""SELECT unnest(['r_regionkey  r_name     ', '        i32  utf8       ', '───────────  ───────────']) AS line
+          UNION ALL SELECT lpad(CAST(r_regionkey AS VARCHAR), 11, ' ') || '  ' || rpad(r_name, 11, ' ') FROM region
+          UNION ALL SELECT '[' || count(*) || ' rows × 2 columns]' FROM region""")
+def p_to_string(read):
+    return listed([(x,) for x in read("region").select("r_regionkey", "r_name").to_string().split("\n")], "line")
+
+
+@query("SELECT event_id, CAST(month(ts) AS INTEGER) AS m FROM events")
+def d_series_month(read):
+    events = read("events")
+    months = events.col("ts").dt.month().to_list()
+    return Frame.from_columns({"event_id": events.col("event_id").to_list(), "m": months}, dtypes={"event_id": "i64", "m": "i32"}, spark=events.spark)
+
+
+@query("SELECT c_custkey, substr(c_name, 1, 4) AS v FROM customer")
+def s_series_slice(read):
+    customers = read("customer")
+    return Frame.from_columns({"c_custkey": customers.col("c_custkey").to_list(), "v": customers.col("c_name").str.slice(0, 4).to_list()}, dtypes={"c_custkey": "i64"}, spark=customers.spark)
+
+
+@query("""SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN '😀' || chr(65533) ELSE 'é' || substr(n_name, 1, 2) END AS v FROM nation""")
+def s_slice_units(read):
+    """Slices count UTF-16 code units; half of a pair is U+FFFD."""
+    nations = read("nation").map_column("t", lambda r: "😀😀" if r["n_nationkey"] % 2 == 0 else "é" + r["n_name"], "utf8")
+    return nations.with_column("v", col("t").str.slice(0, 3)).select("n_nationkey", "v")
+
+
+@query("SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey % 3 = 0, n_nationkey) - 1 AS position FROM nation")
+def o_sort_utf16(read):
+    """A character beyond U+FFFF stands before U+FFEE, as its first code unit does."""
+    nations = read("nation").map_column("t", lambda r: "\uffee" if r["n_nationkey"] % 3 == 0 else "😀", "utf8")
+    return nations.sort_values("t").with_position("position").select("n_nationkey", "position")
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS position FROM orders")
+def o_sort_all(read):
+    """The whole table, each row with its place."""
+    return read("orders").sort_values("o_totalprice").with_position("position").select("o_orderkey", "position")
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority DESC, o_totalprice, o_orderkey) - 1 AS position FROM orders")
+def o_sort_all_many(read):
+    return read("orders").sort_values(["o_orderpriority", "o_totalprice"], [True, False]).with_position("position").select("o_orderkey", "position")
+
+
+@query("SELECT l_returnflag, count(*) AS n, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY l_returnflag")
+def a_counts_wide(read):
+    """Counts as i64."""
+    return read("lineitem").groupby("l_returnflag").agg({"n": "size", "parts": col("l_partkey").nunique()}, wide=True)
+
+
+@query("""SELECT * FROM (VALUES ('((col(''a'') + lit(1)) > lit(2.5))'), ('(col(''p_size'').sum() / lit(2))'), ('col(''t'').dt.year()'), ('col(''s'').str.slice(1, 3)'), ('is_null(col(''a''))')) t(text)""")
+def e_text(read):
+    """How expressions print."""
+    made = [col("a").add(1).gt(2.5), col("p_size").sum().div(2), col("t").dt.year(), col("s").str.slice(1, 3), col("a").is_null()]
+    return listed([(repr(e),) for e in made], "text")
+
+
+@query("SELECT p_partkey, round(p_retailprice * 2, 4) AS value FROM part WHERE p_size > 20")
+def e_compile(read):
+    """Checked first, run later: a column, a scalar and a selection."""
+    parts = read("part")
+    doubled, highest = compile_expr(col("p_retailprice").mul(2), parts), compile_expr(col("p_size").max(), parts)
+    assert (doubled.dtype, doubled.kind, highest.kind) == ("f64", "column", "scalar") and highest.execute() == max(parts.col("p_size").to_list())
+    chosen = compile_filter(col("p_size").gt(20), parts).execute()
+    keys = chosen.compact("p_partkey").to_list()
+    values = dict(zip(parts.col("p_partkey").to_list(), doubled.execute().to_list(), strict=True))
+    assert chosen.count == len(keys)
+    return Frame.from_columns({"p_partkey": keys, "value": [values[k] for k in keys]}, dtypes={"p_partkey": "i64"}, spark=parts.spark)
+
+
+@query("""SELECT * FROM (VALUES ('p_size + p_retailprice', 'f64'), ('p_size > 3', 'bool'), ('p_name.slice', 'utf8'), ('sum(p_size)', 'f64'), ('count(p_size)', 'i32')) t(expression, dtype)""")
+def e_resolve(read):
+    parts = read("part")
+    return listed([
+        ("p_size + p_retailprice", infer_type(col("p_size").add(col("p_retailprice")), parts)), ("p_size > 3", resolve(col("p_size").gt(3), parts).dtype), ("p_name.slice", resolve(col("p_name").str.slice(1), parts).dtype),
+        ("sum(p_size)", resolve(col("p_size").sum(), parts).dtype), ("count(p_size)", resolve(col("p_size").count(), parts).dtype),
+    ], "expression", "dtype")
+
+
+@query("""SELECT * FROM (VALUES ('join', 'join key ''k'' is i32 on the left and utf8 on the right; cast one of them'), ('column', 'unknown column ''n_nam''; did you mean ''n_name''?'),
+          ('compare', 'gt: utf8 and f64 cannot be compared; cast one of them'), ('filter', 'a filter needs bool, got i32'), ('cast', 'cast: no way from utf8 to i32'), ('twice', 'a column is selected twice')) t(what, message)""")
+def j_dtype_errors(read):
+    """What is refused before anything runs."""
+    nations = read("nation")
+    left, right = nations.with_column("k", col("n_nationkey")).select("k"), nations.with_column("k", col("n_name")).select("k")
+    return listed([
+        ("join", refused(lambda: left.join(right, "k"))), ("column", refused(lambda: nations.select("n_nam"))), ("compare", refused(lambda: nations.filter(col("n_name").gt(col("n_nationkey").cast("f64"))))),
+        ("filter", refused(lambda: nations.filter(col("n_nationkey").add(1)))), ("cast", refused(lambda: nations.with_column("x", col("n_name").cast("i32")))), ("twice", refused(lambda: nations.select("n_name", "n_name"))),
+    ], "what", "message")
+
+
+@query("""SELECT * FROM (VALUES ('short', 'row 2: 1 cells, but 2 columns'), ('open quote', 'a quoted field is not closed'), ('empty', '0'), ('header only', '0'), ('quoted', 'x,"y' || chr(10) || 'z')) t(what, result)""")
+def io_csv_errors(read):
+    """Structural errors, empty texts and quoted fields."""
+    only = lambda text: read_csv(text, text=True, columns=["a", "b"], dtypes={"a": "utf8", "b": "utf8"})
+    return listed([
+        ("short", refused(lambda: read_csv("a,b\n1,2\n3\n", text=True))), ("open quote", refused(lambda: read_csv('a,b\n"1,2\n', text=True))), ("empty", str(only("").length)),
+        ("header only", str(only("a,b\n").length)), ("quoted", only('a,b\n"x,""y\nz",2\n').to_records()[0]["a"]),
+    ], "what", "result")
+
+
+@query("""SELECT event_id, epoch_us(ts) // 1000000 * 1000 AS s, epoch_us(ts) // 1000 AS ms, epoch_us(ts) // 1000 AS us, epoch_us(ts) // 1000 AS ns, event_type AS plain FROM events""")
+def io_arrow_units(read):
+    """Timestamps of all four units become instants; plain strings are read as dictionaries are."""
+    import pyarrow as pa
+
+    rows = read("events").select("event_id", "ts", "event_type").to_columns()
+    ts = pa.array(rows["ts"], pa.timestamp("us", "UTC"))
+    micros = ts.cast(pa.int64()).to_pylist()
+    table = pa.table({
+        "event_id": pa.array(rows["event_id"], pa.int64()), "plain": pa.array(rows["event_type"], pa.string()), "us": ts, "s": pa.array([v // 10**6 for v in micros], pa.timestamp("s", "UTC")),
+        "ms": pa.array([v // 1000 for v in micros], pa.timestamp("ms", "UTC")), "ns": pa.array([v * 1000 for v in micros], pa.timestamp("ns", "UTC")),
+    })
+    out = from_arrow(table)
+    for c in ("s", "ms", "us", "ns"):
+        out = out.with_column(c, col(c).cast("i64"))
+    return out
+
+
+@query("""SELECT * FROM (VALUES ('array', 'unsupported: column ''a'': REPEATED'), ('decimal', 'unsupported: column ''a'': FIXED_LEN_BYTE_ARRAY'), ('int96', 'unsupported: column ''a'': INT96'),
+          ('micros', 'unsupported: column ''a'': INT64 as TIMESTAMP in microseconds'), ('codec', 'unsupported: column ''a'': codec GZIP'), ('good', 'no error')) t(what, message)""")
+def io_parquet_profile(read):
+    """Files outside the strict profile, by what their footers say."""
+    spark = read("region").spark
+    forms = {
+        "array": ("array(1, 2)", {}), "decimal": ("cast(1 as decimal(30, 2))", {}), "int96": ("timestamp'2020-01-01 00:00:00'", {"int96": "INT96"}), "micros": ("timestamp'2020-01-01 00:00:00'", {"int96": "TIMESTAMP_MICROS"}),
+        "codec": ("'x'", {"compression": "gzip"}), "good": ("timestamp'2020-01-01 00:00:00'", {"int96": "TIMESTAMP_MILLIS"}),
+    }
+    rows, key = [], "spark.sql.parquet.outputTimestampType"
+    old = spark.conf.get(key)
+    for what, (sql, options) in forms.items():
+        at = folder(spark)
+        spark.conf.set(key, options.get("int96", old))
+        try:
+            spark.sql(f"SELECT {sql} AS a").write.option("compression", options.get("compression", "snappy")).parquet(at)
+        finally:
+            spark.conf.set(key, old)
+        rows.append((what, refused(lambda at=at: read_parquet(at, strict=True, spark=spark))))
+    return listed(rows, "what", "message")

@@ -7,6 +7,9 @@ import re
 from collections.abc import Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,11 +65,12 @@ def parsed(c: Column, dtype: str, name: str) -> Column:
     return guarded(c.rlike(_STAMP) & c.try_cast("timestamp").isNotNull(), c.try_cast("timestamp"))
 
 
-def read_csv(source: str, *, text: bool = False, delimiter: str = ",", header: bool = True, columns: Sequence[str] | None = None, dtypes: dict[str, str] | None = None, null_values: Sequence[str] = NULLS, skip_rows: int = 0, max_rows: int | None = None, spark: SparkSession | None = None) -> Frame:
+def read_csv(source: str, *, text: bool = False, delimiter: str = ",", header: bool = True, columns: Sequence[str] | None = None, dtypes: dict[str, str] | None = None, null_values: Sequence[str] = NULLS, skip_rows: int = 0, max_rows: int | None = None, multiline: bool | None = None, spark: SparkSession | None = None) -> Frame:
     """CSV files by path, or with text=True a CSV text.
 
     Types come from `dtypes` or from the first 100 rows; a row with another number of cells is an error.
-    Quoted fields may hold delimiters, doubled quotes and line ends.
+    Quoted fields may hold delimiters, doubled quotes and line ends. A file with `multiline` fields is read as a whole by
+    one task, others are split; unless told, a first pass looks for lines with an odd number of quotes.
     """
     spark = session(spark)
     if text:
@@ -82,8 +86,12 @@ def read_csv(source: str, *, text: bool = False, delimiter: str = ",", header: b
         df = spark.createDataFrame([(*r, i) for i, r in enumerate(cells)], T.StructType([*kind.fields, T.StructField("__sg_rid", T.LongType())]))
         sample, order = cells[:SAMPLE], [("__sg_rid", False)]
     else:
-        reader = spark.read.options(sep=delimiter, quote='"', escape='"', multiLine=True, mode="FAILFAST", enforceSchema=False, emptyValue="", nullValue="\x00", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-        line = spark.read.text(source, lineSep="\n").first()
+        lines = spark.read.text(source, lineSep="\n")
+        if multiline is None:
+            quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+            multiline = not lines.where(quotes % 2 == 1).isEmpty()
+        reader = spark.read.options(sep=delimiter, quote='"', escape='"', multiLine=multiline, mode="FAILFAST", enforceSchema=False, emptyValue="", nullValue="\x00", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+        line = lines.first()
         if line and not line[0].endswith("\r"):  # else the reader takes CRLF as the end of rows
             reader = reader.option("lineSep", "\n")
         head = reader.option("header", header).csv(source)
@@ -170,10 +178,14 @@ def from_arrow(data: bytes | pa.Table, *, spark: SparkSession | None = None) ->
         if pa.types.is_dictionary(t):
             c, t = c.cast(t.value_type), t.value_type
         if pa.types.is_timestamp(t):
-            per = {"s": 10**6, "ms": 10**3, "us": 1, "ns": None}[t.unit]
-            raw = c.cast(pa.int64())
-            cells = [None if v is None else v * per if per else v // 1000 if v >= 0 else -(-v // 1000) for v in raw.to_pylist()]
-            c = pa.array([v if v is not None and abs(v) < 2**63 else None for v in cells], pa.int64()).cast(pa.timestamp("us", "UTC"))
+            # To microseconds; finer units towards zero, instants beyond the range of 64 bits to null.
+            raw, per = c.cast(pa.int64()), {"s": 10**6, "ms": 10**3, "us": 1, "ns": None}[t.unit]
+            if per is None:
+                raw = pc.divide(raw, 1000)
+            elif per > 1:
+                most = (2**63 - 1) // per
+                raw = pc.multiply(pc.if_else(pc.and_(pc.less_equal(raw, most), pc.greater_equal(raw, -most)), raw, pa.scalar(None, pa.int64())), per)
+            c = raw.cast(pa.timestamp("us", "UTC"))
             kinds[f.name] = "timestamp"
             if t.tz:
                 zones[f.name] = t.tz
@@ -200,12 +212,56 @@ def _arrow_dtype(t: pa.DataType, name: str) -> str:
 
 
 def read_parquet(path: str, *, order_by: str | Sequence[str] | None = None, strict: bool = False, dtypes: dict[str, str] | None = None, spark: SparkSession | None = None) -> Frame:
-    """Parquet by path; with strict=True types outside the nine are an error."""
+    """Parquet by path; with strict=True what lies outside the profile (see `profile_error`) is an error."""
     df: DataFrame = session(spark).read.parquet(path)
+    if strict and (why := profile_errors(df)):
+        raise FrameError(f"unsupported: {why}")
     frame = Frame.from_spark(df, dtypes=dtypes, order_by=order_by)
     if strict and (bad := [n for n, k in frame.dtypes.items() if k == "other"]):
         raise FrameError(f"column {bad[0]!r} is {df.schema[bad[0]].dataType.simpleString()}, which is outside the profile")
     return frame
 
 
+def profile_error(footer: pq.FileMetaData) -> str | None:
+    """The first feature of a file outside the profile: plain columns of the nine types, timestamps in milliseconds, Snappy or no compression."""
+    for i in range(len(footer.schema)):
+        c = footer.schema.column(i)
+        kind, logical, name = c.physical_type, c.logical_type, c.path.split(".")[0]
+        unit = json.loads(logical.to_json()).get("timeUnit") if logical.type == "TIMESTAMP" else None
+        if c.max_repetition_level:
+            return f"column {name!r}: REPEATED"
+        if "." in c.path:
+            return f"column {name!r}: nested"
+        if kind in ("INT96", "FIXED_LEN_BYTE_ARRAY"):
+            return f"column {name!r}: {kind}"
+        if logical.type not in ("NONE", "STRING", "DATE", "TIMESTAMP", "INT") or unit and unit != "milliseconds" or kind == "BYTE_ARRAY" and logical.type != "STRING":
+            return f"column {name!r}: {kind} as {logical.type}" + (f" in {unit}" if unit else "")
+    for g in range(footer.num_row_groups):
+        for i in range(footer.num_columns):
+            c = footer.row_group(g).column(i)
+            if c.compression not in ("SNAPPY", "UNCOMPRESSED"):
+                return f"column {c.path_in_schema!r}: codec {c.compression}"
+    return None
+
+
+def profile_errors(df: DataFrame) -> str | None:
+    """The first of the files' profile errors, by path; the footers are read on the executors."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for uri in batch.column(0).to_pylist():
+                store, path = pa.fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
+                with store.open_input_file(path) as f:
+                    out.append((uri, profile_error(pq.ParquetFile(f).metadata)))
+            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.string()), pa.array([w for _, w in out], pa.string())], ["uri", "why"])
+
+    files = [(f.replace("file:///", "file:/").replace("file:/", "file:///"),) for f in df.inputFiles()]
+    if not files:
+        return None
+    paths = df.sparkSession.createDataFrame(files, "uri string")
+    found = paths.mapInArrow(run, "uri string, why string").where("why is not null").agg(F.min(F.struct("uri", "why")).alias("x")).first()["x"]
+    return found and found["why"]
+
+
 __all__ = ["from_arrow", "infer", "parse_csv", "read_csv", "read_json", "read_parquet"]

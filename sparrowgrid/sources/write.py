@@ -23,7 +23,7 @@ def write_parquet(frame: Frame, path: str, compression: str = "uncompressed") ->
     """Files of a folder; timestamps in milliseconds, zones and u32 in the columns' metadata."""
     if compression not in ("uncompressed", "snappy"):
         raise FrameError(f"compression must be uncompressed or snappy, got {compression!r}")
-    df = frame.to_spark()
+    df = frame.to_write()
     conf, key = df.sparkSession.conf, "spark.sql.parquet.outputTimestampType"
     old = conf.get(key)
     conf.set(key, "TIMESTAMP_MILLIS")

@@ -139,8 +139,10 @@ def test_temporal_algebra(spark):
 
 @pytest.mark.parametrize(("start", "end"), [(0, None), (1, 3), (-2, None), (1, -1), (-3, -1), (5, 9), (3, 1), (-9, 2)])
 def test_slices(spark, start, end):
-    texts = ["", "a", "abc", "häuser", "a😀b", None]
-    assert evaluate(spark, col("a").str.slice(start, end), a=texts) == [None if t is None else t[start:end] for t in texts]
+    """By UTF-16 code units; a cut pair leaves U+FFFD."""
+    texts = ["", "a", "abc", "häuser", "a😀b", "😀😀", "漢a😀\uffee", None]
+    units = lambda t: [t.encode("utf-16-be")[i : i + 2] for i in range(0, 2 * (len(t.encode("utf-16-be")) // 2), 2)]
+    assert evaluate(spark, col("a").str.slice(start, end), a=texts) == [None if t is None else b"".join(units(t)[start:end]).decode("utf-16-be", "replace") for t in texts]
 
 
 def test_widening(spark):

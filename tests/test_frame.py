@@ -5,10 +5,16 @@ from __future__ import annotations
 import datetime as dt
 import json
 import math
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from sparrowgrid import ExprError, Frame, FrameError, col, lit, scope
+from sparrowgrid import ExprError, Frame, FrameError, col, lit, read_parquet, scope
+from sparrowgrid.operators import frame as frame_module
+from sparrowgrid.operators.printer import shown
+from sparrowgrid.plans.lower import wrap32
+from sparrowgrid.storage import shared_dir
 
 NAN, INF = float("nan"), float("inf")
 
@@ -240,3 +246,58 @@ def test_scope_releases(make):
         f = track(make(x=[1.0, 2.0]))
         assert f._df.storageLevel.useMemory and f.length == 2
     assert not f._df.storageLevel.useMemory
+
+
+@pytest.mark.parametrize(("value", "dtype", "want"), [
+    (1.0, "f64", "1"), (-0.5, "f64", "-0.5"), (123456.789, "f64", "123457"), (1234567.5, "f64", "1.23457e+6"), (0.1 + 0.2, "f64", "0.3"), (1e-7, "f64", "1.00000e-7"), (0.00001234567, "f64", "0.0000123457"), (1e21, "f64", "1e+21"),
+    (float("nan"), "f64", "NaN"), (float("-inf"), "f64", "-inf"), (None, "utf8", "null"), (True, "bool", "true"), ("x" * 24, "utf8", "x" * 24), ("x" * 25, "utf8", "x" * 23 + "…"), (12, "i32", "12"),
+])
+def test_cells_as_text(value, dtype, want):
+    assert shown(value, dtype) == want
+
+
+def test_quartiles_of_many_rows_are_those_of_few(spark, monkeypatch):
+    rng = random.Random(4)
+    values = [rng.choice([None, float("nan"), float("inf"), 0.0, 1.5, rng.uniform(-9, 9)]) for _ in range(700)]
+    frame = Frame.from_columns({"a": values, "b": [rng.randint(0, 3) for _ in values], "none": [None] * len(values), "text": ["x"] * len(values)}, dtypes={"b": "i32", "none": "f64"}, spark=spark)
+    few = frame.describe().to_records()
+    monkeypatch.setattr(frame_module, "MOST_MERGED", 10)
+    many = frame.describe().to_records()
+    assert [r["statistic"] for r in many] == [r["statistic"] for r in few]
+    for a, b in zip(many, few, strict=True):
+        assert a["none"] == b["none"] and a["b"] == pytest.approx(b["b"]) and a["a"] == pytest.approx(b["a"])
+
+
+def test_long_heads_and_tails(spark, monkeypatch):
+    frame = Frame.from_columns({"a": list(range(300))}, dtypes={"a": "i32"}, spark=spark).sort_values("a", descending=True)
+    monkeypatch.setattr(frame_module, "MOST_TAKEN", 20)
+    assert frame.head(50).to_columns()["a"] == list(range(299, 249, -1)) and frame.tail(50).to_columns()["a"] == list(range(49, -1, -1))
+    assert frame.slice(100, 130).to_columns()["a"] == list(range(199, 169, -1))
+
+
+def test_writers_sort_only_when_asked(spark, tmp_path):
+    frame = Frame.from_columns({"k": [3, 1, 2, 1], "v": [1.0, 2.0, 3.0, 4.0]}, dtypes={"k": "i32"}, spark=spark)
+    plan = lambda f: f.to_write()._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan(frame.groupby("k").agg({"v": "sum"})) and "rangepartitioning" in plan(frame.sort_values("v"))
+    frame.sort_values("v", descending=True).write_parquet(str(tmp_path / "s"))
+    assert [r["v"] for r in read_parquet(str(tmp_path / "s"), spark=spark).to_records()] == [4.0, 3.0, 2.0, 1.0]
+
+
+def test_counts_wrap_or_are_wide(spark):
+    frame = Frame.from_columns({"k": [1, 1, 2], "v": [1.0, None, 3.0]}, dtypes={"k": "i32"}, spark=spark)
+    for wide, dtype in ((False, "i32"), (True, "i64")):
+        out = frame.groupby("k").agg({"v": ["count", "size", "nunique"]}, wide=wide)
+        assert {out.dtype_of(c) for c in ("v_count", "v_size", "v_nunique")} == {dtype} and out.to_records()[0] == {"k": 1, "v_count": 1, "v_size": 2, "v_nunique": 1}
+    assert spark.range(1).select(wrap32(F.lit(3_000_000_000))).first()[0] == 3_000_000_000 - 2**32
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="share"):
+        shared_dir(type("Session", (), {"conf": Conf(), "sparkContext": Context()})())

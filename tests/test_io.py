@@ -121,3 +121,22 @@ def test_strict_profile(spark, tmp_path):
         read_parquet(str(tmp_path / "n"), strict=True, spark=spark)
     f = read_parquet(str(tmp_path / "n"), spark=spark)
     assert f.select("b").to_records() == [{"b": 1}] and f.dtypes["a"] == "other"
+
+
+@pytest.mark.parametrize("multiline", [None, True, False])
+def test_plain_csv_files_are_split(spark, tmp_path, multiline):
+    """Without fields over several lines a file is read in parts; fields with quotes and delimiters do not matter."""
+    (tmp_path / "a.csv").write_text("a,b\n" + "".join(f'{i},"x,""{i}"""\n' for i in range(2000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        frame = read_csv(str(tmp_path / "a.csv"), multiline=multiline, spark=spark)
+        parts = frame.to_spark(ordered=False).rdd.getNumPartitions()
+        assert (parts == 1) if multiline else (parts > 3)
+        assert sorted(map(tuple, (r.values() for r in frame.to_records()))) == [(i, f'x,"{i}"') for i in range(2000)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_quoted_line_ends_are_found(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('a,b\n1,"x\ny"\n2,z\n')
+    assert read_csv(str(tmp_path / "a.csv"), spark=spark).to_columns() == {"a": [1, 2], "b": ["x\ny", "z"]}
