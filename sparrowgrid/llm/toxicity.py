@@ -14,9 +14,11 @@ others of their class (see `representatives`), toxic and clean ones in one shuff
 
 Defined results: null and empty texts have no evidence and get the lowest score (BASE); a null id counts as the
 text ""; of several labels of one id the largest counts; null labels are ignored; repeated rows are scored
-alike; without labels every score is BASE. Tokens and spelled-out runs are read at any length; of a sign repeated more than
-three times three are read, as more mean no more to the lattice. Tokens, and words between gaps, of which less than a third
-are letters are not read; words between gaps have at most LONGEST letters.
+alike; of features with one share any decides, as scores are shares; without labels every score is BASE; an empty table gives an
+empty result. Texts, tokens and spelled-out runs are read at any length; of a sign repeated more than three times three are read, as more mean no
+more to the lattice. What has the form of a number, an amount, a date or a time is one, and is not read as letters; all other
+tokens with letters or signs that stand for letters are. A word between gaps has at most LONGEST letters, by
+definition. Further columns are ignored by `report` and kept by `keep_clean`, whatever their names.
 """
 
 from __future__ import annotations
@@ -62,6 +64,8 @@ GAPS = " .-_*~'"
 _SPELLED = re.compile(r"(?<![^\s])(?:[^\W_]|[@$!|+(€*])(?:[ .\-_~*](?:[^\W_]|[@$!|+(€*])){2,}(?![^\s.,;:!?])")
 _ODD = re.compile(r"(.)\1\1")
 _STRETCHED = re.compile(r"(.)\1{3,}", re.S)
+#: Numbers, amounts, dates and times, with the signs and units beside them.
+_NUMBER = re.compile(r"[#+\-~(]?[$€£]?[+\-]?\d[\d.,:;/+\-()%°$€£x×*=<>]*")
 _GAP = re.compile(f"[{re.escape(GAPS)}]")
 _EDGES = ".,;:?\"'()[]{}<>«»“”„¿…"
 
@@ -99,7 +103,7 @@ class CharacterModel:
         out = {text: None}
         if len(cuts) > 1:
             for x in _GAP.split(token):
-                if len(x) > 2 and sum(map(str.isalpha, x)) * 3 >= len(x):
+                if len(x) > 2 and legible(x):
                     out[x.lower() if x.isalpha() and not _ODD.search(x) else self.restore(x)] = None
             out |= dict.fromkeys(self._between(text, real, cuts))
         return list(out)
@@ -138,7 +142,7 @@ class CharacterModel:
         for j in range(1, m):
             for i in range(low[j], j):
                 size = cuts[j] - cuts[i]
-                if size > 2 and before[i] + likely(i, j) + after[j] >= least and (sure[cuts[j]] - sure[cuts[i]]) * 3 >= size:
+                if size > 2 and before[i] + likely(i, j) + after[j] >= least and sure[cuts[j]] > sure[cuts[i]]:
                     yield text[cuts[i] : cuts[j]]
 
     def _read(self, token: str) -> list[tuple[str, str]] | None:
@@ -176,6 +180,11 @@ class CharacterModel:
         return out[::-1]
 
 
+def legible(token: str) -> bool:
+    """Whether a token may be a word: not a number, and letters or signs for letters at all."""
+    return not _NUMBER.fullmatch(token) and any(c.isalpha() or c in LOOKALIKES and not c.isdigit() for c in token)
+
+
 def _code(letter: str) -> int:
     return int(_CODE[ord(letter)]) if ord(letter) < 0x250 else 0
 
@@ -191,12 +200,10 @@ class Reader(dict):
         word = piece.strip(_EDGES)
         if word.isalpha() and not _ODD.search(word):
             return [word.lower()]
-        bare = _STRETCHED.sub(r"\1\1\1", piece.strip(_EDGES + "!"))
+        bare = _STRETCHED.sub(r"\1\1\1", piece.strip(_EDGES + "!") if any(map(str.isalnum, piece)) else piece.strip(_EDGES))
         if bare.isalpha() and not _ODD.search(bare):
             return [bare.lower()]
-        if len(bare) < 3 or sum(c.isalpha() for c in bare) * 3 < len(bare):
-            return []
-        return self.model.words(bare)
+        return self.model.words(bare) if len(bare) > 2 and legible(bare) else []
 
     def __missing__(self, piece: str):
         if piece.isalpha() and not _ODD.search(piece):

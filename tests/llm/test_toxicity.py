@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import math
 import random
+from collections import Counter
 from zlib import crc32
 
 import numpy as np
@@ -129,3 +131,71 @@ def test_the_lattice_restores_words():
     model = toxicity.CharacterModel(counts)
     for seen, word in (("1d10t", "idiot"), ("m 0 r 0 n", "moron"), ("hellllooo", "hello"), ("w-o-r-t-h-l-e-s-s", "worthless"), ("??%%", "??%%")):
         assert model.restore(seen) == word
+
+
+def test_words_without_letters_are_read_and_numbers_are_not(spark):
+    """Insults made of signs alone, beside amounts, dates, times and numbers that would read as letters."""
+    rng, vile = random.Random(8), ["ass", "shit", "slob", "loser"]
+    docs, labels = [], []
+    for k in range(1200):
+        words = prose(rng, rng.randint(20, 120)).split()
+        if k % 8 == 0:
+            words.insert(rng.randrange(len(words)), rng.choice(vile))
+        docs.append((k, " ".join(words), "en", "s", 0))
+        labels.append((k, 1, int(k % 8 == 0)))
+    hidden = ["you @$$ there", "the 5#!7 is", "a $|0b on", "an 5|0b!", "the |0$3r!"]
+    clean = ["the 5417 thing", "on 51.08", "a $10.8 an", "10:53 on 2024-10-05", "+1 555 105 3412", "80085 er", "3,5/8 the", "455 an er", "#51 on", "50% 1,055.00€"]
+    frame = spark.createDataFrame(docs + [(10_000 + i, t, "en", "s", 0) for i, t in enumerate(hidden + clean)], SCHEMA)
+    found = {r["doc_id"] - 10_000: r["predicted"] for r in toxicity.report(frame, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).where("doc_id >= 10000").collect()}
+    assert [found[i] for i in range(len(hidden))] == [1] * len(hidden)
+    assert [found[i + len(hidden)] for i in range(len(clean))] == [0] * len(clean)
+
+
+def brute_scores(docs: list[tuple[int, str]], labels: dict[int, int]) -> dict[int, float]:
+    """Plain words only: shares of all features of the labelled rows, and each text's strongest one."""
+    held = {k: crc32(str(k).encode()) % 5 == 0 for k, _ in docs}
+    parts = lambda w: [("w", w), *([("4", w[:4])] if len(w) > 3 else []), *([("5", w[:5])] if len(w) > 4 else [])] if len(w) > 2 else []
+    seen, rows = set(), []
+    for k, t in sorted(docs):
+        if not held[k] and k in labels and (labels[k], t) not in seen:
+            seen.add((labels[k], t))
+            rows.append((labels[k], {f for w in t.split() for f in parts(w)}))
+    prior = sum(y for y, _ in rows) / len(rows)
+    toxic, clean = (Counter(f for y, fs in rows if y == side for f in fs) for side in (1, 0))
+    tried, table = [f for f, n in toxic.items() if n >= toxicity.LEAST], {}
+    for f in tried:
+        t, n = toxic[f], toxic[f] + clean[f]
+        share, rate = (t + toxicity.PRIOR * prior) / (n + toxicity.PRIOR), min(t / n, 1 - 1e-12)
+        if share > 2 * toxicity.BASE and rate > prior and len(tried) * math.exp(-n * (rate * math.log(rate / prior) + (1 - rate) * math.log((1 - rate) / (1 - prior)))) < 1:
+            table[f] = share
+
+    def evidence(w: str) -> float:
+        if len(w) < 3:
+            return toxicity.BASE
+        if ("w", w) in table:
+            return table["w", w]
+        if len(w) < 4 or ("4", w[:4]) not in table:
+            return toxicity.BASE
+        return table["4", w[:4]] if len(w) == 4 else min(table["4", w[:4]], table.get(("5", w[:5]), toxicity.BASE))
+
+    return {k: max(map(evidence, t.split()), default=toxicity.BASE) for k, t in docs}
+
+
+def test_scores_are_those_of_brute_force(spark):
+    """Every score of a corpus of plain words, from counts made anew in Python."""
+    rng = random.Random(21)
+    words = sorted({"".join(rng.choices("abcdefghilmnorstu", k=rng.randint(1, 8))) for _ in range(900)})
+    words = [w for w in words if not any(w[i] == w[i + 1] == w[i + 2] for i in range(len(w) - 2))]
+    bad, docs, labels = words[::30], [], {}
+    for k in range(1500):
+        toxic = rng.random() < 0.15
+        own = [rng.choice(words) for _ in range(rng.randint(0, 40))] + ([rng.choice(bad) for _ in range(3)] if toxic else [])
+        rng.shuffle(own)
+        docs.append((k, " ".join(own)))
+        if rng.random() < 0.8:
+            labels[k] = int(toxic)
+    docs += [(2000 + k, docs[k][1]) for k in range(0, 60, 3)]
+    labels |= {2000 + k: labels[k] for k in range(0, 60, 3) if k in labels}
+    got = {r["doc_id"]: r["score"] for r in toxicity.report(spark.createDataFrame([(k, t, "en", "s", 0) for k, t in docs], SCHEMA), spark.createDataFrame([(k, 1, y) for k, y in labels.items()], "doc_id long, quality int, toxic int")).collect()}
+    want = brute_scores(docs, labels)
+    assert got.keys() == want.keys() and max(want.values()) > 0.5 and all(abs(got[k] - want[k]) < 1e-9 for k in want)
