@@ -10,7 +10,10 @@ features whose share chance explains, given how many were tried, are left out; a
 strongest share among its features.
 
 The corpus model counts every document. Features are counted over the labelled rows but for verified copies of
-others of their class (see `representatives`), toxic and clean ones in one shuffled aggregation, and judged there. Every feature that passes is kept; only these are collected and broadcast.
+others of their class (see `representatives`), toxic and clean ones in one shuffled aggregation, and judged there. Edited copies
+of one text are no verified copies, and would witness for each of its words: those that pass are therefore counted again, by
+the different words that stand before and after them (the fewer of the two; one place in each row, chosen by hash, so that copies choose
+alike), and judged by that. Every feature that passes both is kept; only these are collected and broadcast.
 
 Defined results: null and empty texts have no evidence and get the lowest score (BASE); a null id counts as the
 text ""; of several labels of one id the largest counts; null labels are ignored; repeated rows are scored
@@ -221,6 +224,29 @@ class Reader(dict):
             yield from map(self.value, self.model.words(m[0]))
 
 
+    def places(self, text: str) -> dict[int, tuple[int, int, int]]:
+        """Where values (tuples of features) are not empty: feature -> the smallest (hash, hash of the piece before, of that after)."""
+        out: dict[int, tuple[int, int, int]] = {}
+
+        def take(found: Iterator, before: str, after: str) -> None:
+            a, b = xxh64_intdigest(before) >> 1, xxh64_intdigest(after) >> 1
+            at = ((a * 3 + b) % (1 << 61), a, b)
+            for f in found:
+                if f not in out or at < out[f]:
+                    out[f] = at
+
+        pieces = text.split()
+        known = {p: found for p in set(pieces) if (found := tuple(chain.from_iterable(self[p])))}
+        if known:
+            for before, piece, after in zip(["", *pieces], pieces, [*pieces[1:], ""], strict=False):
+                if piece in known:
+                    take(known[piece], before, after)
+        for m in _SPELLED.finditer(text):
+            if found := tuple(chain.from_iterable(map(self.value, self.model.words(m[0])))):
+                take(found, *((text[: m.start()].rsplit(None, 1) or [""])[-1:]), *((text[m.end() :].split(None, 1) or [""])[:1]))
+        return out
+
+
 def feature(kind: str, word: str) -> int:
     return xxh64_intdigest(kind + word) >> 1
 
@@ -338,11 +364,29 @@ def learn(docs: DataFrame, labels: DataFrame, model, *, key: str = "doc_id", tex
 
     counts = rows.where("y in (0, 1)").mapInArrow(run, "f long, t long, c long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     tried = common.stored(counts.where(F.col("t") >= LEAST), "toxicity-features")
-    kept = passed(tried, prior).toPandas().sort_values("f")  # those that pass only
+    n_tried = tried.count()
+    first = passed(tried, prior, n_tried).toPandas().sort_values("f")  # those that pass only
+    if not len(first):
+        return np.zeros(0, np.int64), np.zeros(0)
+    asked = docs.sparkSession.sparkContext.broadcast((first["f"].to_numpy(np.int64), first["share"].to_numpy(float)))
+
+    def witness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = lookup(*asked.value)
+        reader = Reader(model.value, lambda w: tuple(f for f in features(w) if table(f) is not None))
+        for batch in batches:
+            out = [(f, y, a, b) for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for f, (_, a, b) in reader.places(t).items()]
+            f, y, a, b = zip(*out, strict=True) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()), pa.array(y, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["f", "y", "a", "b"])
+
+    places = common.stored(rows.where("y in (0, 1)").mapInArrow(witness, "f long, y int, a long, b long").distinct(), "toxicity-places")
+    sides = [places.groupBy("f", "y", x).agg(F.lit(1).alias("one")).groupBy("f", "y").agg(F.count("one").alias(f"n{x}")) for x in ("a", "b")]
+    seen = sides[0].join(sides[1], ["f", "y"]).withColumn("n", F.least("na", "nb"))
+    again = seen.groupBy("f").agg(*(F.coalesce(F.sum(F.when(F.col("y") == v, F.col("n"))), F.lit(0)).alias(x) for x, v in (("t", 1), ("c", 0)))).where(F.col("t") >= LEAST)
+    kept = passed(again, prior, n_tried).toPandas().sort_values("f")
     return kept["f"].to_numpy(np.int64), kept["share"].to_numpy(float)
 
 
-def passed(tried: DataFrame, prior: float) -> DataFrame:
+def passed(tried: DataFrame, prior: float, n_tried: int) -> DataFrame:
     """(f, share) of the features (f, t toxic rows, c clean rows) whose share of toxic rows chance does not explain."""
     t, seen = F.col("t"), F.col("t") + F.col("c")
     share, rate = (t + PRIOR * prior) / (seen + PRIOR), F.least(t / seen, F.lit(1 - 1e-12))
@@ -350,7 +394,7 @@ def passed(tried: DataFrame, prior: float) -> DataFrame:
     if prior < 1:
         # Chernoff's bound of the chance that a feature without meaning looks like this, times the features tried.
         chance = F.exp(-seen * (rate * F.log(rate / prior) + (1 - rate) * F.log((1 - rate) / (1 - prior))))
-        out = out.where(chance * tried.count() < 1)
+        out = out.where(chance * n_tried < 1)
     return out.select("f", "share")
 
 
@@ -365,12 +409,16 @@ class Table:
         return float(self.share[at]) if at < len(self.f) and self.f[at] == x else None
 
 
+def lookup(f: np.ndarray, share: np.ndarray) -> Callable[[int], float | None]:
+    """Feature -> share or None: a dict, or beyond DICT_ROWS the sorted arrays."""
+    return (dict(zip(f.tolist(), share.tolist(), strict=True)) if len(f) <= DICT_ROWS else Table(f, share)).get
+
+
 class Scorer:
     """Texts to scores; made once in each task."""
 
     def __init__(self, model: CharacterModel, f: np.ndarray, share: np.ndarray):
-        self.table = dict(zip(f.tolist(), share.tolist(), strict=True)) if len(f) <= DICT_ROWS else Table(f, share)
-        self.get = self.table.get
+        self.get = lookup(f, share)
         self.reader = Reader(model, self.evidence)
 
     def evidence(self, word: str) -> float:

@@ -7,6 +7,7 @@ from zlib import crc32
 
 import numpy as np
 import pytest
+from xxhash import xxh64_intdigest
 
 from sparrowgrid.llm import toxicity
 
@@ -85,6 +86,24 @@ def test_copies_are_one_witness(spark):
     assert out.where("doc_id = 5000").first()["predicted"] == 0
 
 
+def test_edited_copies_are_few_witnesses(spark):
+    """Forty revisions of one toxic text, too different for verified copies: its other words, found in clean texts too, are no evidence; the insult is."""
+    rng = random.Random(14)
+    plain = sorted({"".join(rng.choices("abcdefghilmnorstu", k=rng.randint(4, 8))) for _ in range(600)})
+    say = lambda n: [rng.choice(plain) for _ in range(n)]
+    docs, labels = [(k, say(80)) for k in range(900)], {k: 0 for k in range(900)}
+    for k in range(60):
+        docs.append((1000 + k, [*say(30), rng.choice(INSULTS), *say(30)]))
+    first = [*say(60), "idiot", *say(60)]
+    for k in range(40):
+        docs.append((2000 + k, [w if rng.random() < 0.95 else rng.choice(plain) for w in first]))
+    labels |= {k: 1 for k, _ in docs if k >= 1000}
+    frame = spark.createDataFrame([(k, " ".join(w), "en", "s", 0) for k, w in docs], SCHEMA)
+    scores = {r["doc_id"]: r["predicted"] for r in toxicity.report(frame, spark.createDataFrame([(k, 1, y) for k, y in labels.items()], "doc_id long, quality int, toxic int")).collect()}
+    assert sum(scores[k] for k in range(900)) <= 2
+    assert sum(scores[k] for k in scores if 1000 <= k < 2000) >= 58
+
+
 def test_texts_with_a_common_passage_are_no_copies(spark):
     """Only equal texts and those with verified similarity are left out of the labelled rows."""
     rng = random.Random(9)
@@ -159,15 +178,18 @@ def brute_scores(docs: list[tuple[int, str]], labels: dict[int, int]) -> dict[in
     for k, t in sorted(docs):
         if not held[k] and k in labels and (labels[k], t) not in seen:
             seen.add((labels[k], t))
-            rows.append((labels[k], {f for w in t.split() for f in parts(w)}))
-    prior = sum(y for y, _ in rows) / len(rows)
-    toxic, clean = (Counter(f for y, fs in rows if y == side for f in fs) for side in (1, 0))
-    tried, table = [f for f, n in toxic.items() if n >= toxicity.LEAST], {}
-    for f in tried:
-        t, n = toxic[f], toxic[f] + clean[f]
-        share, rate = (t + toxicity.PRIOR * prior) / (n + toxicity.PRIOR), min(t / n, 1 - 1e-12)
-        if share > 2 * toxicity.BASE and rate > prior and len(tried) * math.exp(-n * (rate * math.log(rate / prior) + (1 - rate) * math.log((1 - rate) / (1 - prior)))) < 1:
-            table[f] = share
+            rows.append((labels[k], t.split(), {f for w in t.split() for f in parts(w)}))
+    prior = sum(y for y, *_ in rows) / len(rows)
+    toxic, clean = (Counter(f for y, _, fs in rows if y == side for f in fs) for side in (1, 0))
+    tried = [f for f, n in toxic.items() if n >= toxicity.LEAST]
+
+    def judged(t: int, c: int) -> float | None:
+        share, rate = (t + toxicity.PRIOR * prior) / (t + c + toxicity.PRIOR), min(t / max(1, t + c), 1 - 1e-12)
+        if t >= toxicity.LEAST and share > 2 * toxicity.BASE and rate > prior and len(tried) * math.exp(-(t + c) * (rate * math.log(rate / prior) + (1 - rate) * math.log((1 - rate) / (1 - prior)))) < 1:
+            return share
+        return None
+
+    table = {f: share for f in tried if (share := judged(toxic[f], clean[f]))}
 
     def evidence(w: str) -> float:
         if len(w) < 3:
@@ -178,6 +200,17 @@ def brute_scores(docs: list[tuple[int, str]], labels: dict[int, int]) -> dict[in
             return toxicity.BASE
         return table["4", w[:4]] if len(w) == 4 else min(table["4", w[:4]], table.get(("5", w[:5]), toxicity.BASE))
 
+    witnessed = {f: ([set(), set()], [set(), set()]) for f in table}
+    for y, words in [(y, w) for y, w, _ in rows]:
+        best: dict = {}
+        for before, w, after in zip(["", *words], words, [*words[1:], ""], strict=False):
+            a, b = xxh64_intdigest(before) >> 1, xxh64_intdigest(after) >> 1
+            for f in set(parts(w)) & table.keys():
+                best[f] = min(best.get(f, (1 << 62, 0, 0)), ((a * 3 + b) % (1 << 61), a, b))
+        for f, (_, a, b) in best.items():
+            witnessed[f][y][0].add(a)
+            witnessed[f][y][1].add(b)
+    table = {f: share for f, (c, t) in witnessed.items() if (share := judged(min(map(len, t)), min(map(len, c))))}
     return {k: max(map(evidence, t.split()), default=toxicity.BASE) for k, t in docs}
 
 
