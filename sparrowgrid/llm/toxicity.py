@@ -11,9 +11,9 @@ strongest share among its features.
 
 The corpus model counts every document. Features are counted over the labelled rows but for verified copies of
 others of their class (see `representatives`), toxic and clean ones in one shuffled aggregation, and judged there. Edited copies
-of one text are no verified copies, and would witness for each of its words: those that pass are therefore counted again, by
-the different words that stand before and after them (the fewer of the two; one place in each row, chosen by hash, so that copies choose
-alike), and judged by that. Every feature that passes both is kept; only these are collected and broadcast.
+of one text are no verified copies, and would witness for each of its words: those whose share would reject a text are therefore counted
+again, by the different words that stand before and after them (the fewer of the two; one place in each row, chosen by hash, so that
+copies choose alike), and judged by that. Every feature that passes is kept; only these are collected and broadcast.
 
 Defined results: null and empty texts have no evidence and get the lowest score (BASE); a null id counts as the
 text ""; of several labels of one id the largest counts; null labels are ignored; repeated rows are scored
@@ -44,6 +44,8 @@ DICT_ROWS = 1_000_000
 #: Prior weight of a feature, in documents; rows that a feature needs; score without evidence.
 PRIOR, LEAST, BASE = 4.0, 3, 0.02
 LONGEST = 40
+#: Score from which a text is toxic.
+DECISIVE = 0.5
 #: Jaccard similarity of five-word shingles from which a labelled text is a copy.
 COPY = 0.8
 #: Natural logarithm of how much less likely than the likeliest a way through spelled-out letters may be.
@@ -366,9 +368,11 @@ def learn(docs: DataFrame, labels: DataFrame, model, *, key: str = "doc_id", tex
     tried = common.stored(counts.where(F.col("t") >= LEAST), "toxicity-features")
     n_tried = tried.count()
     first = passed(tried, prior, n_tried).toPandas().sort_values("f")  # those that pass only
-    if not len(first):
-        return np.zeros(0, np.int64), np.zeros(0)
-    asked = docs.sparkSession.sparkContext.broadcast((first["f"].to_numpy(np.int64), first["share"].to_numpy(float)))
+    f, share = first["f"].to_numpy(np.int64), first["share"].to_numpy(float)
+    high = share >= DECISIVE
+    if not high.any():
+        return f, share
+    asked = docs.sparkSession.sparkContext.broadcast((f[high], share[high]))
 
     def witness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = lookup(*asked.value)
@@ -382,8 +386,10 @@ def learn(docs: DataFrame, labels: DataFrame, model, *, key: str = "doc_id", tex
     sides = [places.groupBy("f", "y", x).agg(F.lit(1).alias("one")).groupBy("f", "y").agg(F.count("one").alias(f"n{x}")) for x in ("a", "b")]
     seen = sides[0].join(sides[1], ["f", "y"]).withColumn("n", F.least("na", "nb"))
     again = seen.groupBy("f").agg(*(F.coalesce(F.sum(F.when(F.col("y") == v, F.col("n"))), F.lit(0)).alias(x) for x, v in (("t", 1), ("c", 0)))).where(F.col("t") >= LEAST)
-    kept = passed(again, prior, n_tried).toPandas().sort_values("f")
-    return kept["f"].to_numpy(np.int64), kept["share"].to_numpy(float)
+    kept = passed(again, prior, n_tried).toPandas()
+    f, share = np.concatenate((f[~high], kept["f"].to_numpy(np.int64))), np.concatenate((share[~high], kept["share"].to_numpy(float)))
+    order = np.argsort(f)
+    return f[order], share[order]
 
 
 def passed(tried: DataFrame, prior: float, n_tried: int) -> DataFrame:
@@ -463,7 +469,7 @@ def report(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = np.array([scorer(shared, tag).score(t) for t in batch.column(2).to_pylist()], float)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], [key, "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= DECISIVE).astype(np.int32))], [key, "held_out", "score", "predicted"])
 
     return docs.select(key, held, common.text_or_empty(text).alias("t")).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, held_out boolean, score double, predicted int")
 
@@ -475,6 +481,6 @@ def keep_clean(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([scorer(shared, tag).score(t) < 0.5 for t in batch.column(place).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([scorer(shared, tag).score(t) < DECISIVE for t in batch.column(place).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

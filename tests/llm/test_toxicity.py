@@ -210,7 +210,8 @@ def brute_scores(docs: list[tuple[int, str]], labels: dict[int, int]) -> dict[in
         for f, (_, a, b) in best.items():
             witnessed[f][y][0].add(a)
             witnessed[f][y][1].add(b)
-    table = {f: share for f, (c, t) in witnessed.items() if (share := judged(min(map(len, t)), min(map(len, c))))}
+    low = {f: share for f, share in table.items() if share < 0.5}
+    table = low | {f: share for f, (c, t) in witnessed.items() if f not in low and (share := judged(min(map(len, t)), min(map(len, c))))}
     return {k: max(map(evidence, t.split()), default=toxicity.BASE) for k, t in docs}
 
 
