@@ -13,18 +13,7 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where spark.checkpoint.dir is unset, as in tests on one machine.
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = LOCAL_CHECKPOINTS
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
+from ..storage import shared_dir
 
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/sparrowgrid/{name}-{uuid.uuid4().hex}"
@@ -38,9 +27,16 @@ def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
 
 
 def bound_batches(spark: SparkSession, megabytes: int = 4) -> None:
-    """Arrow batches of at most so many MB, since one text may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
+    """Arrow batches of at most so many MB, since one text may be very long.
+
+    Plans run after the operators return, so the session keeps the bounds; tighter ones that it has already stay.
+    """
+    for name, most in (("maxRecordsPerBatch", 4000), ("maxBytesPerBatch", megabytes << 20)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = str(spark.conf.get(name, "0"))
+        now = int(now) if now.isdigit() else 0
+        if not 0 < now <= most:
+            spark.conf.set(name, str(most))
 
 
 def text_bytes(column: str = "text") -> Column:

@@ -11,7 +11,9 @@ those of one fingerprint are linked. All links make the groups.
 
 Defined results: null and empty texts have fingerprint zero, and one of them is kept; of a group the row with
 the smallest key stays, as often as it stands there; of rows that share a key each is judged by its own text; rows
-with a null key stay; further columns are kept.
+with a null key stay; an empty table gives an empty result. Of nodes that share equally many bands the one of the larger number is the
+hub, which changes no group; a text of fewer than five words is one shingle, and one without words has none. Texts of any length are read
+whole; further columns are kept, whatever their names.
 """
 
 from __future__ import annotations

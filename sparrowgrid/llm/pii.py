@@ -9,8 +9,10 @@ one half or more do.
 What leaves the executors is one row for each (kind, votes, length class) pattern: at most
 kinds * 3**labelers * classes rows whatever the input; the model fitted on them is a short SQL expression.
 
-Defined results: null texts count as empty and have no spans; repeated rows and ties are treated alike, row
-by row; further columns are ignored by `report` and kept by `redact`; without any candidate nothing is trained.
+Defined results: null and empty texts have no spans, and `redact` leaves them as they are; texts of any length are read whole, and the
+work grows with their length and matches; repeated rows and null keys are treated row by row; of spans that meet, a base one stays, and
+`redact` names them by the one that starts first, of several the one of the first kind; without any candidate nothing is trained; an empty
+table gives an empty result; further columns are ignored by `report` and kept by `redact`, whatever their names.
 """
 
 from __future__ import annotations

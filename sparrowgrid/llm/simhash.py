@@ -4,11 +4,13 @@ Upper nodes of the index are (mask, value) pairs: the fingerprints that share th
 fingerprints that differ in at most d bits agree on at least one of d + 1 parts of the bits that
 their node leaves open, so each node is split that way as long as it holds more than LEAF members.
 A leaf is one sorted run in Gray order; runs of it are factored into (shared bits, pattern) nodes, and
-a pair of nodes is left as soon as the differences in the bits that both share exceed d.
+a pair of nodes is left as soon as the differences in the bits that both share exceed d. So the Gray order works inside of
+leaves, which fit a task; what divides a table into leaves are the masks.
 
-Defined results: a null or empty text has fingerprint zero and is linked like any other; equal
-fingerprints are one vertex, however many documents have them; repeated ids fall into one component
-if their fingerprints link, and are returned as often as they stand in the input.
+Defined results: a null or empty text has fingerprint zero and is linked like any other; a bit that is set in exactly half of the
+hashes is 0; equal fingerprints are one vertex, however many documents have them; repeated ids fall into one component
+if their fingerprints link, and are returned as often as they stand in the input; a null key is no smallest key where there is
+another; texts of any length are read whole; an empty table gives an empty result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ starts with the entry's. The longest entry wins, of equally long ones that with
 no entry fits gets the default verdict (`allow`).
 
 Defined results: a null url, or one without `://`, has an empty host and path, no rule and the default
-verdict; repeated rows are judged alike; further columns of the input are ignored.
+verdict; urls of any length are judged whole; repeated rows and null keys are judged alike; an empty table gives an empty result, an
+empty list leaves every url to the default; further columns of the input are ignored, whatever their names. The file is
+mapped where the shared folder is mounted, and fetched as a whole from other stores.
 """
 
 from __future__ import annotations
