@@ -33,9 +33,8 @@ def bound_batches(spark: SparkSession, megabytes: int = 4) -> None:
     """
     for name, most in (("maxRecordsPerBatch", 4000), ("maxBytesPerBatch", megabytes << 20)):
         name = f"spark.sql.execution.arrow.{name}"
-        now = str(spark.conf.get(name, "0"))
-        now = int(now) if now.isdigit() else 0
-        if not 0 < now <= most:
+        now = spark.conf.get(name).removesuffix("b")  # a bare number, or one of bytes
+        if not (now.isdigit() and 0 < int(now) <= most):
             spark.conf.set(name, str(most))
 
 
