@@ -404,16 +404,11 @@ def sliced(c: Column, start: int, end: int | None) -> Column:
     first, size = bounds(F.length(c), start, end)
     plain = F.substr(c, first + 1, size)
     units = F.encode(c, "UTF-16BE")
-    first, size = bounds((F.length(units) / 2).cast("int"), start, end)
-    cut = F.substr(units, first * 2 + 1, size * 2)
-    lead = F.hex(F.substr(cut, spark_lit(1), spark_lit(1))).between("DC", "DF")
-    tail = F.hex(F.substr(cut, size * 2 - 1, spark_lit(1))).between("D8", "DB")
-    odd = F.unhex(spark_lit("FFFD"))
-    left = F.when(lead, spark_lit(1)).otherwise(spark_lit(0))
-    kept = size - left - F.when(tail, spark_lit(1)).otherwise(spark_lit(0))
-    mended = F.concat(F.when(lead, odd).otherwise(F.unhex(spark_lit(""))), F.substr(cut, left * 2 + 1, F.greatest(kept, spark_lit(0)) * 2), F.when(tail, odd).otherwise(F.unhex(spark_lit(""))))
+    first, size = bounds(F.shiftright(F.length(units), 1), start, end)
+    cut = F.hex(F.substr(units, first * 2 + 1, size * 2))
+    mended = F.regexp_replace(F.regexp_replace(cut, "^D[C-F]..", "FFFD"), "D[89AB]..$", "FFFD")
     # Without characters of several bytes both ways agree, and the plain one is cheaper.
-    return F.when(F.octet_length(c) == F.length(c), plain).when(c.isNotNull(), F.decode(F.when(size > 0, mended).otherwise(F.unhex(spark_lit(""))), "UTF-16BE"))
+    return F.when(F.octet_length(c) == F.length(c), plain).when(c.isNotNull(), F.decode(F.unhex(mended), "UTF-16BE"))
 
 
 def utf16_key(c: Column) -> Column:
