@@ -1,7 +1,8 @@
 """LM scoring by an Elias-Fano n-gram trie.
 
-Texts are read once, into stored chunks of word numbers and word hashes; all later passes read those. Words are
-counted in shards by hash; a word's id is its rank by hash. Contexts w2 are cut into bands of about `Sizes.band` tokens, a band
+Texts are read once, into stored chunks of word numbers and word hashes; all later passes read those. Chunks send their
+distinct n-grams to the cells, with how often each occurs in training texts; a cell is built from these, opened once, answers
+all chunks, and is done. So the cost of a text does not grow with the number of cells. Words are counted in shards by hash; a word's id is its rank by hash. Contexts w2 are cut into bands of about `Sizes.band` tokens, a band
 into as many cells by w3 as its tokens need, so that a frequent context is spread over many cells; the trigrams of a pair that may
 itself be too frequent for a cell (as both its words are) are dealt over further cells by w1. A cell is a trie in
 memory-mapped levels: monotone pointers from each context w2 to its successors w3, pointers from those to the words
@@ -11,14 +12,15 @@ that one search of the whole sequence finds a successor of one context). Probabi
     P(w3 | w2) = (c(w2 w3) + M2 P(w3)) / (c(w2) + M2),  P(w3 | w1 w2) = b(w1 w2) (c(w1 w2 w3) / M3 + P(w3 | w2)),
     b(w1 w2) = M3 / (c(w1 w2) + M3),  P(w) = (c(w) + 1) / (N + V + 1),
 
-and stored in one byte each: P(w3 | w2) by 256 bins of equal width, b and c(w1 w2 w3) / M3 by a fixed code of counts.
+and stored in one byte each: P(w3 | w2) by 256 bins of equal width, b and c(w1 w2 w3) / M3 by a fixed code of counts. Where that
+is exact, a chunk gets P(w3 | w2) from the count, so that cells need not send it.
 All counts are over all training texts, none is pruned.
 
 Defined results: null and empty texts are one end token; texts of any length are scored whole; a null key counts as the text ""
 in the fold; repeated rows count and are scored as often as they stand there; an empty table gives an empty result; without training
 rows every probability is that of an empty model; further columns are ignored, whatever their names. Words are told apart by
-64-bit hashes. The trie is mapped where the shared folder is mounted; from other stores a cell is fetched when first asked
-for. A worker keeps the last `Sizes.open` cells open.
+64-bit hashes. Shards of words and the answers are mapped where the shared folder is mounted, and fetched from other stores; a
+worker keeps the last `Sizes.open` shards open.
 """
 
 from __future__ import annotations
@@ -29,13 +31,14 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from . import common
 from .eliasfano import EliasFano, read_arrays, write_arrays
-from .pieces import Known
+from .pieces import Known, released, squeezed
 from .toxicity import crc_of
 
 M2, M3 = 4.0, 2.0
@@ -49,16 +52,18 @@ class Sizes:
 
     cell: int = 1_500_000  #: n-grams of a cell, on average
     band: int = 6_000_000  #: tokens of a band of contexts
-    batch: int = 1_500_000  #: tokens whose n-grams a task sorts at once
+    batch: int = 1_500_000  #: not used any more, kept for callers: a chunk's n-grams are sorted at once
     words: int = 1_000_000  #: words that a task counts before they are sent on
-    chunk: int = 2_000_000  #: bytes of text in a chunk
+    chunk: int = 8_000_000  #: bytes of text in a chunk, which asks each cell at most once
     shard: int = 32 << 20  #: bytes of text for each shard of words
-    open: int = 1024  #: cells that a worker keeps open
+    open: int = 1024  #: shards of words that a worker keeps open
 
 
 END = xxh64_intdigest(b"")  # no word is empty
 #: Counts behind a one-byte code: exact to 160, then by a constant factor.
 COUNTS = np.concatenate((np.arange(160), np.round(160 * (2**40 / 160) ** (np.arange(96) / 95)))).astype(float)
+#: The first code that may stand for several counts.
+ROUNDED = 160
 
 
 def count_code(c: np.ndarray) -> np.ndarray:
@@ -129,10 +134,11 @@ def unplanes(data: bytes) -> np.ndarray:
 
 
 def tokenised(docs: DataFrame, held: Column, *, key: str, text: str, sizes: Sizes = Sizes()) -> DataFrame:
-    """The texts as stored chunks: keys, whether each is held out, words of each text, hashes of the chunk's distinct words, numbers of all its words."""
+    """The texts as stored chunks: keys, whether each is held out, words of each text, hashes of the chunk's distinct words, numbers of all its words, and the chunk's own."""
     common.bound_batches(docs.sparkSession, 8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for a, b in common.chunks(texts, len, sizes.chunk):
@@ -140,19 +146,20 @@ def tokenised(docs: DataFrame, held: Column, *, key: str, text: str, sizes: Size
                 cut, place = pa.array([0, b - a], pa.int32()), slice(a, b)
                 yield pa.RecordBatch.from_arrays([
                     *(pa.ListArray.from_arrays(cut, batch.column(i)[place]) for i in (0, 1)), pa.array([lengths.astype("<u4").tobytes()], pa.binary()),
-                    pa.array([hashes.astype("<u8").tobytes()], pa.binary()), pa.array([planes(flat)], pa.binary()),
-                ], ["keys", "held", "lengths", "hashes", "flat"])
+                    pa.array([hashes.astype("<u8").tobytes()], pa.binary()), pa.array([planes(flat)], pa.binary()), pa.array([chunk], pa.int64()),
+                ], ["keys", "held", "lengths", "hashes", "flat", "chunk"])
+                chunk += 1
 
-    schema = f"keys array<{dict(docs.dtypes)[key]}>, held array<boolean>, lengths binary, hashes binary, flat binary"
+    schema = f"keys array<{dict(docs.dtypes)[key]}>, held array<boolean>, lengths binary, hashes binary, flat binary, chunk long"
     return common.stored(docs.select(key, held.alias("held"), common.text_bytes(text).alias("t")).mapInArrow(run, schema), "lm-tokens", "zstd")
 
 
-def chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(keys, held out, words of each text, hashes, numbers) of the rows of `tokenised`."""
+def chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """(keys, held out, words of each text, hashes, numbers, chunk) of the rows of `tokenised`."""
     for batch in batches:
         for i in range(batch.num_rows):
             lengths, hashes = np.frombuffer(batch.column(2)[i].as_py(), "<u4").astype(np.int64), np.frombuffer(batch.column(3)[i].as_py(), "<u8")
-            yield batch.column(0)[i].values, batch.column(1)[i].values.to_numpy(zero_copy_only=False).astype(bool), lengths, hashes, unplanes(batch.column(4)[i].as_py())
+            yield batch.column(0)[i].values, batch.column(1)[i].values.to_numpy(zero_copy_only=False).astype(bool), lengths, hashes, unplanes(batch.column(4)[i].as_py()), batch.column(5)[i].as_py()
 
 
 def trained_on(held: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,7 +182,7 @@ def count_words(tokens: DataFrame, folder: str, shards: int, sizes: Sizes) -> li
             rows = [(s, hashes[a:b].tobytes(), counts[a:b].tobytes()) for s, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["part", "h", "n"])
 
-        for _, held, lengths, hashes, flat in chunks_of(batches):
+        for _, held, lengths, hashes, flat, _ in chunks_of(batches):
             own, texts = trained_on(held, lengths, flat)
             n = np.bincount(own, minlength=len(hashes))
             met = np.flatnonzero(n)
@@ -247,108 +254,186 @@ def histories(ids: np.ndarray, ends: np.ndarray, start: int, none: int) -> tuple
 
 
 def opened(model: Model) -> tuple[Vocabulary, common.Opened]:
-    return common.held(model.folder, lambda: (Vocabulary(model.folder, len(model.shards), model.shards, model.sizes.open), common.Opened(lambda c: Cell.open(f"{model.folder}/cell-{c}"), model.sizes.open)))
+    """The words, and of each cell what its codes of P(w3 | w2) stand for (2 KB)."""
 
+    def book(cell: int) -> np.ndarray:
+        return np.array(read_arrays(f"{model.folder}/book-{cell}")[0]["book"])
 
-def looked_up(vocabulary: Vocabulary, hashes: np.ndarray, flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids with ends, their counts, where each text ends); unknown words are -1."""
-    ids, counts = vocabulary.ids(np.append(hashes, np.uint64(END)))
-    numbers, ends = with_ends(flat, lengths, len(hashes))
-    return ids[numbers], counts[numbers], ends
+    return common.held(model.folder, lambda: (Vocabulary(model.folder, len(model.shards), model.shards, model.sizes.open), common.Opened(book, 1 << 14)))
+
+
+def steps(w2: np.ndarray, w3: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs in order as steps from one to the next, mostly small: from a new w2 on, w3 starts at zero."""
+    second = np.diff(w3, prepend=0)
+    new = heads_of(w2)
+    second[new] = w3[new]
+    return np.diff(w2, prepend=0), second
+
+
+def walked(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of such steps."""
+    new = first > 0
+    new[0] = True
+    at = np.cumsum(second, dtype=np.int64)
+    return np.cumsum(first, dtype=np.uint32), (at - (at - second)[new][np.cumsum(new) - 1]).astype(np.uint32)
+
+
+def heads_of(*keys: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before."""
+    out = np.ones(len(keys[0]), bool)
+    out[1:] = False
+    for k in keys:
+        out[1:] |= k[1:] != k[:-1]
+    return out
 
 
 def order_of(*keys: np.ndarray) -> np.ndarray:
-    """The order by the first key, then by the next; as one number where they fit."""
-    bits = [int(k.max(initial=0)).bit_length() for k in keys]
-    if sum(bits) > 63:
-        return np.lexsort(keys[::-1])
-    key = np.zeros(len(keys[0]), np.int64)
-    for k, b in zip(keys, bits, strict=True):
+    """The order by the first key, then by the next: as one number, of which the part before is ranked where it gets too long."""
+    key, used = np.zeros(len(keys[0]), np.int64), 0
+    for k in keys:
+        b = int(k.max(initial=0)).bit_length()
+        if used + b > 63:
+            key = np.unique(key, return_inverse=True)[1].astype(np.int64)
+            used = int(key.max(initial=0)).bit_length()
         key <<= b
-        key |= k
+        key |= k.astype(np.int64, copy=False)
+        used += b
     return np.argsort(key)
 
 
-class Trigrams:
-    """Rows (w2, w3, w1) that are counted once there are many; as one number each where that fits."""
+def by_cell(cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order by cell, in which rows of one keep theirs; where each cell begins and, last, where all end)."""
+    low = cell - cell.min(initial=1 << 62)
+    order = np.argsort(low.astype(np.uint16) if low.max(initial=0) < 1 << 16 else low, kind="stable")
+    return order, np.append(np.flatnonzero(heads_of(cell[order])), len(cell))
 
-    def __init__(self, most: int):
-        self.bits, self.rows, self.size = most.bit_length(), [], 0
 
-    def add(self, w2: np.ndarray, w3: np.ndarray, w1: np.ndarray) -> None:
-        self.rows.append(w2 << 2 * self.bits | w3 << self.bits | w1 if self.bits <= 21 else np.stack((w2, w3, w1)))
-        self.size += len(w2)
+class Ngrams:
+    """The tokens of a chunk, and the distinct n-grams (w1 w2 w3) that they ask the cells for.
 
-    def counted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The distinct rows in order, and how often each occurs; none are held after it."""
-        rows, self.rows, self.size = np.concatenate(self.rows, axis=-1), [], 0
-        if self.bits <= 21:
-            rows.sort()
-            at = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-            low, n = (1 << self.bits) - 1, np.diff(np.append(at, len(rows)))
-            rows = rows[at]
-            return rows >> 2 * self.bits, rows >> self.bits & low, rows & low, n
-        rows = rows[:, np.lexsort(rows[::-1])]
-        at = np.flatnonzero(np.concatenate(([True], (rows[:, 1:] != rows[:, :-1]).any(axis=0))))
-        return *rows[:, at], np.diff(np.append(at, rows.shape[1]))
+    Of a token whose word or word before is unknown nothing is asked; w1 is `none` where it is unknown or there is none.
+    """
 
+    def __init__(self, model: Model, vocabulary: Vocabulary, lengths: np.ndarray, hashes: np.ndarray, flat: np.ndarray):
+        # Words by their number in the chunk; after them the end, the start and none.
+        self.start, none = len(hashes) + 1, len(hashes) + 2
+        ids, counts = vocabulary.ids(np.append(hashes, np.uint64(END)))
+        ids, self.counts = np.concatenate((ids, [model.words, model.words + 1])), np.concatenate((counts, [model.texts, 0]))
+        self.at, self.ends = with_ends(flat, lengths, len(hashes))
+        self.before, two = histories(self.at, self.ends, self.start, none)
+        ranked = np.argsort(ids, kind="stable")
+        rank = np.empty(len(ids), np.int64)
+        rank[ranked] = np.arange(len(ids))
+        known = ids >= 0
+        self.asking = np.flatnonzero(known[self.at] & known[self.before])
+        w2, w3, w1 = rank[self.before[self.asking]], rank[self.at[self.asking]], np.where(known, rank, rank[none])[two[self.asking]]
+        order = order_of(w2, w3, w1)
+        w2, w3, w1 = w2[order], w3[order], w1[order]
+        new = heads_of(w2, w3, w1)
+        self.heads, self.order = np.flatnonzero(new), order
+        #: The distinct n-gram of each token that asks.
+        self.who = np.empty(len(order), np.int64)
+        self.who[order] = np.cumsum(new) - 1
+        local = [ranked[x[self.heads]] for x in (w2, w3, w1)]
+        self.w2, self.w3, self.w1 = (ids[x] for x in local)
+        self.c2, self.c3 = self.counts[local[0]], self.counts[local[1]]
+        # A pair that may be too frequent stands in its cell by itself, its trigrams in further ones.
+        cell, subs = model.cells(self.w2, self.w3)[0] * SUBS, model.parts(self.c2, self.c3)
+        hot = np.flatnonzero((subs > 1) & (self.w1 <= model.words))
+        self.asked = np.concatenate((np.arange(len(cell)), hot))
+        cell = np.concatenate((cell, cell[hot] + 1 + self.w1[hot] % subs[hot]))
+        first = self.w1.copy()
+        first[hot] = model.words + 1
+        first = np.concatenate((first, self.w1[hot]))
+        #: What is asked, in the order of the cells: the n-gram, its cell, its w1 there; and where each cell begins.
+        place, self.cuts = by_cell(cell)
+        self.asked, self.cell, self.first = self.asked[place], cell[place], first[place]
+
+    def occurrences(self, trained: np.ndarray) -> np.ndarray:
+        """How often each distinct n-gram occurs at tokens of training texts."""
+        return np.add.reduceat(trained[self.asking][self.order].astype(np.int64), self.heads)
+
+    def pairs(self) -> np.ndarray:
+        """Where the pair of what is asked differs from the one before, or the cell does."""
+        return heads_of(self.cell, self.w2[self.asked], self.w3[self.asked])
 
-def count_ngrams(tokens: DataFrame, model: Model) -> None:
-    """Count all trigrams in cells and write each cell's trie."""
-    start, none = model.words, model.words + 1
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, met, hot = opened(model)[0], Trigrams(none), []
+def count_ngrams(tokens: DataFrame, model: Model) -> None:
+    """Count all trigrams in cells, write each cell's trie, and for each chunk a file of what the cells say of its n-grams."""
 
-        def flush() -> pa.RecordBatch:
-            w2, w3, w1, n = met.counted()
-            cell = model.cells(w2, w3)[0] * SUBS
-            if hot:  # such a pair itself stands in its cell, its trigrams in further ones
-                names, first = np.unique(np.concatenate([h for h, _ in hot]), return_index=True)
-                own = w2 * (none + 1) + w3
-                at = np.minimum(np.searchsorted(names, own), len(names) - 1)
-                rows = np.flatnonzero(names[at] == own)
-                subs = np.concatenate([x for _, x in hot])[first[at[rows]]]
-                cell = np.concatenate((cell, cell[rows] + 1 + w1[rows] % subs))
-                w1, w2, w3, n = (np.concatenate((x, x[rows])) for x in (w1, w2, w3, n))
-                w1[rows] = none
-            found, cell = np.unique(cell, return_inverse=True)
-            order = np.argsort(cell.astype(np.uint16) if len(found) < 1 << 16 else cell, kind="stable")
-            cell, w1, w2, w3, n = cell[order], w1[order], w2[order], w3[order], n[order]
-            cuts = np.searchsorted(cell, np.arange(len(found) + 1))
-            # Contexts as steps from one to the next: mostly zeros.
-            data = [(planes(np.diff(w2[a:b], prepend=0)), planes(w3[a:b]), planes(w1[a:b]), planes(n[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)]
-            return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), *(pa.array([d[i] for d in data], pa.binary()) for i in range(4))], ["part", "w2", "w3", "w1", "n"])
-
-        for _, held, lengths, hashes, flat in chunks_of(batches):
-            own, texts = trained_on(held, lengths, flat)
-            if not len(texts):
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = opened(model)[0]
+        for _, held, lengths, hashes, flat, chunk in chunks_of(batches):
+            grams = Ngrams(model, vocabulary, lengths, hashes, flat)
+            if not len(grams.asked):
                 continue
-            ids, counts, ends = looked_up(vocabulary, hashes, own, texts)
-            before, two = histories(ids, ends, start, none)
-            context = np.concatenate(([0], counts[:-1]))
-            context[np.concatenate(([0], ends[:-1]))] = model.texts
-            subs = model.parts(context, counts)
-            dealt = np.flatnonzero((subs > 1) & (two < none))
-            hot += [(before[dealt] * (none + 1) + ids[dealt], subs[dealt])] * bool(len(dealt))
-            met.add(before, ids, two)
-            if met.size > model.sizes.batch:
-                yield flush()
-                hot = []
-        if met.size:
-            yield flush()
+            n = grams.occurrences(np.repeat(~held, lengths + 1))[grams.asked]
+            w2, w3, w1 = grams.w2[grams.asked], grams.w3[grams.asked], grams.first
+            cuts = grams.cuts.tolist()
+            data = [squeezed(planes(np.concatenate((*steps(w2[a:b], w3[a:b]), w1[a:b], n[a:b])))) for a, b in zip(cuts, cuts[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(grams.cell[grams.cuts[:-1]]), pa.array(np.full(len(data), chunk)), pa.array(data, pa.binary())], ["part", "chunk", "asked"])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = opened(model)[0]
         for cell, rows in common.grouped(batches):
-            w2 = np.concatenate([np.cumsum(unplanes(r.pop("w2")), dtype=np.uint32) for r in rows])
-            w3, w1, n = (np.concatenate([unplanes(r.pop(x)) for r in rows]) for x in ("w3", "w1", "n"))
-            write_cell(model, vocabulary, cell, w1, w2, w3, n)
-            yield pa.RecordBatch.from_arrays([pa.array([cell], pa.int64())], ["part"])
+            asked = [unplanes(released(r.pop("asked"))).reshape(4, -1) for r in rows]
+            ends = np.cumsum([x.shape[1] for x in asked])
+            w2, w3 = (np.concatenate(x) for x in zip(*(walked(x[0], x[1]) for x in asked), strict=True))
+            w1, n = (np.concatenate([x[i] for x in asked]) for i in (2, 3))
+            del asked
+            firsts = np.zeros(len(w2), bool)
+            firsts[np.concatenate(([0], ends[:-1]))] = True
+            firsts |= heads_of(w2, w3)
+            order = order_of(w2 - w2.min(), w3, w1)
+            w1, w2, w3, n = w1[order], w2[order], w3[order], n[order]
+            new = heads_of(w2, w3, w1)
+            who = np.empty(len(order), np.int32)
+            who[order] = np.cumsum(new, dtype=np.int32) - 1
+            n = np.add.reduceat(n, np.flatnonzero(new), dtype=np.int64)
+            w1, w2, w3 = (x[new].astype(np.int64) for x in (w1, w2, w3))
+            del order, new
+            p2, b2, q3 = answers(model, vocabulary, cell, w1, w2, w3, n)
+            q3, firsts = q3[who], np.flatnonzero(firsts)
+            p2, b2 = p2[who[firsts]], b2[who[firsts]]
+            cuts = np.concatenate(([0], np.searchsorted(firsts, ends))).tolist()
+            ends = [0, *ends.tolist()]
+            said = [squeezed(b2[a:b].tobytes() + q3[c:d].tobytes() + p2[a:b][b2[a:b] >= ROUNDED].tobytes()) for a, b, c, d in zip(cuts, cuts[1:], ends, ends[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([r["chunk"] for r in rows], pa.int64()), pa.array([cell] * len(rows), pa.int64()), pa.array(np.diff(cuts), pa.int64()), pa.array(said, pa.binary()),
+            ], ["chunk", "part", "pairs", "said"])
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, rows in common.grouped(batches):
+            said = [(r["pairs"], np.frombuffer(released(r.pop("said")), np.uint8)) for r in rows]
+            ends = [len(x) - np.count_nonzero(x[:n] >= ROUNDED) for n, x in said]
+            arrays = {
+                "b2": [x[:n] for n, x in said], "q3": [x[n:end] for (n, x), end in zip(said, ends, strict=True)], "p2": [x[end:] for (_, x), end in zip(said, ends, strict=True)],
+            }
+            write_arrays(f"{model.folder}/said-{chunk}", {k: np.frombuffer(squeezed(np.concatenate(v).tobytes()), np.uint8) for k, v in arrays.items()}, {})
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64())], ["chunk"])
+
+    asked = tokens.mapInArrow(ask, "part long, chunk long, asked binary").repartition("part").sortWithinPartitions("part")
+    said = asked.mapInArrow(build, "chunk long, part long, pairs long, said binary").repartition("chunk").sortWithinPartitions("chunk", "part")
+    common.stored(said.mapInArrow(assemble, "chunk long"), "lm-cells")
 
-    schema = "part long, w2 binary, w3 binary, w1 binary, n binary"
-    parts = tokens.mapInArrow(count, schema).repartition("part").sortWithinPartitions("part")
-    common.stored(parts.mapInArrow(build, "part long"), "lm-cells")
+
+def answers(model: Model, vocabulary: Vocabulary, cell: int, w1: np.ndarray, w2: np.ndarray, w3: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Write the trie of a cell's distinct n-grams in order; for each the codes of (P(w3 | w2), c(w2 w3), c(w1 w2 w3)) as the trie has them.
+
+    A count of zero, which has the code 0, says that the trie has none.
+    """
+    met = n > 0  # the others are asked for only
+    if not met.any():
+        return *np.zeros((3, len(n)), np.uint8),
+    trie = write_cell(model, vocabulary, cell, w1[met], w2[met], w3[met], n[met])
+    band = model.band_of(cell // SUBS)
+    new = heads_of(w2, w3)
+    back = np.cumsum(new) - 1
+    place, p2, b2 = trie.pairs(w2[new] - model.bands[band], w3[new] // model.columns[band])
+    q3 = trie.triples(place[back], np.where(w1 <= model.words, w1, -1))
+    if cell % SUBS:  # it holds a part of each pair
+        return *np.zeros((2, len(n)), np.uint8), q3
+    return p2[back], b2[back], q3
 
 
 def relative(context: np.ndarray, ids: np.ndarray, contexts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -364,12 +449,8 @@ def relative(context: np.ndarray, ids: np.ndarray, contexts: int) -> tuple[np.nd
     return pointers, base[context] + ids + 1
 
 
-def write_cell(model: Model, vocabulary: Vocabulary, cell: int, w1: np.ndarray, w2: np.ndarray, w3: np.ndarray, n: np.ndarray) -> None:
-    order = order_of(w2 - w2.min(), w3, w1)
-    w1, w2, w3, n = w1[order], w2[order], w3[order], n[order]
-    new = np.concatenate(([True], (w1[1:] != w1[:-1]) | (w3[1:] != w3[:-1]) | (w2[1:] != w2[:-1])))
-    n = np.add.reduceat(n, np.flatnonzero(new), dtype=np.int64)
-    w1, w2, w3 = (x[new].astype(np.int64) for x in (w1, w2, w3))
+def write_cell(model: Model, vocabulary: Vocabulary, cell: int, w1: np.ndarray, w2: np.ndarray, w3: np.ndarray, n: np.ndarray) -> Cell:
+    """The trie of distinct n-grams that are in order, with their counts."""
     heads = np.flatnonzero(np.concatenate(([True], (w3[1:] != w3[:-1]) | (w2[1:] != w2[:-1]))))
     pairs, c2, c3 = np.add.reduceat(n, heads), w2[heads], w3[heads]
     entry = np.cumsum(np.concatenate(([0], (w3[1:] != w3[:-1]) | (w2[1:] != w2[:-1]))))
@@ -396,20 +477,17 @@ def write_cell(model: Model, vocabulary: Vocabulary, cell: int, w1: np.ndarray,
         parts, facts[name] = EliasFano.build(values)
         arrays |= {f"{name}.{k}": v for k, v in parts.items()}
     write_arrays(f"{model.folder}/cell-{cell}", arrays, facts)
+    write_arrays(f"{model.folder}/book-{cell}", {"book": book}, {})  # which all chunks read
+    return Cell(arrays, facts)
 
 
 class Cell:
-    """One mapped trie."""
+    """One trie."""
 
     def __init__(self, a: dict[str, np.ndarray], facts: dict):
-        self.book, self.p2, self.b2, self.q3 = a["book"], a["p2"], a["b2"], a["q3"]
+        self.p2, self.b2, self.q3 = a["p2"], a["b2"], a["q3"]
         self.pointers2, self.sequence2, self.pointers3, self.sequence3 = (EliasFano(a, x, *facts[x]) for x in ("pointers2", "sequence2", "pointers3", "sequence3"))
 
-    @classmethod
-    def open(cls, path: str) -> Cell | None:
-        found = read_arrays(path)
-        return found and cls(*found)
-
     @staticmethod
     def successor(pointers: EliasFano, sequence: EliasFano, context: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """The place of each id among the successors of its context, or -1; contexts are in order."""
@@ -424,90 +502,55 @@ class Cell:
         return np.where((place >= first[back]) & (place < last[back]), place, -1)
 
     def pairs(self, w2: np.ndarray, w3: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place or -1, log10 P(w3 | w2) or nan, c(w2 w3)) of distinct pairs in order, as the cell has them."""
+        """(place or -1, codes of P(w3 | w2) and c(w2 w3)) of distinct pairs in order, as the cell has them."""
         at = self.successor(self.pointers2, self.sequence2, w2, w3)
         hit = np.flatnonzero(at >= 0)
-        p, c2 = np.full(len(at), np.nan), np.zeros(len(at))
-        p[hit], c2[hit] = self.book[self.p2[at[hit]]], COUNTS[self.b2[at[hit]]]
-        return at, p, c2
+        p2, b2 = np.zeros((2, len(at)), np.uint8)
+        p2[hit], b2[hit] = self.p2[at[hit]], self.b2[at[hit]]
+        return at, p2, b2
 
     def triples(self, at: np.ndarray, w1: np.ndarray) -> np.ndarray:
-        """c(w1 w2 w3) for places of pairs, in order, and the words before them."""
-        out = np.zeros(len(at))
+        """The code of c(w1 w2 w3) for places of pairs, in order, and the words before them."""
+        out = np.zeros(len(at), np.uint8)
         some = np.flatnonzero((at >= 0) & (w1 >= 0))
         below = self.successor(self.pointers3, self.sequence3, at[some], w1[some])
-        out[some[below >= 0]] = COUNTS[self.q3[below[below >= 0]]]
+        out[some[below >= 0]] = self.q3[below[below >= 0]]
         return out
 
 
-def heads_of(*keys: np.ndarray) -> np.ndarray:
-    """Where a row differs from the one before."""
-    out = np.ones(len(keys[0]), bool)
-    out[1:] = False
-    for k in keys:
-        out[1:] |= k[1:] != k[:-1]
-    return out
-
-
-def by_cell(cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order by cell, in which rows of one keep theirs; where each cell begins and, last, where all end)."""
-    low = cell - cell.min(initial=1 << 62)
-    order = np.argsort(low.astype(np.uint16) if low.max(initial=0) < 1 << 16 else low, kind="stable")
-    return order, np.append(np.flatnonzero(heads_of(cell[order])), len(cell))
-
-
-def score_chunk(model: Model, vocabulary: Vocabulary, cells: common.Opened, hashes: np.ndarray, flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def score_chunk(model: Model, vocabulary: Vocabulary, books: common.Opened, lengths: np.ndarray, hashes: np.ndarray, flat: np.ndarray, chunk: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(tokens, known tokens, base score, score) of each text."""
-    ids, counts, ends = looked_up(vocabulary, hashes, flat, lengths)
-    starts = np.concatenate(([0], ends[:-1]))
-    base = np.log10((counts + 1) / model.floor)
-    before, two = histories(ids, ends, model.words, -1)
-    context = np.concatenate(([0], counts[:-1]))
-    context[starts] = model.texts
-    p = np.log10(M2 / (context + M2)) + base  # a pair that was never seen
-    pairs, triples = np.zeros(len(ids)), np.zeros(len(ids))
-    rows = np.flatnonzero((ids >= 0) & (before >= 0))
-    if len(rows):  # pairs in order, each looked up once
-        rows = rows[order_of(before[rows], ids[rows])]
-        new = heads_of(before[rows], ids[rows])
-        one, who = rows[new], np.cumsum(new) - 1
-        cell, w2, w3 = model.cells(before[one], ids[one])
-        # Pairs by cell, and their tokens in the order of the pairs.
-        order, cuts = by_cell(cell)
-        many, first = np.bincount(who)[order], np.flatnonzero(new)[order]
-        ends_of = np.cumsum(many)
-        rows = rows[np.arange(len(rows)) + np.repeat(first - (ends_of - many), many)]
-        who, cell, w2, w3, one = np.repeat(np.arange(len(one)), many), cell[order], w2[order], w3[order], one[order]
-        w1 = two[rows]
-        own, seen, three = np.full(len(one), np.nan), np.zeros(len(one)), np.zeros(len(rows))
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if (found := cells[int(cell[a]) * SUBS]) is not None:
-                place, own[a:b], seen[a:b] = found.pairs(w2[a:b], w3[a:b])
-                mine = slice(ends_of[a] - many[a], ends_of[b - 1])
-                three[mine] = found.triples(place[who[mine] - a], w1[mine])
-        subs = model.parts(context[one], counts[one])
-        hot = np.flatnonzero((subs[who] > 1) & (w1 >= 0)) if subs.max() > 1 else []
-        if len(hot):  # their trigrams stand in further cells
-            pair = who[hot]
-            sub = cell[pair] * SUBS + 1 + w1[hot] % subs[pair]
-            order, cuts = by_cell(sub)
-            hot, pair, sub = hot[order], pair[order], sub[order]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if (found := cells[int(sub[a])]) is not None:
-                    place = found.successor(found.pointers2, found.sequence2, w2[pair[a:b]], w3[pair[a:b]])
-                    three[hot[a:b]] = found.triples(place, w1[hot[a:b]])
-        pairs[rows], triples[rows] = seen[who], three
-        p[rows] = np.where(np.isnan(own[who]), p[rows], own[who])
-    contexts = np.concatenate(([0], pairs[:-1]))  # c(w1 w2): that of the token before
-    contexts[starts] = 0
-    score = np.log10(M3 / (contexts + M3)) + np.log10(triples / M3 + 10**p)
+    grams = Ngrams(model, vocabulary, lengths, hashes, flat)
+    starts = np.concatenate(([0], grams.ends[:-1]))
+    base = np.log10((grams.counts + 1) / model.floor)[grams.at]
+    p = np.log10(M2 / (grams.counts + M2))[grams.before] + base  # a pair that was never seen
+    pairs, triples = np.zeros(len(base), np.uint8), np.zeros(len(base), np.uint8)
+    if len(grams.asked):
+        said = {k: np.frombuffer(released(v.tobytes()), np.uint8) for k, v in read_arrays(f"{model.folder}/said-{chunk}")[0].items()}
+        own, (seen, three) = np.full(len(grams.heads), np.nan), np.zeros((2, len(grams.heads)), np.uint8)
+        pair, base_cells = grams.pairs(), grams.cell % SUBS == 0
+        rounded, log_p = np.flatnonzero(said["b2"] >= ROUNDED), np.full(len(said["b2"]), np.nan)
+        cell = grams.cell[pair][rounded]
+        names, which = np.unique(cell, return_inverse=True)
+        if len(names):
+            log_p[rounded] = np.stack([books[c] for c in names.tolist()])[which, said["p2"]]
+        back, at = (np.cumsum(pair) - 1)[base_cells], grams.asked[base_cells]
+        own[at], seen[at], three[at] = log_p[back], said["b2"][back], said["q3"][base_cells]
+        exact = np.flatnonzero((seen > 0) & (seen < ROUNDED))
+        own[exact] = np.log10((COUNTS[seen[exact]] + M2 / model.floor * (grams.c3[exact] + 1)) / (grams.c2[exact] + M2))
+        three[grams.asked[~base_cells]] = said["q3"][~base_cells]  # those of hot pairs, which stand in further cells
+        pairs[grams.asking], triples[grams.asking] = seen[grams.who], three[grams.who]
+        met = seen[grams.who] > 0
+        p[grams.asking[met]] = own[grams.who[met]]
+    contexts = np.concatenate((pairs[:1], pairs[:-1]))  # c(w1 w2): that of the token before
+    score = np.log10(M3 / (COUNTS + M3))[contexts] + np.log10(COUNTS[triples] / M3 + 10**p)
     score[starts] = p[starts]
     add = lambda x: np.add.reduceat(x, starts)
-    return ends - starts, add((counts > 0).astype(np.int64)), add(base), add(score)
+    return grams.ends - starts, add((grams.counts[grams.at] > 0).astype(np.int64)), add(base), add(score)
 
 
 def train(tokens: DataFrame, sizes: Sizes = Sizes()) -> Model:
-    """Count the texts of `tokenised` that are not held out and write the trie into the shared folder."""
+    """Count the texts of `tokenised` that are not held out and write the trie, and what it says of all texts, into the shared folder."""
     spark = tokens.sparkSession
     common.make_folder(folder := common.new_folder(spark, "lm"))
     facts = tokens.agg(F.coalesce(F.sum(F.size(F.filter("held", lambda x: ~x))), F.lit(0)).alias("texts"), F.coalesce(F.sum(F.length("flat")), F.lit(0)).alias("bytes")).first()
@@ -524,9 +567,9 @@ def report(docs: DataFrame, *, key: str = "doc_id", text: str = "text", folds: i
     model = train(tokens, sizes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, cells = opened(model)
-        for keys, held, lengths, hashes, flat in chunks_of(batches):
-            n, known, base, score = score_chunk(model, vocabulary, cells, hashes, flat, lengths)
+        vocabulary, books = opened(model)
+        for keys, held, lengths, hashes, flat, chunk in chunks_of(batches):
+            n, known, base, score = score_chunk(model, vocabulary, books, lengths, hashes, flat, chunk)
             yield pa.RecordBatch.from_arrays([
                 keys, pa.array(held), pa.array(n), pa.array(known), pa.array(np.full(len(keys), model.tokens)), pa.array(base), pa.array(score),
             ], [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import glob
 import math
 import os
 import random
@@ -11,6 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from sparrowgrid import storage
 from sparrowgrid.llm import common, eliasfano, lm
 
 from .conftest import SCHEMA, prose, words_of
@@ -85,6 +87,18 @@ def test_many_cells_and_batches(spark, corpus):
     check(lm.report(table(spark, corpus), sizes=lm.Sizes(cell=200, band=500, batch=300, words=60, chunk=400, open=5)), corpus)
 
 
+def test_cells_answer_once(spark, corpus):
+    """Texts are scored by what the cells said when they were built: no chunk opens a cell, however many there are."""
+    folder = storage.shared_dir(spark).removeprefix("file:")
+    before = set(glob.glob(f"{folder}/sparrowgrid/lm-*/cell-*"))
+    df = lm.report(table(spark, corpus), sizes=lm.Sizes(cell=200, band=500, words=60, chunk=4000))
+    cells = set(glob.glob(f"{folder}/sparrowgrid/lm-*/cell-*")) - before
+    assert len(cells) > 50
+    for path in cells:
+        os.remove(path)
+    check(df, corpus)
+
+
 def test_a_hot_pair_is_dealt_over_cells(spark):
     """A context with a third of all tokens, and a pair in it: no cell gets more than a few times its share of n-grams."""
     rng, sizes = random.Random(12), lm.Sizes(cell=100, band=400, batch=5000)
