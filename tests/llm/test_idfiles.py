@@ -4,6 +4,7 @@ import random
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 from hypothesis import given, settings
@@ -105,3 +106,51 @@ def test_rows_are_cut(monkeypatch, odd_docs, spark, tmp_path):
 def test_no_documents(no_docs, spark, tmp_path):
     tokenfiles.write(no_docs, PATH, str(tmp_path / "f"), end_id=2)
     assert tokenfiles.read(spark, str(tmp_path / "f")).count() == 0
+
+
+PARTS = [*"abZ\u00e9\u00d7\u00aa\u00b0\u0101\u024f\u0250\u0436\u4e2d\u3042\u00a0\u0085\u2003\u2028\u200b\u3000\u0301\u0e33\x00\x1c\x1f09\u0663\u2167'\u2019\u201c.,;!-|<>\t\r\v\f", " ", " ", " ", "\n", "  ", "\r\n", "'s", "'re", " '", " word", "Hello", "<|endoftext|>", "<|endof", "text|>", "\U0001f600"]
+LIBRARY = Tokenizer.from_file(PATH)
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    with open(PATH, encoding="utf-8") as f:
+        return tokenfiles.LibraryEncoder(f.read())
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PARTS), max_size=25).map("".join) | st.text(max_size=12), max_size=8), st.sampled_from([pa.string(), pa.large_string()]), st.integers(0, 2))
+def test_cut_texts_have_the_ids_of_whole_ones(encoder, texts, kind, first):
+    ids, ends = encoder.encode(pa.array(texts, kind)[first:])
+    assert [ids[a:b].tolist() for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts[first:]]
+
+
+def test_a_table_that_is_trimmed(encoder, monkeypatch):
+    monkeypatch.setattr(tokenfiles, "KEPT", 40)
+    rng = random.Random(4)
+    for _ in range(12):
+        texts = [prose(rng, 60), "", "\n\n x " + prose(rng, 5)]
+        ids, ends = encoder.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_plain_words_skip_the_split():
+    """The library's split takes longer than its merges; words of prose are single matches, which its model takes as they are."""
+    with open(PATH, encoding="utf-8") as f:
+        watched = tokenfiles.LibraryEncoder(f.read())
+    split = []
+
+    class Library:
+        def encode_batch_fast(self, texts, **options):
+            split.extend(texts)
+            return LIBRARY.encode_batch_fast(texts, **options)
+
+    watched.library = Library()
+    texts = ["Some words, \u00e9t\u00e9 and words.\nMore (12) words; the last.", "It's so", "\u0441\u043b\u043e\u0432\u0430, \u03ba\u03b1\u03b9 \u8a9e\u3002"]
+    assert watched.encode(pa.array(texts))[0].tolist() == [i for t in texts for i in LIBRARY.encode(t, add_special_tokens=False).ids]
+    assert split == ["It's"]
+
+
+def test_blocks_stay_as_they_were():
+    ids = np.minimum(np.random.default_rng(7).zipf(1.3, 90_001), 50256)
+    assert crc32(idcodec.encode(ids, 50257)) == 3785674306
