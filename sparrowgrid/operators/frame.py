@@ -202,7 +202,10 @@ class Frame:
         return frame, out
 
     def with_column(self, name: str, value, dtype: str | None = None) -> Frame:
-        """Set a column to an expression, or to a list with a cell for each row. A replaced column keeps its place."""
+        """Set a column to an expression, to a Series, or to a list with a cell for each row. A replaced column keeps its place.
+
+        A Series of this frame is computed where the rows are; one of another frame is matched by position. Neither passes the driver.
+        """
         if name.startswith(HIDDEN):
             raise FrameError("column names must not start with " + HIDDEN)
         if isinstance(value, Expr):
@@ -211,6 +214,9 @@ class Frame:
                 raise FrameError(f"the expression is {x.dtype}, not {dtype}")
             df = frame._df.withColumn(name, x.column).drop(*[c for c in frame._df.columns if c.startswith("__sg_agg")])
             return Frame(df, frame._schema | {name: Field(x.dtype, x.tz)}, frame._order)
+        if isinstance(value, Series):
+            base, e = value.source
+            return self.with_column(name, e, dtype) if base is self else self._beside(name, value, dtype)
         cells = list(value)
         frame = self._numbered()
         if len(cells) != frame._df.count():
@@ -224,6 +230,19 @@ class Frame:
 
     assign = with_column
 
+    def _beside(self, name: str, series: Series, dtype: str | None) -> Frame:
+        """With the cells of another frame's series, which stand in its order."""
+        field = series.frame._schema[series.name]
+        if dtype and dtype != field.dtype:
+            raise FrameError(f"the series is {field.dtype}, not {dtype}")
+        frame, other = self._ordered(), series.frame._ordered()
+        placed, cells = frame._positions(), other._positions().select("__sg_pos", q(series.name).alias("__sg_new"))
+        n, m = placed.count(), cells.count()
+        if n != m:
+            raise FrameError(f"a series of {m} cells does not fit the frame")
+        df = placed.join(cells, "__sg_pos").withColumn(name, F.col("__sg_new")).drop("__sg_new", "__sg_pos")
+        return Frame(df, frame._schema | {name: field}, frame._order)
+
     def with_zone(self, name: str, tz: str | None) -> Frame:
         """The same instants of a timestamp column, whose calendar fields are those of zone `tz`."""
         if self.dtype_of(name) != "timestamp":
@@ -558,10 +577,12 @@ class GroupBy:
 
 
 class Series:
-    """One column of a frame."""
+    """One column of a frame; lists of its cells are made on the driver, `with_column` takes it as it is."""
 
-    def __init__(self, frame: Frame, name: str):
+    def __init__(self, frame: Frame, name: str, source: tuple[Frame, Expr] | None = None):
+        """`source`: the frame and the expression over it that gives these cells."""
         self.frame, self.name = frame.select(name), name
+        self.source = source or (frame, Expr("col", name))
 
     @property
     def dtype(self) -> str:
@@ -581,7 +602,8 @@ class Series:
         return found[0][self.name] if found else None
 
     def _apply(self, make: Callable[[Expr], Expr]) -> Series:
-        return Series(self.frame.with_column(self.name, make(Expr("col", self.name))), self.name)
+        frame, e = self.source
+        return Series(self.frame.with_column(self.name, make(Expr("col", self.name))), self.name, (frame, make(e)))
 
     @property
     def dt(self) -> _SeriesFields:

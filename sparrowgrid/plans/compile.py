@@ -56,9 +56,9 @@ class Compiled:
         """A Series named `value`, lazy, or for an aggregate its value."""
         if self.kind == "scalar":
             return self.frame.agg({"value": self.resolved.expr}).to_records()[0]["value"]
-        taken = "value" in self.frame.columns
-        frame = self.frame.with_column("value", self.resolved.expr)
-        return (frame.select("value") if taken else frame).col("value")
+        from ..operators.frame import Series
+
+        return Series(self.frame.with_column("value", self.resolved.expr), "value", (self.frame, self.resolved.expr))
 
 
 def compile_expr(e: Expr, frame) -> Compiled:

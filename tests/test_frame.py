@@ -301,3 +301,19 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError, match="share"):
         shared_dir(type("Session", (), {"conf": Conf(), "sparkContext": Context()})())
+
+
+def test_a_series_becomes_a_column(make):
+    f = make(i=[0, 1, 2, 3], t=[-1, 951782400000, None, 0], s=["xyz", None, "é", ""], dtypes={"i": "i32", "t": "timestamp"})
+    assert f.with_column("m", f.col("t").dt.month()).to_columns()["m"] == [12, 2, None, 1]
+    out = f.with_zone("t", "America/Chicago").sort_values("i", descending=True)
+    out = out.with_column("h", out.col("t").dt.hour())  # in the zone, and in the order of the sort
+    assert out.dtypes["h"] == "i32" and out.to_columns()["h"] == [18, None, 18, 17]
+    cut = f.col("s").str.slice(0, 2).str.slice(1)
+    other = f.sort_values("i", descending=True).with_column("v", cut)  # another frame's: by position
+    assert other.dtypes["v"] == "utf8" and other.to_records() == [dict(r, v=v) for r, v in zip(f.to_records()[::-1], cut.to_list(), strict=True)]
+    with pytest.raises(FrameError, match="a series of 4 cells"):
+        f.head(3).with_column("v", cut)
+    for frame in (f, f.head(4)):
+        with pytest.raises(FrameError, match="utf8"):
+            frame.with_column("v", cut, "i32")
