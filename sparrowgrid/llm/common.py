@@ -13,7 +13,7 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import shared_dir
+from ..storage import bound_batches, shared_dir  # noqa: F401
 
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/sparrowgrid/{name}-{uuid.uuid4().hex}"
@@ -26,18 +26,6 @@ def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
-def bound_batches(spark: SparkSession, megabytes: int = 4) -> None:
-    """Arrow batches of at most so many MB, since one text may be very long.
-
-    Plans run after the operators return, so the session keeps the bounds; tighter ones that it has already stay.
-    """
-    for name, most in (("maxRecordsPerBatch", 4000), ("maxBytesPerBatch", megabytes << 20)):
-        name = f"spark.sql.execution.arrow.{name}"
-        now = spark.conf.get(name).removesuffix("b")  # a bare number, or one of bytes
-        if not (now.isdigit() and 0 < int(now) <= most):
-            spark.conf.set(name, str(most))
-
-
 def text_bytes(column: str = "text") -> Column:
     """UTF-8 bytes of a text; null counts as empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")

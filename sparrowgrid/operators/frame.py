@@ -483,6 +483,12 @@ class Frame:
 
         return arrow_bytes(self)
 
+    def to_arrow_streams(self, encode: Callable | None = None) -> DataFrame:
+        """`to_arrow` in parts that stay on the executors: see `sources.write.arrow_streams`."""
+        from ..sources.write import arrow_streams
+
+        return arrow_streams(self, encode)
+
     def write_parquet(self, path: str, compression: str = "uncompressed") -> None:
         from ..sources.write import write_parquet
 

@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 
 from ..errors import FrameError
 from ..operators.frame import Frame, session
-from ..types import SPARK
+from ..storage import bound_batches
+from ..types import SPARK, Field
 
 NULLS = ("", "null", "NA")
 SAMPLE = 100
@@ -169,10 +170,43 @@ def read_json(source: str, *, text: bool = False, lines: bool = False, dtypes: d
     return Frame.from_spark((reader.schema(schema) if schema else reader).json(source), dtypes=dtypes)
 
 
-def from_arrow(data: bytes | pa.Table, *, spark: SparkSession | None = None) -> Frame:
-    """An Arrow IPC stream or a table. Timestamps of any unit become instants; seconds out of range become null."""
+def from_arrow(data: bytes | pa.Table | DataFrame, *, spark: SparkSession | None = None) -> Frame:
+    """An Arrow IPC stream or a table. Timestamps of any unit become instants; seconds out of range become null.
+
+    A Spark DataFrame with one column of streams, as `to_arrow_streams` gives, is read by tasks; all have the schema of the first.
+    """
+    if isinstance(data, DataFrame):
+        return _from_streams(data)
     table = data if isinstance(data, pa.Table) else pa.ipc.open_stream(data).read_all()
-    columns, kinds, zones = {}, {}, {}
+    table, schema = decoded(table)
+    df = session(spark).createDataFrame(table.append_column("__sg_rid", pa.array(range(table.num_rows), pa.int64())))
+    return Frame(df, schema, [("__sg_rid", False)])
+
+
+def _from_streams(streams: DataFrame) -> Frame:
+    spark = session(streams.sparkSession)
+    if len(streams.columns) != 1 or not isinstance(streams.schema[0].dataType, T.BinaryType):
+        raise FrameError("Arrow streams are one binary column")
+    bound_batches(spark)
+    if (first := streams.first()) is None:
+        raise FrameError("there is no Arrow stream, so no schema")
+    head = pa.ipc.open_stream(first[0]).schema
+    schema = decoded(head.empty_table())[1]
+
+    def run(batches):
+        for batch in batches:
+            for stream in batch.column(0):
+                table = pa.ipc.open_stream(stream.as_buffer()).read_all()
+                if table.schema != head:
+                    raise FrameError(f"an Arrow stream has columns {table.schema.names} of types {[str(t) for t in table.schema.types]}, the first one {head.names} of {[str(t) for t in head.types]}")
+                yield from decoded(table)[0].to_batches()
+
+    return Frame(streams.mapInArrow(run, T.StructType([T.StructField(n, SPARK[f.dtype]) for n, f in schema.items()])), schema)
+
+
+def decoded(table: pa.Table) -> tuple[pa.Table, dict[str, Field]]:
+    """An Arrow table in the types that Spark stores for the nine, and its logical types."""
+    columns, schema = {}, {}
     for f in table.schema:
         c, t = table[f.name], f.type
         if pa.types.is_dictionary(t):
@@ -186,18 +220,12 @@ def from_arrow(data: bytes | pa.Table, *, spark: SparkSession | None = None) ->
                 most = (2**63 - 1) // per
                 raw = pc.multiply(pc.if_else(pc.and_(pc.less_equal(raw, most), pc.greater_equal(raw, -most)), raw, pa.scalar(None, pa.int64())), per)
             c = raw.cast(pa.timestamp("us", "UTC"))
-            kinds[f.name] = "timestamp"
-            if t.tz:
-                zones[f.name] = t.tz
+            schema[f.name] = Field("timestamp", t.tz or None)
         else:
-            kinds[f.name] = _arrow_dtype(t, f.name)
-            c = c.cast({"i32": pa.int32(), "u32": pa.int64(), "i64": pa.int64(), "f64": pa.float64(), "f32": pa.float32(), "utf8": pa.string()}.get(kinds[f.name], t))
+            schema[f.name] = Field(kind := _arrow_dtype(t, f.name))
+            c = c.cast({"i32": pa.int32(), "u32": pa.int64(), "i64": pa.int64(), "f64": pa.float64(), "f32": pa.float32(), "utf8": pa.string()}.get(kind, t))
         columns[f.name] = c
-    columns["__sg_rid"] = pa.array(range(table.num_rows), pa.int64())
-    df = session(spark).createDataFrame(pa.table(columns))
-    from ..types import Field
-
-    return Frame(df, {n: Field(k, zones.get(n)) for n, k in kinds.items()}, [("__sg_rid", False)])
+    return pa.table(columns), schema
 
 
 def _arrow_dtype(t: pa.DataType, name: str) -> str:

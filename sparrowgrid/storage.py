@@ -1,4 +1,4 @@
-"""The folder that driver and executors share."""
+"""What driver and executors share: a folder, and bounds of the batches between them."""
 
 from __future__ import annotations
 
@@ -19,3 +19,15 @@ def shared_dir(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
+
+
+def bound_batches(spark: SparkSession, megabytes: int = 4) -> None:
+    """Arrow batches of at most so many MB, since one text may be very long.
+
+    Plans run after the operators return, so the session keeps the bounds; tighter ones that it has already stay.
+    """
+    for name, most in (("maxRecordsPerBatch", 4000), ("maxBytesPerBatch", megabytes << 20)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(name).removesuffix("b")  # a bare number, or one of bytes
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(name, str(most))

@@ -9,6 +9,7 @@ import pytest
 
 from sparrowgrid import Frame, FrameError, col, from_arrow, read_csv, read_json, read_parquet
 from sparrowgrid.sources.read import infer, parse_csv
+from sparrowgrid.sources.write import stream_of
 
 
 @pytest.mark.parametrize(
@@ -140,3 +141,41 @@ def test_plain_csv_files_are_split(spark, tmp_path, multiline):
 def test_quoted_line_ends_are_found(spark, tmp_path):
     (tmp_path / "a.csv").write_text('a,b\n1,"x\ny"\n2,z\n')
     assert read_csv(str(tmp_path / "a.csv"), spark=spark).to_columns() == {"a": [1, 2], "b": ["x\ny", "z"]}
+
+
+@pytest.mark.parametrize("dtype", list(VALUES))
+def test_arrow_streams_round_trip(spark, dtype):
+    """In parts as in one piece; an empty frame keeps its types."""
+    f = Frame.from_columns({"i": range(len(VALUES[dtype])), "v": VALUES[dtype]}, dtypes={"v": dtype}, spark=spark)
+    back = from_arrow(f.to_arrow_streams())
+    assert back.dtypes == f.dtypes and back.sort_values("i").to_records() == f.to_records()
+    none = from_arrow(f.filter(col("i").lt(0)).to_arrow_streams())
+    assert none.dtypes == f.dtypes and none.to_records() == []
+
+
+def test_arrow_streams_keep_zones_and_asked_orders(spark):
+    f = Frame.from_spark(spark.range(0, 30_000, 1, 7).selectExpr("id AS i", "timestamp_seconds(id - 20000) AS t")).with_zone("t", "America/Chicago")
+    streams = f.sort_values("i", descending=True).to_arrow_streams()
+    back = from_arrow(streams)
+    assert streams.count() > 7 and back._schema == f._schema
+    assert back.to_columns() == f.sort_values("i", descending=True).to_columns() and back.head(2).to_columns()["i"] == [29_999, 29_998]
+
+
+def test_arrow_streams_in_small_batches(spark):
+    """A partition's streams don't reach a task in one piece."""
+    f = Frame.from_spark(spark.range(0, 100, 1, 1).selectExpr("id AS i", "repeat(chr(97 + id % 26), 1000000) AS s"))
+    streams = f.to_arrow_streams()
+    sizes = [r[0] for r in streams.mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], ["n"]) for b in bs), "n long").collect()]
+    assert sum(sizes) > 80_000_000 and max(sizes) < 10_000_000
+    assert from_arrow(streams).filter(col("s").is_null()).length == 0
+
+
+def test_arrow_streams_have_one_schema(spark):
+    a, b = (pa.table({"x": pa.array([1], t)}) for t in (pa.int32(), pa.int64()))
+    both = [(bytearray(stream_of(t)),) for t in (a, b)]
+    with pytest.raises(Exception, match="an Arrow stream has columns"):
+        from_arrow(spark.createDataFrame(both, "stream binary")).to_records()
+    with pytest.raises(FrameError, match="no schema"):
+        from_arrow(spark.createDataFrame([], "stream binary"))
+    with pytest.raises(FrameError, match="one binary column"):
+        from_arrow(spark.range(1))
